@@ -93,3 +93,6 @@ def q_stats(spark, sf):
        "driver, csat FROM enriched")
 def q_enrich(spark, sf):
     return enriched(spark, sf)
+
+
+from vocspark.plans import catalog_text  # noqa: E402,F401

@@ -185,3 +185,65 @@ def clean_sql(text: str) -> str:
 
 def ws_trim_sql(text: str) -> str:
     return f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+
+
+def sentences_sql(text: str) -> str:
+    """Sentence list: split after . ! ? + whitespace, pieces trimmed, >= 4 chars."""
+    marked = f"regexp_replace({ws_trim_sql(text)}, '([.!?])\\s+', '\\1' || chr(1), 'g')"
+    return (f"list_filter(list_transform(string_split({marked}, chr(1)), "
+            f"lambda p: {ws_trim_sql('p')}), lambda p: length(p) >= 4)")
+
+
+def word_count_sql(text: str) -> str:
+    t = ws_trim_sql(text)
+    return f"CASE WHEN length({t}) = 0 THEN 0 ELSE len(string_split_regex({t}, '\\s+')) END"
+
+
+def title_sql(s: str) -> str:
+    """Python str.title() by characters."""
+    ch = f"substring({s}, i, 1)"
+    prev = f"substring({s}, i - 1, 1)"
+    return (f"array_to_string(list_transform(range(1, length({s}) + 1), lambda i: "
+            f"CASE WHEN i = 1 OR upper({prev}) = lower({prev}) THEN upper({ch}) "
+            f"ELSE lower({ch}) END), '')")
+
+
+def rule_scores_full_sql(text: str) -> str:
+    """sentiment, confidence and the three class scores of the rule scorer."""
+    sent, conf = rule_scores_sql(text)
+    p, n, u = lx.RULE_POSITIVE_SCORE, lx.RULE_NEGATIVE_SCORE, lx.RULE_NEUTRAL_SCORE
+    r = lambda t: round((1.0 - t) / 2, 4)
+    d = lambda v: f"CAST({v!r} AS DOUBLE)"
+    return (f"{sent} AS sentiment, {conf} AS confidence, "
+            f"CASE WHEN {sent} = 'Positive' THEN {d(r(p))} WHEN {sent} = 'Negative' THEN {d(round(n, 4))} "
+            f"ELSE {d(r(u))} END AS score_negative, "
+            f"CASE WHEN {sent} = 'Positive' THEN {d(r(p))} WHEN {sent} = 'Negative' THEN {d(r(n))} "
+            f"ELSE {d(round(u, 4))} END AS score_neutral, "
+            f"CASE WHEN {sent} = 'Positive' THEN {d(round(p, 4))} WHEN {sent} = 'Negative' THEN {d(r(n))} "
+            f"ELSE {d(r(u))} END AS score_positive")
+
+
+TEXTS = """texts AS (
+  SELECT doc_id AS id, 'document' AS origin, text FROM documents
+  UNION ALL
+  SELECT conv_id * 1000 + turn AS id, 'conversation' AS origin, text FROM conversations)"""
+
+
+def aspects_list_sql(prefix: str = "a_") -> str:
+    """Aspect names with >= 1 token hit, declared order (needs the sig CTE)."""
+    items = ", ".join(f"CASE WHEN {c} > 0 THEN {q(n)} END"
+                      for (n, _), c in zip(lx.ASPECTS, ASP_COLS))
+    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
+
+
+def fmt0_sql(x: str) -> str:
+    return f"CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR)"
+
+
+def fmt_signed0_sql(x: str) -> str:
+    return (f"(CASE WHEN {x} < 0 THEN '-' ELSE '+' END || "
+            f"CAST(CAST(abs(round_even({x}, 0)) AS BIGINT) AS VARCHAR))")
+
+
+def fmt_pct0_sql(x: str) -> str:
+    return f"({fmt0_sql(f'({x}) * CAST(100 AS DOUBLE)')} || '%')"

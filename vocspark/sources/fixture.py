@@ -145,7 +145,7 @@ def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "text",
         F.get(str_array(RAW_LABELS), F.pmod(i, F.lit(len(RAW_LABELS))).cast("int")).alias("raw_label"),
         F.pmod(i, F.lit(5)).cast("int").alias("stars"),
-        F.pmod(i, F.lit(2)).cast("int").alias("binary"),
+        F.pmod(i, F.lit(2)).cast("int").alias("polarity"),
         F.get(str_array(TEXT_LABELS), F.pmod(i, F.lit(len(TEXT_LABELS))).cast("int")).alias("text_label"),
     )
 
