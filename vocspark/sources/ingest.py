@@ -86,6 +86,9 @@ def _rules_stored() -> list[tuple[str, Column]]:
         ("confidence_missing", F.col("confidence").isNull()),
         ("confidence_range", (F.col("confidence") < 0) | (F.col("confidence") > 1)),
         ("created_at_missing", F.col("created_at").isNull()),
+        ("text_empty", F.length(F.col("text")) < 1),
+        ("text_too_long", F.length(F.col("text")) > lx.MAX_TEXT_CHARS),
+        ("source_too_long", F.length(F.col("source")) > lx.MAX_SOURCE_CHARS),
     ]
 
 
@@ -110,8 +113,9 @@ def _split(df: DataFrame, rules) -> tuple[DataFrame, DataFrame]:
 
 
 def validate_feedback(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored-table rules: text and created_at present, sentiment one of the
-    three classes, confidence in 0..1.  Returns (valid, rejects + `failed`)."""
+    """Stored-table rules (text and created_at present, sentiment one of the
+    three classes, confidence in 0..1) and the single-item limits (text
+    1..2000 characters, source <= 50).  Returns (valid, rejects + `failed`)."""
     return _split(df, _rules_stored())
 
 
