@@ -194,9 +194,12 @@ def recommendations(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD) -> Da
         (F.lit(True), F.lit("Track the Net Sentiment Score over time in the History page — the "
                             "trend matters more than any single batch.")),
     ]
-    fired = F.filter(F.array(*[F.when(c, line) for c, line in rules]), lambda x: x.isNotNull())
-    return k.select(F.posexplode(fired).alias("pos", "line")) \
-        .select((F.col("pos") + 1).alias("rec_no"), "line")
+    # inline (a generator), not a higher-order function: the lines hold scalar subqueries
+    arr = F.array(*[F.struct(F.lit(i).alias("idx"), c.alias("fired"), line.alias("line"))
+                    for i, (c, line) in enumerate(rules)])
+    fired = k.select(F.inline(arr)).where("fired")
+    # at most seven rows in one window partition
+    return fired.select(F.row_number().over(Window.orderBy("idx")).alias("rec_no"), "line")
 
 
 # D4 / J3 -------------------------------------------------------------------------

@@ -305,14 +305,14 @@ def q_group_net_segment(spark, sf):
     return ag.group_net_sentiment(fb(spark, sf), "segment", 12)
 
 
-def _gap_sql(key: str) -> str:
+def _gap_sql(key: str, src: str = "feedback") -> str:
     return f"""SELECT '{key}' AS dimension, groups, worst, worst_net, best, best_net FROM (
   SELECT count(*) AS groups, arg_min(grp, struct_pack(n := net, g := grp)) AS worst, min(net) AS worst_net,
          arg_min(grp, struct_pack(n := -net, g := grp)) AS best, max(net) AS best_net
   FROM (SELECT {key} AS grp, {S.net_sql('p', 'q', 'n')} AS net FROM (
           SELECT {key}, count(*) AS n, count(*) FILTER (WHERE sentiment = 'Positive') AS p,
                  count(*) FILTER (WHERE sentiment = 'Negative') AS q
-          FROM feedback WHERE {key} IS NOT NULL GROUP BY {key})))
+          FROM {src} WHERE {key} IS NOT NULL GROUP BY {key})))
 WHERE groups > 1"""
 
 

@@ -158,10 +158,10 @@ def history_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account rows from `customer`: e-mails with typo domains, mixed case and
-    spacing, and repeated addresses (every 13th key reuses the previous one)."""
+    spacing, and repeated addresses (every 13th key after 0 reuses the previous one)."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
     key = F.col("c_custkey")
-    owner = F.when(key % 13 == 0, key - 1).otherwise(key)
+    owner = F.when((key % 13 == 0) & (key > 0), key - 1).otherwise(key)
     domain = F.get(str_array(ACCOUNT_DOMAINS), F.pmod(owner, F.lit(len(ACCOUNT_DOMAINS))).cast("int"))
     email = F.concat(F.lit("customer."), owner.cast("string"), F.lit("@"), domain)
     email = F.when(key % 17 == 0, F.concat(F.lit("  "), F.upper(email), F.lit(" "))).otherwise(email)
