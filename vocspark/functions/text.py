@@ -50,9 +50,9 @@ def word_tokens(c) -> Column:
 
 def content_words(c, stopwords=lx.STOPWORDS) -> Column:
     """[a-zA-Z']{3,} runs of the lower-cased text, stop words removed."""
-    stop = str_array(stopwords)
+    # `isin` over literals becomes a hash-set test (InSet), not a list scan
     words = F.regexp_extract_all(F.lower(col(c)), F.lit(CONTENT_WORD_PATTERN), 0)
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: ~w.isin(*stopwords))
 
 
 def bigrams(words) -> Column:
@@ -100,8 +100,7 @@ def shout_count(c) -> Column:
 
 def intensifier_count(tokens, intensifiers=lx.INTENSIFIERS) -> Column:
     """Occurrences (not distinct) of intensifier words in a token array."""
-    words = str_array(intensifiers)
-    return F.size(F.filter(col(tokens), lambda w: F.array_contains(words, w)))
+    return F.size(F.filter(col(tokens), lambda w: w.isin(*intensifiers)))
 
 
 def truncate_text(c, n: int = 1200) -> Column:
@@ -145,15 +144,14 @@ def tag_tokens(c, positive=lx.POSITIVE_SIGNAL_WORDS, negative=lx.NEGATIVE_SIGNAL
                intensifiers=lx.INTENSIFIERS) -> Column:
     """Array of struct(token, tag): word and non-word runs, tagged
     positive / negative / intensifier / plain (in that precedence)."""
-    pos, neg, inten = str_array(positive), str_array(negative), str_array(intensifiers)
     runs = F.regexp_extract_all(col(c), F.lit(TOKEN_RUN_PATTERN), 1)
 
     def tag(tok):
         low = F.lower(tok)
         return F.struct(tok.alias("token"),
-                        F.when(F.array_contains(pos, low), "positive")
-                        .when(F.array_contains(neg, low), "negative")
-                        .when(F.array_contains(inten, low), "intensifier")
+                        F.when(low.isin(*positive), "positive")
+                        .when(low.isin(*negative), "negative")
+                        .when(low.isin(*intensifiers), "intensifier")
                         .otherwise("plain").alias("tag"))
 
     return F.transform(runs, tag)

@@ -293,7 +293,9 @@ def top_words(df: DataFrame, n: int | None = 12, text: str = "text",
 def top_phrases(df: DataFrame, n: int | None = 6, text: str = "text",
                 min_count: int = 2) -> DataFrame:
     """Most frequent adjacent content-word pairs with count >= 2."""
-    ph = df.select(F.explode(tx.bigrams(tx.content_words(text))).alias("phrase"))
+    # words in their own projection: the pair expression reads them four times
+    w = df.select(tx.content_words(text).alias("_w"))
+    ph = w.select(F.explode(tx.bigrams("_w")).alias("phrase"))
     c = ph.groupBy("phrase").agg(F.count(F.lit(1)).alias("count")) \
         .where(F.col("count") >= min_count).orderBy(F.desc("count"), F.asc("phrase"))
     return c.limit(n) if n else c

@@ -37,7 +37,8 @@ def top_words_per_sentiment(df: DataFrame, n: int = 12, text: str = "text") -> D
 
 def top_phrases_per_sentiment(df: DataFrame, n: int = 6, text: str = "text",
                               min_count: int = 2) -> DataFrame:
-    ph = df.select("sentiment", F.explode(tx.bigrams(tx.content_words(text))).alias("phrase"))
+    w = df.select("sentiment", tx.content_words(text).alias("_w"))
+    ph = w.select("sentiment", F.explode(tx.bigrams("_w")).alias("phrase"))
     c = ph.groupBy("sentiment", "phrase").agg(F.count(F.lit(1)).alias("count")) \
         .where(F.col("count") >= min_count)
     return top_per_group(c, "sentiment", [F.desc("count"), F.asc("phrase")], n)

@@ -14,7 +14,7 @@ from vocspark.operators import report as rp
 from vocspark.plans import sql as S
 from vocspark.plans.catalog_agg import _gap_sql
 from vocspark.plans.registry import query
-from vocspark.session import shared_dir
+from vocspark.session import materialize, shared_dir
 from vocspark.sources import fixture as fx
 
 TSF = "'%Y-%m-%d %H:%M:%S.%f'"
@@ -26,12 +26,14 @@ def enr(spark, sf):
     return en.enrich_feedback(fx.feedback(spark, sf))
 
 
-def batch_and_history(spark, sf):
+def batch_and_history(spark, sf, keep: bool = True):
     """Batch = items from the cutoff on; history = everything stored (the
-    batch included, as when a batch is stored before it is reported)."""
+    batch included, as when a batch is stored before it is reported).  The
+    enriched batch is materialized once when a report reads it many times."""
     e = enr(spark, sf)
     cut = F.lit(fx.HISTORY_CUTOFF).cast("timestamp_ntz")
-    return e.where(F.col("created_at") >= cut), e
+    batch = e.where(F.col("created_at") >= cut)
+    return (materialize(batch) if keep else batch), e
 
 
 BASE = S.with_(S.FEEDBACK, S.enriched_ctes(), f"batch AS (SELECT * FROM enriched WHERE created_at >= {CUT})")
@@ -118,7 +120,7 @@ cmp AS (SELECT k.total AS batch_items, k.net AS batch_net, hist.n AS history_ite
 @query("batch_vs_history", "D4", BASE.rstrip() + ",\n" + _kpi_cte() + ",\n" + HIST
        + "\nSELECT batch_items, batch_net, history_items, history_net, direction FROM cmp")
 def q_vs_history(spark, sf):
-    batch, hist = batch_and_history(spark, sf)
+    batch, hist = batch_and_history(spark, sf, keep=False)
     return rp.batch_vs_history(batch, hist)
 
 
@@ -170,7 +172,7 @@ def q_key_metrics(spark, sf):
   (SELECT count(*) FROM enriched) AS history_items
 FROM batch b LEFT JOIN (SELECT sentiment, count(*) AS n FROM enriched GROUP BY sentiment) h USING (sentiment)""")
 def q_share_like(spark, sf):
-    batch, hist = batch_and_history(spark, sf)
+    batch, hist = batch_and_history(spark, sf, keep=False)
     return rp.share_like_this(batch.select("id", "sentiment"), hist)
 
 

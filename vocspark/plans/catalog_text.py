@@ -68,15 +68,15 @@ def q_word_tokens(spark, sf):
 @query("bigrams", "B4", FB + f"SELECT id, array_to_string({S.bigrams('w')}, '|') AS bigrams FROM "
        f"(SELECT id, {S.content_words()} AS w FROM feedback)")
 def q_bigrams(spark, sf):
-    return fb(spark, sf).select("id", F.array_join(tx.bigrams(tx.content_words("text")), "|")
-                                .alias("bigrams"))
+    w = fb(spark, sf).select("id", tx.content_words("text").alias("_w"))
+    return w.select("id", F.array_join(tx.bigrams("_w"), "|").alias("bigrams"))
 
 
 @query("bigrams_documents", "B4", TX + f"SELECT id, origin, array_to_string({S.bigrams('w')}, '|') "
        f"AS bigrams FROM (SELECT id, origin, {S.content_words()} AS w FROM texts)")
 def q_bigrams_docs(spark, sf):
-    return texts(spark, sf).select("id", "origin", F.array_join(
-        tx.bigrams(tx.content_words("text")), "|").alias("bigrams"))
+    w = texts(spark, sf).select("id", "origin", tx.content_words("text").alias("_w"))
+    return w.select("id", "origin", F.array_join(tx.bigrams("_w"), "|").alias("bigrams"))
 
 
 # B5-B8 -------------------------------------------------------------------------

@@ -51,3 +51,11 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return os.path.join(base, *parts) if parts else base
+
+
+def materialize(df):
+    """Write `df` once to the shared checkpoint folder and read it back
+    (lineage cut, survives executor loss).  For inputs that several
+    aggregates of one report read: the costly per-row work runs once."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

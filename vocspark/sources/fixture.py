@@ -57,8 +57,23 @@ ACCOUNT_DOMAINS = ("gmail.com", "gmial.com", "yahoo.com", "hotmial.com", "outloo
                    "yaho.com", "hotmail.co", "live.com", "outlok.com")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the scan into `defaultParallelism` partitions when it has
+    fewer (a small table stored as one row group is one task otherwise).  At
+    cluster scale the scan already has many more splits than cores and this
+    adds nothing; the check is plan-time only (no job)."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """One supplied table, pruned to `cols` before any spreading shuffle."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df.select(*cols) if cols else df)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
 
 
 def feedback_from_events(events: DataFrame) -> DataFrame:
@@ -115,7 +130,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents joined to labels: gold = quality, predicted = n_chars rule."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", "source")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "n_chars", "source")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return docs.join(labels, "doc_id").select(
         F.col("doc_id").alias("id"), "source",
@@ -125,16 +140,16 @@ def labelled_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free text of documents and conversation turns: (id, origin, text)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text").select(
         F.col("doc_id").alias("id"), F.lit("document").alias("origin"), "text")
-    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         F.lit("conversation").alias("origin"), "text")
     return docs.unionByName(conv)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, sf_dir, "documents")
 
 
 def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +174,7 @@ def history_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account rows from `customer`: e-mails with typo domains, mixed case and
     spacing, and repeated addresses (every 13th key after 0 reuses the previous one)."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+    c = read_table(spark, sf_dir, "customer", "c_custkey", "c_name")
     key = F.col("c_custkey")
     owner = F.when((key % 13 == 0) & (key > 0), key - 1).otherwise(key)
     domain = F.get(str_array(ACCOUNT_DOMAINS), F.pmod(owner, F.lit(len(ACCOUNT_DOMAINS))).cast("int"))
