@@ -302,9 +302,9 @@ SELECT strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS date, sentiment, count(
 FROM feedback GROUP BY 1, 2""")
 def q_stream_daily(spark, sf):
     from vocspark.streaming import stream as st
-    s, _ = _stream_input(spark, sf)
+    s, base = _stream_input(spark, sf)
     name = "daily_" + uuid.uuid4().hex[:8]
-    q = st.stream_daily_counts(s, name, watermark="400 days")
+    q = st.stream_daily_counts(s, name, checkpoint=base + "-ckpt", watermark="400 days")
     q.awaitTermination()
     # update mode emits a key again when it changes; counts only grow
     return spark.table(name).groupBy("date", "sentiment").agg(F.max("count").alias("count"))
@@ -316,7 +316,7 @@ def q_stream_urgent(spark, sf):
     from vocspark.streaming import stream as st
     s, base = _stream_input(spark, sf)
     out = base + "-urgent"
-    st.stream_urgent(s, out).awaitTermination()
+    st.stream_urgent(s, out, checkpoint=base + "-ckpt").awaitTermination()
     return spark.read.parquet(out).select("id", "emotion", "intensity")
 
 
@@ -325,7 +325,7 @@ def q_stream_urgent(spark, sf):
 def q_stream_kpis(spark, sf):
     from vocspark.streaming import stream as st
     s, base = _stream_input(spark, sf)
-    st.stream_kpis(s, base + "-kpis").awaitTermination()
+    st.stream_kpis(s, base + "-kpis", checkpoint=base + "-ckpt").awaitTermination()
     return spark.read.parquet(base + "-kpis")
 
 
@@ -341,5 +341,5 @@ def q_stream_classify(spark, sf):
                                             "created_at")
     raw.repartition(8).write.parquet(base)
     s = spark.readStream.schema(sc.FEEDBACK_SCHEMA).parquet(base)
-    st.stream_classify(s, base + "-out", base + "-rejects").awaitTermination()
+    st.stream_classify(s, base + "-out", base + "-rejects", checkpoint=base + "-ckpt").awaitTermination()
     return spark.read.parquet(base + "-out").select("id", "sentiment")
