@@ -79,8 +79,8 @@ def bootstrap_if_empty(spark: SparkSession, path: str, snapshot_csv: str) -> Dat
 
 # A2 ----------------------------------------------------------------------------
 
-def _rules_stored() -> list[tuple[str, Column]]:
-    return [
+def _rules_stored(columns=("source",)) -> list[tuple[str, Column]]:
+    rules = [
         ("text_missing", F.col("text").isNull()),
         ("sentiment_invalid", ~F.coalesce(F.col("sentiment").isin(*lx.CLASSES), F.lit(False))),
         ("confidence_missing", F.col("confidence").isNull()),
@@ -88,8 +88,10 @@ def _rules_stored() -> list[tuple[str, Column]]:
         ("created_at_missing", F.col("created_at").isNull()),
         ("text_empty", F.length(F.col("text")) < 1),
         ("text_too_long", F.length(F.col("text")) > lx.MAX_TEXT_CHARS),
-        ("source_too_long", F.length(F.col("source")) > lx.MAX_SOURCE_CHARS),
     ]
+    if "source" in columns:
+        rules.append(("source_too_long", F.length(F.col("source")) > lx.MAX_SOURCE_CHARS))
+    return rules
 
 
 def _rules_request() -> list[tuple[str, Column]]:
@@ -116,7 +118,7 @@ def validate_feedback(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored-table rules (text and created_at present, sentiment one of the
     three classes, confidence in 0..1) and the single-item limits (text
     1..2000 characters, source <= 50).  Returns (valid, rejects + `failed`)."""
-    return _split(df, _rules_stored())
+    return _split(df, _rules_stored(df.columns))
 
 
 def validate_request(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -128,7 +130,7 @@ def validate_request(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_failed_rules(df: DataFrame) -> DataFrame:
-    return df.withColumn("failed", failed_rules(_rules_stored()))
+    return df.withColumn("failed", failed_rules(_rules_stored(df.columns)))
 
 
 # A6-A14 -------------------------------------------------------------------------
@@ -169,11 +171,15 @@ def repair_wrapped_csv(spark: SparkSession, path: str) -> DataFrame:
     names = _split_header(header_line)
     ddl = ", ".join(f"`c{i}` STRING" for i in range(len(names)))
     body = raw.where(F.col("line") != F.lit(header_line))
-    parsed = body.select(F.from_csv("line", ddl, {"ignoreLeadingWhiteSpace": "true",
-                                                  "ignoreTrailingWhiteSpace": "false"}).alias("r"))
+    parsed = body.select(F.from_csv("line", ddl, CSV_RECORD_OPTIONS).alias("r"))
     return parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
 
 
+# one record per line: "" inside quotes is a quote, spaces after a comma skipped
+CSV_RECORD_OPTIONS = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "false",
+                      "escape": '"', "quote": '"'}
+
+
 def is_wrapped(df: DataFrame) -> bool:
     return len(df.columns) == 1 and "," in df.columns[0]
 
@@ -282,8 +288,7 @@ def wrapped_csv_corpus(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path).select(_unwrap(F.col("value")).alias("line"))
     header_line = spark.read.text(path).first()["value"]
     raw = raw.where((F.length(tx.ws_trim("line")) >= 5) & (F.col("line") != _unwrap(F.lit(header_line))))
-    parsed = raw.select(F.from_csv("line", "a STRING, b STRING", {"ignoreLeadingWhiteSpace": "true"})
-                        .alias("r"))
+    parsed = raw.select(F.from_csv("line", "a STRING, b STRING", CSV_RECORD_OPTIONS).alias("r"))
     d = parsed.where(F.col("r.b").isNotNull()).select(
         F.btrim(tx.ws_trim("r.a"), F.lit('"')).alias("text"),
         parse_text_label(F.col("r.b")).alias("label"))
