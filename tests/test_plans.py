@@ -70,3 +70,11 @@ def test_stop_words_are_a_hash_set(spark):
     d = fx.feedback(spark, SF_SMALL).select(F.size(tx.content_words("text")))
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert "INSET" in plan.upper()
+
+
+def test_top_k_adds_fan_in_step_for_many_partitions(spark):
+    d = fx.feedback(spark, SF_SMALL).repartition(50)
+    small = rk.top_per_group(d, "sentiment", [F.col("id")], 5)
+    big = rk.top_per_group(d, "sentiment", [F.col("id")], 5, task_rows=100)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
+    assert "_bucket" in big._jdf.queryExecution().optimizedPlan().toString()

@@ -14,17 +14,38 @@ from vocspark.functions import text as tx
 from vocspark.operators import aggregate as ag
 
 
+# Rows one task may take in the last step of a per-group top-k.
+TOP_K_TASK_ROWS = 10_000_000
+
+
 def top_per_group(df: DataFrame, group: str, order: list, k: int,
-                  rank_name: str = "rank") -> DataFrame:
+                  rank_name: str = "rank", task_rows: int = TOP_K_TASK_ROWS) -> DataFrame:
+    """Rows ranked 1..k within each group.
+
+    Spark limits each input partition to k rows per group before the shuffle
+    (WindowGroupLimit), so one group's final task receives partitions * k rows.
+    When that exceeds `task_rows`, an intermediate step first reduces groups of
+    input partitions (bucketed by partition id) to k rows each, so no task sees
+    more than about `task_rows` rows however large the input or the group."""
+    parts = df.rdd.getNumPartitions()
+    d = df
+    if parts * k > task_rows:
+        buckets = max(2, min(parts, -(-parts * k // task_rows)))
+        bucket = F.pmod(F.spark_partition_id(), F.lit(buckets))
+        w1 = Window.partitionBy(group, "_bucket").orderBy(*order)
+        d = (d.withColumn("_bucket", bucket).withColumn("_r1", F.row_number().over(w1))
+             .where(F.col("_r1") <= k).drop("_bucket", "_r1"))
     w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn(rank_name, F.row_number().over(w)).where(F.col(rank_name) <= k)
+    return d.withColumn(rank_name, F.row_number().over(w)).where(F.col(rank_name) <= k)
 
 
 def per_class_quota(df: DataFrame, label: str = "label", pos: str = "pos",
-                    n_train: int = 4000, n_test: int = 500) -> DataFrame:
+                    n_train: int = 4000, n_test: int = 500, max_pos: int | None = None) -> DataFrame:
     """In stream order, first n_train rows per class -> train, next n_test ->
-    test; other rows are not taken (that is the sampling rule itself)."""
-    d = top_per_group(df, label, [F.col(pos)], n_train + n_test, "_rn")
+    test; other rows are not taken (that is the sampling rule itself).
+    `max_pos` optionally bounds how far into the stream to look."""
+    src = df.where(F.col(pos) < max_pos) if max_pos is not None else df
+    d = top_per_group(src, label, [F.col(pos)], n_train + n_test, "_rn")
     split = F.when(F.col("_rn") <= n_train, "train").otherwise("test")
     return d.withColumn("split", split).drop("_rn")
 

@@ -42,6 +42,13 @@ def explode_scores(df: DataFrame, id_col: str = "id") -> DataFrame:
 
 ModelLoader = Callable[[], Callable[[list], list]]
 
+# One loaded model per Python worker process (workers are reused across tasks).
+_MODELS: dict = {}
+
+
+def _model_key(loader) -> str:
+    return f"{getattr(loader, '__module__', '')}.{getattr(loader, '__qualname__', repr(loader))}"
+
 
 def score_with_model(df: DataFrame, loader: ModelLoader, text: str = "text",
                      model_name: str = "model", batch_size: int = 64) -> DataFrame:
@@ -53,12 +60,13 @@ def score_with_model(df: DataFrame, loader: ModelLoader, text: str = "text",
     model call is Python.  Rows whose output maps to no class get null scores
     and are kept (keyed by their own columns, never by position)."""
     cleaned = df.withColumn("_clean", tx.clean_text(text))
-    cache: dict = {}
+    key = _model_key(loader)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = cache.get("p")
+        from vocspark.operators import score as this  # the worker's module copy
+        predict = this._MODELS.get(key)
         if predict is None:
-            predict = cache["p"] = loader()
+            predict = this._MODELS[key] = loader()
         for pdf in batches:
             out = []
             texts = pdf["_clean"].tolist()

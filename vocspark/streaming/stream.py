@@ -36,7 +36,9 @@ def _checkpoint(spark: SparkSession, name: str, checkpoint: str | None) -> str:
 def stream_classify(stream: DataFrame, out_path: str, rejects_path: str,
                     checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """validate -> clean -> score -> append; rejects to a second sink.  Each
-    micro-batch is written by foreachBatch (both sinks, same epoch)."""
+    micro-batch is written by foreachBatch under its own `epoch=` folder in
+    overwrite mode, so a batch replayed after a failure replaces its own
+    output instead of adding a second copy."""
     spark = stream.sparkSession
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -44,8 +46,8 @@ def stream_classify(stream: DataFrame, out_path: str, rejects_path: str,
         scored = score_rules(valid).withColumn("confidence", F.round("confidence", 4))
         cols = [f.name for f in sc.FEEDBACK_SCHEMA.fields]
         with_defaults(scored.select(*[c for c in cols if c in scored.columns])) \
-            .write.mode("append").partitionBy("date").parquet(out_path)
-        rejects.write.mode("append").parquet(rejects_path)
+            .write.mode("overwrite").partitionBy("date").parquet(f"{out_path}/epoch={epoch}")
+        rejects.write.mode("overwrite").parquet(f"{rejects_path}/epoch={epoch}")
 
     w = stream.writeStream.foreachBatch(write) \
         .option("checkpointLocation", _checkpoint(spark, "classify", checkpoint))
