@@ -98,3 +98,4 @@ def q_enrich(spark, sf):
 from vocspark.plans import catalog_text  # noqa: E402,F401
 from vocspark.plans import catalog_agg  # noqa: E402,F401
 from vocspark.plans import catalog_report  # noqa: E402,F401
+from vocspark.plans import catalog_io  # noqa: E402,F401

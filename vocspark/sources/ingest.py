@@ -142,9 +142,10 @@ def read_txt_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_items(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV, every column as text; quoted fields may span lines."""
+    """Header CSV, every column as text; quoted fields may span lines; empty
+    fields stay empty strings (blank handling is drop_blank_items' job)."""
     return spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8",
-                          mode="PERMISSIVE")
+                          mode="PERMISSIVE", nullValue=None)
 
 
 def _unwrap(line: Column) -> Column:
@@ -160,14 +161,25 @@ def _split_header(line: str) -> list[str]:
     return [h.strip() for h in next(csv.reader(io.StringIO(line), skipinitialspace=True))]
 
 
+def first_line(spark: SparkSession, path: str) -> str:
+    """First non-blank line of the first file (in name order) under `path`:
+    the header of an upload.  Reads one small file, not the data."""
+    files = sorted(spark.read.text(path).inputFiles())
+    for r in spark.read.text(files[0]).limit(5).collect():
+        if r["value"].strip():
+            return r["value"]
+    raise ValueError(f"no header line in {files[0]}")
+
+
 def repair_wrapped_csv(spark: SparkSession, path: str) -> DataFrame:
     """Files where every line is one quoted string holding a whole CSV record:
     drop blank and '""' lines, strip the outer quotes, unescape doubled quotes,
     re-parse each record with leading-space skipping.  Only the header line
-    reaches the driver (it names the columns)."""
+    reaches the driver (it names the columns); header lines repeated at the
+    top of further files are dropped with it."""
     raw = spark.read.text(path).select(_unwrap(F.col("value")).alias("line"))
     raw = raw.where((F.length("line") > 0) & (F.col("line") != '""'))
-    header_line = raw.first()["line"]
+    header_line = spark.range(1).select(_unwrap(F.lit(first_line(spark, path)))).first()[0]
     names = _split_header(header_line)
     ddl = ", ".join(f"`c{i}` STRING" for i in range(len(names)))
     body = raw.where(F.col("line") != F.lit(header_line))
@@ -271,7 +283,10 @@ def extract_feedback(spark: SparkSession, path: str, overrides: dict | None = No
 
 
 def export_csv(df: DataFrame, path: str, drop=("date",)) -> None:
+    """All result columns as CSV with a header (the derived `date` dropped);
+    text is written as is (no trimming), quotes doubled."""
     df.drop(*[c for c in drop if c in df.columns]).write.mode("overwrite") \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
         .csv(path, header=True, escape='"')
 
 
@@ -286,7 +301,7 @@ def wrapped_csv_corpus(spark: SparkSession, path: str) -> DataFrame:
     dropped, records with >= 2 fields, label title-cased and mapped to 0/1/2."""
     from vocspark.functions.labels import parse_text_label
     raw = spark.read.text(path).select(_unwrap(F.col("value")).alias("line"))
-    header_line = spark.read.text(path).first()["value"]
+    header_line = first_line(spark, path)
     raw = raw.where((F.length(tx.ws_trim("line")) >= 5) & (F.col("line") != _unwrap(F.lit(header_line))))
     parsed = raw.select(F.from_csv("line", "a STRING, b STRING", CSV_RECORD_OPTIONS).alias("r"))
     d = parsed.where(F.col("r.b").isNotNull()).select(
