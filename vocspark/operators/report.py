@@ -67,6 +67,10 @@ def kpi_row(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD) -> DataFrame:
             F.count_if(F.col("confidence") < F.lit(threshold)).alias("n_low")]
     if "risk" in df.columns:
         cols.append(F.count_if(F.col("risk") == "High").alias("n_high"))
+        if "emotion" in df.columns:
+            # mode skips nulls: the modal emotion of the High-risk rows, ties -> smallest
+            cols.append(F.mode(F.when(F.col("risk") == "High", F.col("emotion")), True)
+                        .alias("modal_high"))
     if "csat" in df.columns:
         cols.append(F.avg("csat").alias("avg_csat"))
     c = df.agg(*cols)
@@ -85,16 +89,27 @@ def mood(net: Column, labels=("strongly positive", "moderately positive", "mixed
             .when(net >= lx.NET_SPLIT, labels[2]).otherwise(labels[3]))
 
 
-def _gap_scalars(df: DataFrame, key: str):
-    g = ag.group_gap(df, (key,))
-    r = g.agg(F.first(F.struct("worst", "worst_net", "best", "best_net")).alias("s")).scalar()
-    return r
+def _gaps(df: DataFrame, keys) -> Column:
+    """Scalar map dimension -> struct(worst, worst_net, best, best_net) for the
+    dimensions with more than one group (one job for all dimensions)."""
+    g = ag.group_gap(df, keys)
+    return g.agg(F.map_from_entries(F.collect_list(F.struct(
+        "dimension", F.struct("worst", "worst_net", "best", "best_net"))))).scalar()
 
 
-def _words_if(df: DataFrame, sentiment: str, n: int, min_items: int) -> Column:
-    sub = df.where(F.col("sentiment") == sentiment)
-    enough = sub.agg(F.count(F.lit(1))).scalar() >= min_items
-    return F.when(enough, word_list(sub, n)).otherwise(F.lit(""))
+def words_by_class(df: DataFrame, n: int, sep: str = ", ") -> Column:
+    """Scalar map sentiment -> its top-n content words joined by sep (one job
+    for every class; at most classes * n rows reach the final aggregate)."""
+    from vocspark.operators.rank import top_words_per_sentiment
+    t = top_words_per_sentiment(df, n)
+    per = t.groupBy("sentiment").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), sep).alias("w"))
+    return per.agg(F.map_from_entries(F.collect_list(F.struct("sentiment", "w")))).scalar()
+
+
+def _gated(words: Column, sentiment: str, count_col: str, min_items: int) -> Column:
+    w = F.coalesce(F.try_element_at(words, F.lit(sentiment)), F.lit(""))
+    return F.when(F.col(count_col) >= min_items, w).otherwise(F.lit(""))
 
 
 # J1 / J2 ------------------------------------------------------------------------
@@ -103,8 +118,11 @@ def insights(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD) -> DataFrame
     """Rule-fired insight lines: (rule_no, rule, line), only fired rules."""
     k = kpi_row(df, threshold)
     net, neg, neu = F.col("net"), F.col("pct_neg"), F.col("pct_neu")
-    neg_words = _words_if(df, "Negative", 4, 3)
-    pos_words = _words_if(df, "Positive", 4, 3)
+    words = words_by_class(df, 4)
+    neg_words = _gated(words, "Negative", "n_neg", 3)
+    pos_words = _gated(words, "Positive", "n_pos", 3)
+    gap_keys = tuple(c for c in ("channel", "segment") if c in df.columns)
+    gaps = _gaps(df, gap_keys) if gap_keys else None
     s = fmt_signed0(net)
     mood_line = (
         F.when(net >= lx.NET_STRONG, F.concat(
@@ -145,21 +163,22 @@ def insights(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD) -> DataFrame
                   "handling."))),
     ]
     if "risk" in df.columns:
-        me = ag.modal_emotion(df).agg(F.first("emotion")).scalar()
+        me = F.coalesce(F.col("modal_high"), F.lit(lx.FALLBACK_HIGH_RISK_EMOTION)) \
+            if "emotion" in df.columns else F.lit(lx.FALLBACK_HIGH_RISK_EMOTION)
         rules.append((6, "high_risk", F.col("n_high") > 0, F.concat(
             F.lit("**"), F.col("n_high").cast("string"),
             F.lit(" High-Risk Items Detected** — intensely negative feedback (dominant emotion: "),
             me, F.lit("). These carry the highest churn and public-escalation risk; see the "
                       "Urgent Alert Box."))))
     if "channel" in df.columns:
-        g = _gap_scalars(df, "channel")
+        g = F.try_element_at(gaps, F.lit("channel"))
         rules.append((7, "channel_gap", g.isNotNull(), F.concat(
             F.lit("**Channel Gap:** sentiment is weakest on **"), g["worst"],
             F.lit("** (Net "), fmt_signed0(g["worst_net"]), F.lit(") and strongest on **"),
             g["best"], F.lit("** (Net "), fmt_signed0(g["best_net"]),
             F.lit(") — channel-specific experience differences are worth investigating."))))
     if "segment" in df.columns:
-        g = _gap_scalars(df, "segment")
+        g = F.try_element_at(gaps, F.lit("segment"))
         rules.append((8, "segment_watch", g.isNotNull(), F.concat(
             F.lit("**Segment Watch:** the **"), g["worst"],
             F.lit("** segment has the lowest Net Sentiment ("), fmt_signed0(g["worst_net"]),
@@ -172,8 +191,9 @@ def insights(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD) -> DataFrame
 def recommendations(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD) -> DataFrame:
     """Ordered recommendation lines, numbered from 1: (rec_no, line)."""
     k = kpi_row(df, threshold)
-    neg_words = _words_if(df, "Negative", 4, 3)
-    pos_words = _words_if(df, "Positive", 4, 3)
+    words = words_by_class(df, 4)
+    neg_words = _gated(words, "Negative", "n_neg", 3)
+    pos_words = _gated(words, "Positive", "n_pos", 3)
     first_neg = F.substring_index(neg_words, ", ", 1)
     has_high = (F.col("n_high") > 0) if "risk" in df.columns else F.lit(False)
     rules = [
@@ -204,41 +224,48 @@ def recommendations(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD) -> Da
 
 # D4 / J3 -------------------------------------------------------------------------
 
-def batch_vs_history(batch: DataFrame, history: DataFrame) -> DataFrame:
-    """Batch net vs all-time net (only when history has more rows): one row
-    with direction 'better than' / 'worse than' / 'in line with' (±5)."""
-    b = kpi_row(batch)
+def history_scalar(history: DataFrame) -> Column:
+    """Scalar struct(n, net) of the stored history (one aggregate job)."""
     h = history.agg(F.count(F.lit(1)).alias("n"),
                     F.count_if(F.col("sentiment") == "Positive").alias("p"),
                     F.count_if(F.col("sentiment") == "Negative").alias("q"))
-    hs = h.select(F.struct("n", ag.net_score(F.col("p"), F.col("q"), F.col("n")).alias("net"))
-                  .alias("s")).scalar()
-    hist_net, hist_n = hs["net"], hs["n"]
+    return h.select(F.struct("n", ag.net_score(F.col("p"), F.col("q"), F.col("n")).alias("net"))
+                    .alias("s")).scalar()
+
+
+def _direction(hs: Column) -> Column:
+    """'better than' / 'worse than' / 'in line with' (±5) against the history
+    on a KPI row; null unless the history has more rows than the batch."""
     band = lx.HISTORY_DEAD_BAND
-    direction = F.when(F.col("net") > hist_net + band, "better than") \
-        .when(F.col("net") < hist_net - band, "worse than").otherwise("in line with")
-    compared = hist_n > F.col("total")
-    return b.select(F.col("total").alias("batch_items"), F.col("net").alias("batch_net"),
-                    hist_n.alias("history_items"), hist_net.alias("history_net"),
-                    F.when(compared, direction).alias("direction"))
+    d = F.when(F.col("net") > hs["net"] + band, "better than") \
+        .when(F.col("net") < hs["net"] - band, "worse than").otherwise("in line with")
+    return F.when(hs["n"] > F.col("total"), d)
+
+
+def batch_vs_history(batch: DataFrame, history: DataFrame) -> DataFrame:
+    """Batch net vs all-time net (only when history has more rows): one row
+    with direction 'better than' / 'worse than' / 'in line with' (±5)."""
+    hs = history_scalar(history)
+    return kpi_row(batch).select(F.col("total").alias("batch_items"), F.col("net").alias("batch_net"),
+                                 hs["n"].alias("history_items"), hs["net"].alias("history_net"),
+                                 _direction(hs).alias("direction"))
 
 
 def executive_summary(batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One line: volume, shares, mood, net, confidence, top complaint words
-    and the comparison with history."""
+    and the comparison with history (KPI row + two scalar subqueries)."""
     k = kpi_row(batch)
-    themes = word_list(batch.where(F.col("sentiment") == "Negative"), 3)
+    themes = F.coalesce(F.try_element_at(words_by_class(batch, 3), F.lit("Negative")), F.lit(""))
     theme_txt = F.when(themes != "", F.concat(F.lit(" The main complaint themes are "),
                                               themes, F.lit("."))).otherwise(F.lit(""))
     hist_txt = F.lit("")
     if history is not None:
-        cmp = batch_vs_history(batch, history).select(
-            F.struct("direction", "batch_net", "history_net").alias("s")).scalar()
-        hist_txt = F.when(cmp["direction"].isNotNull(), F.concat(
-            F.lit(" This batch is "), cmp["direction"],
-            F.lit(" your overall history (Net Sentiment "), fmt_signed0(cmp["batch_net"]),
-            F.lit(" vs "), fmt_signed0(cmp["history_net"]), F.lit(" all-time)."))) \
-            .otherwise(F.lit(""))
+        hs = history_scalar(history)
+        d = _direction(hs)
+        hist_txt = F.when(d.isNotNull(), F.concat(
+            F.lit(" This batch is "), d,
+            F.lit(" your overall history (Net Sentiment "), fmt_signed0(F.col("net")),
+            F.lit(" vs "), fmt_signed0(hs["net"]), F.lit(" all-time)."))).otherwise(F.lit(""))
     line = F.concat(
         F.lit("Analyzed **"), fmt_int(F.col("total")), F.lit(" feedback items**: **"),
         fmt0(F.col("pct_pos")), F.lit("% Positive**, "), fmt0(F.col("pct_neu")),
@@ -290,34 +317,38 @@ def share_like_this(items: DataFrame, history: DataFrame, id_col: str = "id") ->
                     total.alias("history_items"))
 
 
-def sentence_mix(text: str = "text", max_sentences: int = 30) -> tuple[Column, Column]:
-    """Positive and Negative sentence counts of a document (rule scorer on
-    each of its first 30 sentences; documents with < 2 sentences give 0, 0).
-    A per-row array expression: no explode, no shuffle."""
-    sents = tx.split_sentences(text)
-    labels = F.transform(F.slice(sents, 1, max_sentences),
-                         lambda s: lb.rule_scores(tx.clean_text(s))[1])
-    many = F.size(sents) >= 2
-    pos = F.when(many, F.size(F.filter(labels, lambda x: x == "Positive"))).otherwise(0)
-    neg = F.when(many, F.size(F.filter(labels, lambda x: x == "Negative"))).otherwise(0)
-    return pos, neg
+def with_sentence_mix(df: DataFrame, text: str = "text", max_sentences: int = 30) -> DataFrame:
+    """Adds sentences (min 1), positive_sentences, negative_sentences and
+    mixed: the rule scorer on each of the first 30 sentences (documents with
+    fewer than 2 sentences give 0, 0).  Per-row array expressions, no explode
+    and no shuffle; the split and the labels are staged so each runs once."""
+    d = df.withColumn("_sents", tx.split_sentences(text))
+    d = d.withColumn("_labels", F.transform(F.slice("_sents", 1, max_sentences),
+                                            lambda s: lb.rule_scores(tx.clean_text(s))[1]))
+    many = F.size("_sents") >= 2
+
+    def count(cls):
+        return F.when(many, F.size(F.filter("_labels", lambda x: x == cls))).otherwise(0)
+
+    d = d.withColumns({"sentences": F.greatest(F.size("_sents"), F.lit(1)),
+                       "positive_sentences": count("Positive"),
+                       "negative_sentences": count("Negative")})
+    return d.withColumn("mixed", (F.col("positive_sentences") > 0)
+                        & (F.col("negative_sentences") > 0)).drop("_sents", "_labels")
 
 
 def item_report(enriched: DataFrame, text: str = "text") -> DataFrame:
     """Per item: band, CSAT, emotion, intensity, risk, driver, aspects, text
-    statistics, mixed-sentiment flag, meaning and action: one projection."""
-    d = en.with_aspects(enriched, text, "aspects")
+    statistics, mixed-sentiment flag, meaning and action: projections only."""
+    d = with_sentence_mix(en.with_aspects(enriched, text, "aspects"), text)
     band, _ = lex.confidence_band("confidence")
-    pos, neg = sentence_mix(text)
     d = d.withColumns({
         "band": band,
         "words": tx.word_count(text), "characters": tx.char_count(text),
-        "sentences": tx.sentence_count(text), "exclamations": tx.exclamation_count(text),
-        "positive_sentences": pos, "negative_sentences": neg,
+        "exclamations": tx.exclamation_count(text),
         "meaning": lex.lookup("sentiment", lx.WHAT_IT_MEANS),
         "action": lex.lookup("sentiment", lx.RECOMMENDED_ACTION),
     })
-    d = d.withColumn("mixed", (F.col("positive_sentences") > 0) & (F.col("negative_sentences") > 0))
     return d.select("id", "sentiment", "confidence", "band", "csat", "emotion", "intensity",
                     "risk", "driver", F.array_join("aspects", "; ").alias("aspects"), "topic",
                     "words", "characters", "sentences", "exclamations", "positive_sentences",

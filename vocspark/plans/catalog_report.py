@@ -191,10 +191,8 @@ _POS, _NEG = _mix_sql()
   positive_sentences > 0 AND negative_sentences > 0 AS mixed
 FROM (SELECT id, {_POS} AS positive_sentences, {_NEG} AS negative_sentences FROM feedback)""")
 def q_mixed(spark, sf):
-    pos, neg = rp.sentence_mix("text")
-    d = fx.feedback(spark, sf).select("id", pos.alias("positive_sentences"),
-                                      neg.alias("negative_sentences"))
-    return d.withColumn("mixed", (F.col("positive_sentences") > 0) & (F.col("negative_sentences") > 0))
+    d = rp.with_sentence_mix(fx.feedback(spark, sf).select("id", "text"))
+    return d.select("id", "positive_sentences", "negative_sentences", "mixed")
 
 
 def _item_sql() -> str:
