@@ -114,15 +114,18 @@ def _gated(words: Column, sentiment: str, count_col: str, min_items: int) -> Col
 
 # J1 / J2 ------------------------------------------------------------------------
 
-def insights(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD) -> DataFrame:
-    """Rule-fired insight lines: (rule_no, rule, line), only fired rules."""
+def insights(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD,
+             words: Column | None = None, gaps: Column | None = None) -> DataFrame:
+    """Rule-fired insight lines: (rule_no, rule, line), only fired rules.
+    `words` / `gaps` let a caller share those scalar subqueries."""
     k = kpi_row(df, threshold)
     net, neg, neu = F.col("net"), F.col("pct_neg"), F.col("pct_neu")
-    words = words_by_class(df, 4)
+    words = words if words is not None else words_by_class(df, 4)
     neg_words = _gated(words, "Negative", "n_neg", 3)
     pos_words = _gated(words, "Positive", "n_pos", 3)
     gap_keys = tuple(c for c in ("channel", "segment") if c in df.columns)
-    gaps = _gaps(df, gap_keys) if gap_keys else None
+    if gaps is None and gap_keys:
+        gaps = _gaps(df, gap_keys)
     s = fmt_signed0(net)
     mood_line = (
         F.when(net >= lx.NET_STRONG, F.concat(
@@ -188,10 +191,11 @@ def insights(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD) -> DataFrame
     return k.select(F.inline(arr)).where("fired").drop("fired")
 
 
-def recommendations(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD) -> DataFrame:
+def recommendations(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD,
+                    words: Column | None = None) -> DataFrame:
     """Ordered recommendation lines, numbered from 1: (rec_no, line)."""
     k = kpi_row(df, threshold)
-    words = words_by_class(df, 4)
+    words = words if words is not None else words_by_class(df, 4)
     neg_words = _gated(words, "Negative", "n_neg", 3)
     pos_words = _gated(words, "Positive", "n_pos", 3)
     first_neg = F.substring_index(neg_words, ", ", 1)
@@ -365,10 +369,13 @@ def report_sections(enriched: DataFrame, threshold: float = lx.REVIEW_THRESHOLD)
         parts.append(df_lines.select(F.lit(no).alias("section_no"), F.lit(name).alias("section"),
                                      "line_no", "line"))
 
-    add(1, "insights", insights(enriched, threshold).select(
+    words = words_by_class(enriched, 4)
+    keys = tuple(c for c in ("channel", "segment") if c in enriched.columns)
+    gaps = _gaps(enriched, keys) if keys else None
+    add(1, "insights", insights(enriched, threshold, words, gaps).select(
         F.col("rule_no").alias("line_no"),
         F.concat(F.lit("- "), F.replace(F.col("line"), F.lit("**"), F.lit(""))).alias("line")))
-    add(2, "recommendations", recommendations(enriched, threshold).select(
+    add(2, "recommendations", recommendations(enriched, threshold, words).select(
         F.col("rec_no").alias("line_no"),
         F.concat(F.col("rec_no").cast("string"), F.lit(". "), F.col("line")).alias("line")))
     add(3, "risk_profile", ag.risk_profile(enriched).select(
@@ -378,8 +385,9 @@ def report_sections(enriched: DataFrame, threshold: float = lx.REVIEW_THRESHOLD)
     piv = ag.aspect_pivot(ag.aspect_breakdown(enriched))
     pieces = F.filter(F.array(*[F.when(F.col(s) > 0, F.concat(F.col(s).cast("string"), F.lit(" " + s)))
                                 for s in lx.CLASSES]), lambda x: x.isNotNull())
+    # the reference lists aspects from a pivot table, i.e. sorted by name (six rows)
     add(4, "aspects", piv.select(
-        F.col("aspect_rank").alias("line_no"),
+        F.row_number().over(Window.orderBy("aspect")).alias("line_no"),
         F.concat(F.lit("- "), F.col("aspect"), F.lit(": "), F.array_join(pieces, ", ")).alias("line")))
     for no, key in ((5, "channel"), (6, "segment")):
         multi = enriched.agg(F.count_distinct(key)).scalar() > 1

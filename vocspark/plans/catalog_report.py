@@ -216,7 +216,40 @@ def q_item_report(spark, sf):
     return rp.item_report(enr(spark, sf))
 
 
-@query("report_sections", "J4")
+def _sections_sql() -> str:
+    from vocspark.plans.catalog_agg import _aspect_hits_sql
+    fs, fp = S.fmt_signed0_sql, S.fmt_pct0_sql
+    piece = ", ".join(f"CASE WHEN {c} > 0 THEN CAST({c} AS VARCHAR) || ' {c}' END" for c in lx.CLASSES)
+
+    def groups(no: int, key: str) -> str:
+        return f"""SELECT {no}, '{key}s', CAST(dense_rank() OVER (ORDER BY {key}) AS INTEGER),
+    '- ' || {key} || ': ' || CAST(items AS VARCHAR) || ' items, Net Sentiment ' || {fs('net')}
+  FROM (SELECT {key}, count(*) AS items, {S.net_sql("count(*) FILTER (WHERE sentiment = 'Positive')",
+                                                    "count(*) FILTER (WHERE sentiment = 'Negative')",
+                                                    "count(*)")} AS net FROM batch GROUP BY {key})
+  WHERE (SELECT count(DISTINCT {key}) FROM batch) > 1"""
+
+    return f""",
+ab AS (SELECT aspect, count(*) FILTER (WHERE sentiment = 'Negative') AS Negative,
+         count(*) FILTER (WHERE sentiment = 'Neutral') AS Neutral,
+         count(*) FILTER (WHERE sentiment = 'Positive') AS Positive
+       FROM ({_aspect_hits_sql('batch')}) GROUP BY aspect)
+SELECT 1 AS section_no, 'insights' AS section, rule_no AS line_no, '- ' || replace(line, '**', '') AS line FROM ins
+UNION ALL SELECT 2, 'recommendations', CAST(rec_no AS INTEGER), CAST(rec_no AS VARCHAR) || '. ' || line FROM recs
+UNION ALL SELECT 3, 'risk_profile', r.rank, '- ' || r.risk || ': ' || CAST(coalesce(c.n, 0) AS VARCHAR) || ' items'
+  FROM (VALUES (1, 'High'), (2, 'Medium'), (3, 'Low'), (4, 'None')) r(rank, risk)
+  LEFT JOIN (SELECT risk, count(*) AS n FROM batch GROUP BY risk) c USING (risk)
+UNION ALL SELECT 4, 'aspects', CAST(row_number() OVER (ORDER BY aspect) AS INTEGER),
+  '- ' || aspect || ': ' || array_to_string(list_filter([{piece}], lambda x: x IS NOT NULL), ', ') FROM ab
+UNION ALL {groups(5, 'channel')}
+UNION ALL {groups(6, 'segment')}
+UNION ALL SELECT 7, 'urgent_queue', CAST(row_number() OVER (ORDER BY confidence DESC, id) AS INTEGER),
+  '- (' || {fp('confidence')} || ') ' || text
+  FROM (SELECT * FROM batch WHERE risk = 'High' ORDER BY confidence DESC, id LIMIT 10)"""
+
+
+@query("report_sections", "J4", BASE.rstrip() + ",\n" + _insight_ctes() + ",\n" + _recs_cte()
+       + _sections_sql())
 def q_sections(spark, sf):
     batch, _ = batch_and_history(spark, sf)
     return rp.report_sections(batch)
