@@ -78,3 +78,31 @@ def test_top_k_adds_fan_in_step_for_many_partitions(spark):
     big = rk.top_per_group(d, "sentiment", [F.col("id")], 5, task_rows=100)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
     assert "_bucket" in big._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _subqueries(df) -> int:
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue().count("Subquery:")
+
+
+def test_report_scalars_run_once(spark):
+    """A scalar read by many lines is one subquery, not one per reference."""
+    q = E.queries()
+    assert _subqueries(q["insights"](spark, SF_SMALL)) == 2          # words map, gaps map
+    assert _subqueries(q["recommendations"](spark, SF_SMALL)) == 1   # words map
+    assert _subqueries(q["executive_summary"](spark, SF_SMALL)) == 2  # themes, history
+    assert _subqueries(q["batch_vs_history"](spark, SF_SMALL)) == 1
+    assert _subqueries(q["share_like_this"](spark, SF_SMALL)) == 1
+
+
+def test_length_histogram_scans_texts_once(spark):
+    """The min/max subquery reads the per-length aggregate, whose exchange
+    the main plan reuses, so the texts are tokenized once."""
+    df = E.queries()["length_histogram"](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan and "hashpartitioning(_w" in plan

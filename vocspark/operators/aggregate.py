@@ -35,6 +35,16 @@ def _is(sent: str, col: str = "sentiment") -> Column:
     return F.col(col) == sent
 
 
+def with_scalars(df: DataFrame, scalars: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+    """Adds each scalar subquery as a column in its own projection and returns
+    column references to use instead.  Spark runs a scalar subquery once per
+    occurrence in the plan; Catalyst does not inline a non-cheap expression
+    that is read more than once, so every subquery runs exactly once however
+    many output expressions use it."""
+    out = df.withColumns(scalars)
+    return out, {k: F.col(k) for k in scalars}
+
+
 # E1-E4 ---------------------------------------------------------------------
 
 def total_count(df: DataFrame) -> DataFrame:
@@ -339,13 +349,23 @@ def length_profile(df: DataFrame, label: str = "label", text: str = "text") -> D
 
 
 def length_histogram(df: DataFrame, bins: int = 40, text: str = "text") -> DataFrame:
-    """Word-count histogram with equal bins between the global min and max."""
-    d = df.select(tx.word_count(text).alias("_w"))
-    lo = d.agg(F.min("_w")).scalar()
-    hi = d.agg(F.max("_w")).scalar()
+    """Word-count histogram with equal bins between the global min and max.
+    The texts are scanned once: rows collapse to (word count, rows) first (at
+    most one row per distinct length, aggregated map-side), and both the
+    min/max subquery and the binning read that small frame (AQE reuses its
+    exchange)."""
+    d = (df.select(tx.word_count(text).alias("_w"))
+         .groupBy("_w").agg(F.count(F.lit(1)).alias("_c")))
+    # min/max over lengths that occur (`_c > 0`, always true): reading `_c`
+    # keeps the subquery on the aggregate instead of a rewrite to a re-scan
+    occurs = F.col("_c") > 0
+    d, sc = with_scalars(d, {"_mm": d.agg(F.struct(
+        F.min(F.when(occurs, F.col("_w"))).alias("lo"),
+        F.max(F.when(occurs, F.col("_w"))).alias("hi"))).scalar()})
+    lo, hi = sc["_mm"]["lo"], sc["_mm"]["hi"]
     width = F.greatest(hi - lo, F.lit(1))
     b = F.least(F.floor((F.col("_w") - lo) * bins / width), F.lit(bins - 1)).cast("int")
-    return d.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    return d.groupBy(b.alias("bin")).agg(F.sum("_c").alias("count"))
 
 
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:

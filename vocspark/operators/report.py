@@ -118,14 +118,16 @@ def insights(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD,
              words: Column | None = None, gaps: Column | None = None) -> DataFrame:
     """Rule-fired insight lines: (rule_no, rule, line), only fired rules.
     `words` / `gaps` let a caller share those scalar subqueries."""
-    k = kpi_row(df, threshold)
     net, neg, neu = F.col("net"), F.col("pct_neg"), F.col("pct_neu")
     words = words if words is not None else words_by_class(df, 4)
-    neg_words = _gated(words, "Negative", "n_neg", 3)
-    pos_words = _gated(words, "Positive", "n_pos", 3)
     gap_keys = tuple(c for c in ("channel", "segment") if c in df.columns)
     if gaps is None and gap_keys:
         gaps = _gaps(df, gap_keys)
+    k, sc = ag.with_scalars(kpi_row(df, threshold), {"_words": words, "_gaps": gaps}
+                            if gaps is not None else {"_words": words})
+    words, gaps = sc["_words"], sc.get("_gaps")
+    neg_words = _gated(words, "Negative", "n_neg", 3)
+    pos_words = _gated(words, "Positive", "n_pos", 3)
     s = fmt_signed0(net)
     mood_line = (
         F.when(net >= lx.NET_STRONG, F.concat(
@@ -194,10 +196,10 @@ def insights(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD,
 def recommendations(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD,
                     words: Column | None = None) -> DataFrame:
     """Ordered recommendation lines, numbered from 1: (rec_no, line)."""
-    k = kpi_row(df, threshold)
     words = words if words is not None else words_by_class(df, 4)
-    neg_words = _gated(words, "Negative", "n_neg", 3)
-    pos_words = _gated(words, "Positive", "n_pos", 3)
+    k, sc = ag.with_scalars(kpi_row(df, threshold), {"_words": words})
+    neg_words = _gated(sc["_words"], "Negative", "n_neg", 3)
+    pos_words = _gated(sc["_words"], "Positive", "n_pos", 3)
     first_neg = F.substring_index(neg_words, ", ", 1)
     has_high = (F.col("n_high") > 0) if "risk" in df.columns else F.lit(False)
     rules = [
@@ -249,8 +251,9 @@ def _direction(hs: Column) -> Column:
 def batch_vs_history(batch: DataFrame, history: DataFrame) -> DataFrame:
     """Batch net vs all-time net (only when history has more rows): one row
     with direction 'better than' / 'worse than' / 'in line with' (±5)."""
-    hs = history_scalar(history)
-    return kpi_row(batch).select(F.col("total").alias("batch_items"), F.col("net").alias("batch_net"),
+    k, sc = ag.with_scalars(kpi_row(batch), {"_hs": history_scalar(history)})
+    hs = sc["_hs"]
+    return k.select(F.col("total").alias("batch_items"), F.col("net").alias("batch_net"),
                                  hs["n"].alias("history_items"), hs["net"].alias("history_net"),
                                  _direction(hs).alias("direction"))
 
@@ -258,13 +261,17 @@ def batch_vs_history(batch: DataFrame, history: DataFrame) -> DataFrame:
 def executive_summary(batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One line: volume, shares, mood, net, confidence, top complaint words
     and the comparison with history (KPI row + two scalar subqueries)."""
-    k = kpi_row(batch)
-    themes = F.coalesce(F.try_element_at(words_by_class(batch, 3), F.lit("Negative")), F.lit(""))
+    scalars = {"_themes": F.coalesce(F.try_element_at(words_by_class(batch, 3), F.lit("Negative")),
+                                     F.lit(""))}
+    if history is not None:
+        scalars["_hs"] = history_scalar(history)
+    k, sc = ag.with_scalars(kpi_row(batch), scalars)
+    themes = sc["_themes"]
     theme_txt = F.when(themes != "", F.concat(F.lit(" The main complaint themes are "),
                                               themes, F.lit("."))).otherwise(F.lit(""))
     hist_txt = F.lit("")
     if history is not None:
-        hs = history_scalar(history)
+        hs = sc["_hs"]
         d = _direction(hs)
         hist_txt = F.when(d.isNotNull(), F.concat(
             F.lit(" This batch is "), d,
@@ -314,8 +321,9 @@ def share_like_this(items: DataFrame, history: DataFrame, id_col: str = "id") ->
     filtered to the class names first), so broadcasting it is size-safe."""
     h = history.where(F.col("sentiment").isin(*lx.CLASSES)) \
         .groupBy("sentiment").agg(F.count(F.lit(1)).alias("_n"))
-    total = history.agg(F.count(F.lit(1))).scalar()
-    j = items.join(F.broadcast(h), "sentiment", "left")
+    j, sc = ag.with_scalars(items.join(F.broadcast(h), "sentiment", "left"),
+                            {"_total": history.agg(F.count(F.lit(1))).scalar()})
+    total = sc["_total"]
     return j.select(id_col, "sentiment",
                     ag.share(F.coalesce(F.col("_n"), F.lit(0)), total).alias("same_pct"),
                     total.alias("history_items"))
