@@ -123,3 +123,29 @@ def test_metrics_round_trip(spark, tmp_path):
     p.write_text(json.dumps({"accuracy": 0.5}))
     assert ing.read_metrics(spark, [str(tmp_path / "missing.json"), str(p)]) == {"accuracy": 0.5}
     assert ing.read_metrics(spark, [str(tmp_path / "none.json")]) is None
+
+
+def test_replace_with_rows_from_the_same_table(spark, tmp_path):
+    """The new rows may be derived from the table being replaced."""
+    path = str(tmp_path / "store")
+    df = spark.createDataFrame([(1, "good", "Positive", 0.9, "2024-01-01 10:00:00"),
+                                (2, "bad", "Negative", 0.8, "2024-02-01 10:00:00")],
+                               "id long, text string, sentiment string, confidence double, "
+                               "created_at string")
+    ing.append_feedback(df.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")), path)
+    stored = ing.read_feedback(spark, path)
+    assert ing.replace_feedback(spark, stored.where(F.col("id") == 2), path) == 2
+    assert [r.id for r in ing.read_feedback(spark, path).collect()] == [2]
+
+
+def test_metric_rows_fall_back_and_summarise(spark, tmp_path):
+    from vocspark.operators import evaluate as ev
+    rows = spark.createDataFrame(
+        [("tweets", "accuracy", 0.68, 0.68, 0.68, 100), ("reviews", "accuracy", 0.73, 0.73, 0.73, 1500),
+         ("reviews", "Negative", 0.7, 0.6, 0.65, 500)],
+        "test_set string, cls string, precision double, recall double, f1 double, support long")
+    ing.write_metrics(rows, str(tmp_path / "v1"))
+    back = ing.read_metric_rows(spark, [str(tmp_path / "v2"), str(tmp_path / "v1")])
+    got = ev.metrics_summary(back, preferred=("reviews", "tweets")).first()
+    assert (got.accuracy, got.accuracy_label, got.test_size, got.test_size_label) == (0.73, "73%", 1600, "1,600")
+    assert ing.read_metric_rows(spark, [str(tmp_path / "none")]) is None

@@ -72,6 +72,22 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
                        "support")
 
 
+def metrics_summary(rows: DataFrame, preferred: Sequence[str] = ("documents_test", "feedback_test"),
+                    test_set: str = "test_set") -> DataFrame:
+    """Landing-page model figures from stored evaluation rows (see
+    `classification_report(..., group=test_set)`): the accuracy of the first
+    test set in `preferred` that is present, and the test rows summed over
+    every test set.  One row; the input has classes + 3 rows per test set."""
+    from vocspark.operators.report import fmt0, fmt_int
+    acc = rows.where(F.col("cls") == "accuracy")
+    rank_ = F.array_position(tx.str_array(preferred), F.col(test_set))
+    s = acc.agg(F.min_by("precision", F.when(rank_ > 0, rank_)).alias("accuracy"),
+                F.sum("support").alias("test_size"))
+    return s.select("accuracy",
+                    F.concat(fmt0(F.col("accuracy") * F.lit(100.0)), F.lit("%")).alias("accuracy_label"),
+                    "test_size", fmt_int(F.col("test_size")).alias("test_size_label"))
+
+
 def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "pred",
                      digits: int = 6) -> DataFrame:
     """Counts per (label, pred) and the share of the true class."""

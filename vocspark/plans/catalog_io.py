@@ -88,3 +88,59 @@ def q_corpus(spark, sf):
 def q_project(spark, sf):
     wanted = ("text", "sentiment", "confidence", "driver", "emotion", "channel", "segment")
     return fl.project_available(fx.feedback(spark, sf), wanted)
+
+
+CUT = f"TIMESTAMP '{fx.HISTORY_CUTOFF} 00:00:00'"
+
+
+@query("replace_and_read", "A4+A3+A1", S.with_(S.FEEDBACK) + f"""SELECT id, text, sentiment,
+  round(confidence, 4) AS confidence, coalesce(source, 'api') AS source,
+  strftime(created_at, {TSF}) AS created_at, strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS date,
+  (SELECT count(*) FROM feedback) AS removed
+FROM feedback WHERE created_at >= {CUT}""")
+def q_replace(spark, sf):
+    """Store the fixture, then replace the table with rows derived from the
+    table itself (the items from the cutoff on) and read it back."""
+    path = _fresh(spark, "store")
+    ing.append_feedback(fx.feedback(spark, sf), path)
+    stored = ing.read_feedback(spark, path)
+    keep = stored.where(F.col("created_at") >= F.lit(fx.HISTORY_CUTOFF).cast("timestamp_ntz"))
+    removed = ing.replace_feedback(spark, keep, path)
+    return ing.read_feedback(spark, path).withColumn("removed", F.lit(removed).cast("long"))
+
+
+@query("bootstrap_and_read", "A5+A15+A3", S.with_(S.FEEDBACK) + f"""SELECT text, sentiment,
+  round(confidence, 4) AS confidence, source,
+  strftime(date_trunc('second', created_at), {TSF}) AS created_at FROM feedback""")
+def q_bootstrap(spark, sf):
+    """A CSV snapshot of the fixture (timestamps to the second, as stored
+    rows are) loads into a table that does not exist yet."""
+    snap = _fresh(spark, "snapshot")
+    fb = fx.feedback(spark, sf).select("text", "sentiment", "confidence", "source",
+                                       F.date_trunc("second", "created_at").cast("timestamp_ntz")
+                                       .alias("created_at"))
+    ing.export_csv(fb, snap)
+    stored = ing.bootstrap_if_empty(spark, _fresh(spark, "store"), snap)
+    return stored.select("text", "sentiment", "confidence", "source", "created_at")
+
+
+def _metrics_sql() -> str:
+    from vocspark.plans.catalog_agg import EVAL_SETS, _report_sql
+    return EVAL_SETS.rstrip() + ",\nrep AS (SELECT * FROM (WITH " + _report_sql("ts", "test_set") + """)),
+s AS (SELECT arg_min(precision, CASE test_set WHEN 'documents_test' THEN 1 WHEN 'feedback_test' THEN 2 END)
+        AS accuracy, CAST(sum(support) AS BIGINT) AS test_size FROM rep WHERE cls = 'accuracy')
+SELECT accuracy, """ + S.fmt0_sql("accuracy * CAST(100 AS DOUBLE)") + """ || '%' AS accuracy_label,
+  test_size, format('{:,}', test_size) AS test_size_label FROM s"""
+
+
+@query("metrics_round_trip", "A17+I5", _metrics_sql())
+def q_metrics(spark, sf):
+    """The evaluation report stored as metric rows (only the older file
+    exists, so the reader falls back to it), read back into the landing
+    figures."""
+    from vocspark.operators import evaluate as ev
+    from vocspark.plans.catalog_agg import q_evaluate
+    path = _fresh(spark, "metrics")
+    ing.write_metrics(q_evaluate(spark, sf), f"{path}/metrics_v1")
+    rows = ing.read_metric_rows(spark, [f"{path}/metrics_v2", f"{path}/metrics_v1"])
+    return ev.metrics_summary(rows)

@@ -50,8 +50,10 @@ def append_feedback(df: DataFrame, path: str, now=None) -> None:
 
 def replace_feedback(spark: SparkSession, df: DataFrame | None, path: str) -> int:
     """Remove every stored row (and write `df` if given); returns rows removed.
-    The new rows go to a sibling folder first, so the old table is never read
-    while it is being overwritten."""
+    New rows are first checkpointed to the shared folder, so `df` may be
+    derived from the table it replaces: the overwrite never reads the files
+    it deletes."""
+    from vocspark.session import materialize
     try:
         removed = read_feedback(spark, path).count()
     except Exception:  # noqa: BLE001 - no table yet
@@ -59,6 +61,8 @@ def replace_feedback(spark: SparkSession, df: DataFrame | None, path: str) -> in
     schema = T.StructType(sc.FEEDBACK_SCHEMA.fields + [T.StructField("date", T.DateType())])
     new = df if df is not None else spark.createDataFrame([], schema)
     new = with_defaults(new) if "date" not in new.columns else new
+    if df is not None:
+        new = materialize(new.select(*schema.fieldNames()))
     new.select(*schema.fieldNames()).write.mode("overwrite").partitionBy("date").parquet(path)
     return removed
 
@@ -314,12 +318,30 @@ def metrics_frame(spark: SparkSession, report: DataFrame, model: str) -> DataFra
     return report.withColumn("model", F.lit(model))
 
 
+METRIC_ROWS_SCHEMA = ("test_set string, cls string, precision double, recall double, "
+                      "f1 double, support long")
+
+
 def write_metrics(report: DataFrame, path: str) -> None:
+    """Evaluation rows (test_set, cls, precision, recall, f1, support) as JSON
+    lines.  A report has classes + 3 rows per test set, so one file is enough."""
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
+def read_metric_rows(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """Evaluation rows from the first path that exists (v2, then v1); None
+    when there is none.  Only file listing happens on the driver."""
+    for p in paths:
+        try:
+            return spark.read.schema(METRIC_ROWS_SCHEMA).json(p)
+        except Exception:  # noqa: BLE001 - path absent: try the next one
+            continue
+    return None
+
+
 def read_metrics(spark: SparkSession, paths: list[str]) -> dict | None:
-    """Prefer the first readable metrics file (v2, then v1); None when none."""
+    """A nested metrics document (one small JSON file, e.g. a training run's
+    summary): the first readable one of `paths`, else None."""
     for p in paths:
         try:
             return json.loads(spark.read.text(p, wholetext=True).first()[0])
