@@ -131,14 +131,20 @@ def preview(df: DataFrame, n: int = 5, order: str = "id") -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
+def seeded_key(id_col: str = "id", seed: int = 42):
+    """Repeatable pseudo-random order key: md5 of 'id:seed' as hex text.  A
+    standard digest, so any engine can reproduce (and check) the order."""
+    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
+
+
 def shuffle_rows(df: DataFrame, seed: int = 42, id_col: str = "id") -> DataFrame:
     """Seeded full shuffle: order by a hash of (id, seed); repeatable."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
+    return df.orderBy(seeded_key(id_col, seed), id_col)
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:
     """Seeded n rows (all when fewer): the n smallest hashes, a TakeOrdered."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    return df.orderBy(seeded_key(id_col, seed), id_col).limit(n)
 
 
 # Group reports reuse the aggregate module's ordering rule.

@@ -543,12 +543,18 @@ def q_preview(spark, sf):
     return rk.preview(fb(spark, sf)).select("id", "text")
 
 
-@query("shuffle_rows", "G9")
+def _seeded_sql(id_col: str = "id", seed: int = 42) -> str:
+    return f"md5(CAST({id_col} AS VARCHAR) || ':' || '{seed}')"
+
+
+@query("shuffle_rows", "G9", S.with_(S.FEEDBACK) + f"""SELECT id, sentiment FROM feedback
+ORDER BY {_seeded_sql()}, id""")
 def q_shuffle(spark, sf):
     return rk.shuffle_rows(fb(spark, sf).select("id", "sentiment"))
 
 
-@query("sample_n", "A19")
+@query("sample_n", "A19", S.with_(S.FEEDBACK) + f"""SELECT id, text, sentiment FROM feedback
+ORDER BY {_seeded_sql()}, id LIMIT 400""")
 def q_sample(spark, sf):
     return rk.sample_n(fb(spark, sf).select("id", "text", "sentiment"), 400)
 
@@ -634,7 +640,8 @@ def q_error_rate(spark, sf):
     return ev.error_rate(fx.labelled(spark, sf))
 
 
-@query("sample_errors", "I6")
+@query("sample_errors", "I6", LABELLED + f"""SELECT id, text, label, pred FROM labelled
+WHERE label IS DISTINCT FROM pred ORDER BY {_seeded_sql()}, id LIMIT 10""")
 def q_sample_errors(spark, sf):
     return ev.sample_errors(fx.labelled(spark, sf)).select("id", "text", "label", "pred")
 
