@@ -106,3 +106,11 @@ def test_length_histogram_scans_texts_once(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan and "hashpartitioning(_w" in plan
+
+
+def test_item_report_tokenizes_and_cleans_once(spark):
+    """One token pass for enrichment and aspects, and each sentence cleaned
+    once (not once per rule word inside the lambda)."""
+    plan = _plan(E.queries()["item_report"](spark, SF_SMALL))
+    assert plan.count("regexp_extract_all(lower(text") == 1
+    assert plan.count("https?://") == 1

@@ -58,18 +58,29 @@ def _rest(top: float) -> float:
     return round((1.0 - top) / 2, 4)
 
 
+def _any_contains(low: Column, words) -> Column:
+    out = None
+    for w in words:
+        t = low.contains(w)
+        out = t if out is None else (out | t)
+    return out
+
+
+def rule_label_lowered(low) -> Column:
+    """Rule sentiment of an already lower-cased (cleaned) text.  For use
+    inside higher-order functions, where Spark does not share common
+    subexpressions: the caller lower-cases and cleans each element once."""
+    low = col(low)
+    return (F.when(_any_contains(low, lx.RULE_POSITIVE_WORDS), "Positive")
+            .when(_any_contains(low, lx.RULE_NEGATIVE_WORDS), "Negative").otherwise("Neutral"))
+
+
 def rule_scores(text) -> tuple[Column, Column, Column]:
     """Deterministic scorer on the (cleaned) text by substring tests:
     returns (scores map, sentiment, confidence)."""
     low = F.lower(col(text))
-    is_pos = None
-    for w in lx.RULE_POSITIVE_WORDS:
-        t = low.contains(w)
-        is_pos = t if is_pos is None else (is_pos | t)
-    is_neg = None
-    for w in lx.RULE_NEGATIVE_WORDS:
-        t = low.contains(w)
-        is_neg = t if is_neg is None else (is_neg | t)
+    is_pos = _any_contains(low, lx.RULE_POSITIVE_WORDS)
+    is_neg = _any_contains(low, lx.RULE_NEGATIVE_WORDS)
     p, n, u = lx.RULE_POSITIVE_SCORE, lx.RULE_NEGATIVE_SCORE, lx.RULE_NEUTRAL_SCORE
     neg_s = F.when(is_pos, _rest(p)).when(is_neg, round(n, 4)).otherwise(_rest(u))
     neu_s = F.when(is_pos, _rest(p)).when(is_neg, _rest(n)).otherwise(round(u, 4))

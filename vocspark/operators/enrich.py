@@ -50,8 +50,9 @@ def _signals(df: DataFrame, text: str) -> tuple[DataFrame, list[str], list[str]]
 
 
 def enrich_feedback(df: DataFrame, text: str = "text", sentiment: str = "sentiment",
-                    confidence: str = "confidence") -> DataFrame:
-    """Adds emotion, intensity, risk, driver and csat."""
+                    confidence: str = "confidence", keep_aspects: bool = False) -> DataFrame:
+    """Adds emotion, intensity, risk, driver and csat (and, with
+    `keep_aspects`, the `aspects` list and `topic` from the same token pass)."""
     s, emo, asp = _signals(df, text)
     hit_map = {n: F.col(c) for (n, _), c in zip(lx.EMOTION_LEXICON, emo)}
     emotion, top = lex.emotion_and_top_hits(sentiment, hit_map)
@@ -63,6 +64,9 @@ def enrich_feedback(df: DataFrame, text: str = "text", sentiment: str = "sentime
         "driver": lex.category_driver(asp),
         "csat": lex.csat_equivalent(sentiment, confidence),
     })
+    if keep_aspects:
+        s = s.withColumn("aspects", lex.matched_aspects(asp))
+        s = s.withColumn("topic", lex.item_topic("aspects"))
     return s.drop(TOKENS, *emo, *asp, "_intens", "_exclaim", "_caps", "_top")
 
 

@@ -335,8 +335,10 @@ def with_sentence_mix(df: DataFrame, text: str = "text", max_sentences: int = 30
     fewer than 2 sentences give 0, 0).  Per-row array expressions, no explode
     and no shuffle; the split and the labels are staged so each runs once."""
     d = df.withColumn("_sents", tx.split_sentences(text))
-    d = d.withColumn("_labels", F.transform(F.slice("_sents", 1, max_sentences),
-                                            lambda s: lb.rule_scores(tx.clean_text(s))[1]))
+    # clean + lower each sentence once (an inner transform), then score: inside
+    # a lambda Spark would otherwise redo the cleaning for every rule word
+    low = F.transform(F.slice("_sents", 1, max_sentences), lambda s: F.lower(tx.clean_text(s)))
+    d = d.withColumn("_labels", F.transform(low, lb.rule_label_lowered))
     many = F.size("_sents") >= 2
 
     def count(cls):
@@ -351,8 +353,11 @@ def with_sentence_mix(df: DataFrame, text: str = "text", max_sentences: int = 30
 
 def item_report(enriched: DataFrame, text: str = "text") -> DataFrame:
     """Per item: band, CSAT, emotion, intensity, risk, driver, aspects, text
-    statistics, mixed-sentiment flag, meaning and action: projections only."""
-    d = with_sentence_mix(en.with_aspects(enriched, text, "aspects"), text)
+    statistics, mixed-sentiment flag, meaning and action: projections only.
+    Pass `enrich_feedback(df, keep_aspects=True)` to tokenize each text once."""
+    if "aspects" not in enriched.columns:
+        enriched = en.with_aspects(enriched, text, "aspects")
+    d = with_sentence_mix(enriched, text)
     band, _ = lex.confidence_band("confidence")
     d = d.withColumns({
         "band": band,

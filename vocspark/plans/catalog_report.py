@@ -213,7 +213,7 @@ def _item_sql() -> str:
 
 @query("item_report", "J6", _item_sql())
 def q_item_report(spark, sf):
-    return rp.item_report(enr(spark, sf))
+    return rp.item_report(en.enrich_feedback(fx.feedback(spark, sf), keep_aspects=True))
 
 
 def _sections_sql() -> str:
