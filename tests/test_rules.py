@@ -139,3 +139,18 @@ def test_cloud_terms_guard(spark):
     long_ = spark.createDataFrame([("bad service and a broken box again", "Negative")],
                                   "text string, sentiment string")
     assert ag.cloud_terms(long_).count() > 0
+
+
+def test_lexicon_hits_both_paths(spark):
+    """Distinct lexicon words per category, for disjoint categories (index
+    codes) and for categories sharing a word (per-category filter)."""
+    from vocspark.operators import enrich as en
+    df = spark.createDataFrame([(1, "Slow slow app, slow refund; great app!"), (2, None), (3, "")],
+                               "id long, text string")
+    disjoint = (("A", ("slow", "refund")), ("B", ("app", "great", "late")))
+    shared = (("A", ("slow", "app")), ("B", ("app", "great")))
+    for lexicon, want in ((disjoint, (2, 2)), (shared, (2, 2))):
+        rows = {r.id: r for r in en.lexicon_hits(df, lexicon=lexicon, prefix="h_").collect()}
+        assert (rows[1].h_a, rows[1].h_b) == want
+        assert (rows[3].h_a, rows[3].h_b) == (0, 0)
+        assert rows[2].h_a is None

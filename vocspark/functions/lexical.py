@@ -12,10 +12,49 @@ from vocspark import lexicon as lx
 from vocspark.functions.text import col, str_array
 
 
-def category_hits(tokens, lexicon) -> list[Column]:
-    """Per category: number of distinct lexicon words present in the tokens."""
-    t = col(tokens)
-    return [F.size(F.array_intersect(str_array(words), t)) for _, words in lexicon]
+def present_words(tokens, *lexicons) -> Column:
+    """Distinct tokens that are words of any category of `lexicons`: one
+    hash-set test per token (usually leaves a handful of words)."""
+    every = sorted({w for lexicon in lexicons for _, words in lexicon for w in words})
+    return F.array_distinct(F.filter(col(tokens), lambda w: w.isin(*every)))
+
+
+def category_hits(present, lexicon) -> list[Column]:
+    """Per category: number of distinct lexicon words present.  `present` is
+    the output of `present_words` (stage it as a column: it is read once per
+    category), so each test runs on the few matched words, not all tokens.
+    General form (categories may share words); see `category_codes` for the
+    faster form used when they do not."""
+    p = col(present)
+    return [F.size(F.filter(p, lambda w: w.isin(*words))) for _, words in lexicon]
+
+
+def disjoint(lexicon) -> bool:
+    """True when no word belongs to two categories of the lexicon."""
+    seen: set = set()
+    for _, words in lexicon:
+        if seen & set(words):
+            return False
+        seen |= set(words)
+    return True
+
+
+def category_codes(present, lexicon) -> Column:
+    """Category index of every present word (categories must be disjoint).
+    One lambda pass per row; stage the result as a column and count each
+    category with `hits_from_codes` (native array functions, no lambda)."""
+    def code(w):
+        pick = None
+        for i, (_, words) in enumerate(lexicon):
+            pick = F.when(w.isin(*words), F.lit(i)) if pick is None else pick.when(w.isin(*words), F.lit(i))
+        return pick
+    return F.transform(col(present), code)
+
+
+def hits_from_codes(codes, n: int) -> list[Column]:
+    """Occurrences of each category index 0..n-1 in a codes array."""
+    c = col(codes)
+    return [F.size(c) - F.size(F.array_remove(c, F.lit(i))) for i in range(n)]
 
 
 def argmax_first(names, hits, default) -> tuple[Column, Column]:

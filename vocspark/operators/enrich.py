@@ -17,6 +17,7 @@ from vocspark.functions import lexical as lex
 from vocspark.functions import text as tx
 
 TOKENS = "_tokens"
+PRESENT = "_present"
 
 
 def slug(name: str) -> str:
@@ -27,23 +28,38 @@ def with_tokens(df: DataFrame, text: str = "text", name: str = TOKENS) -> DataFr
     return df.withColumn(name, tx.word_tokens(text))
 
 
+def _with_hits(df: DataFrame, parts, tokens: str = TOKENS) -> DataFrame:
+    """Adds one hit-count column per category (distinct lexicon words among
+    the tokens) for each (lexicon, column names) in `parts`.  The tokens are
+    narrowed once to the words of all the lexicons; a disjoint lexicon then
+    takes one lambda pass (each matched word -> its category index) and
+    native counts.  Lambda-bearing projections leave whole-stage codegen, so
+    all lexicons share them: two such projections in all."""
+    lexicons = [lexicon for lexicon, _ in parts]
+    d = df.withColumn(PRESENT, lex.present_words(tokens, *lexicons))
+    staged, counts = {}, {}
+    for i, (lexicon, names) in enumerate(parts):
+        if lex.disjoint(lexicon):
+            staged[f"_codes{i}"] = lex.category_codes(PRESENT, lexicon)
+            counts.update(zip(names, lex.hits_from_codes(f"_codes{i}", len(lexicon))))
+        else:
+            counts.update(zip(names, lex.category_hits(PRESENT, lexicon)))
+    d = d.withColumns(staged) if staged else d
+    return d.withColumns(counts).drop(PRESENT, *staged)
+
+
 def lexicon_hits(df: DataFrame, text: str = "text", lexicon=lx.EMOTION_LEXICON,
                  prefix: str = "hits_") -> DataFrame:
     """One column per category: distinct lexicon words present in the text."""
-    t = with_tokens(df, text)
-    hits = tx.col(TOKENS)
-    cols = {f"{prefix}{slug(n)}": h
-            for (n, _), h in zip(lexicon, lex.category_hits(hits, lexicon))}
-    return t.withColumns(cols).drop(TOKENS)
+    t = _with_hits(with_tokens(df, text), [(lexicon, [f"{prefix}{slug(n)}" for n, _ in lexicon])])
+    return t.drop(TOKENS)
 
 
 def _signals(df: DataFrame, text: str) -> tuple[DataFrame, list[str], list[str]]:
     emo = [f"_e_{slug(n)}" for n, _ in lx.EMOTION_LEXICON]
     asp = [f"_a_{slug(n)}" for n, _ in lx.ASPECTS]
-    t = with_tokens(df, text)
-    cols = dict(zip(emo, lex.category_hits(TOKENS, lx.EMOTION_LEXICON)))
-    cols.update(zip(asp, lex.category_hits(TOKENS, lx.ASPECTS)))
-    cols["_intens"] = tx.intensifier_count(TOKENS)
+    t = _with_hits(with_tokens(df, text), [(lx.EMOTION_LEXICON, emo), (lx.ASPECTS, asp)])
+    cols = {"_intens": tx.intensifier_count(TOKENS)}
     cols["_exclaim"] = tx.exclamation_count(text)
     cols["_caps"] = tx.shout_count(text)
     return t.withColumns(cols), emo, asp
@@ -83,9 +99,8 @@ def emotion_signals(df: DataFrame, text: str = "text") -> DataFrame:
 def with_aspects(df: DataFrame, text: str = "text", name: str = "aspects") -> DataFrame:
     """Every aspect with at least one token hit, declared order, and the topic."""
     t = with_tokens(df, text)
-    hits = lex.category_hits(TOKENS, lx.ASPECTS)
     asp = [f"_a_{slug(n)}" for n, _ in lx.ASPECTS]
-    t = t.withColumns(dict(zip(asp, hits)))
+    t = _with_hits(t, [(lx.ASPECTS, asp)])
     t = t.withColumn(name, lex.matched_aspects(asp))
     return t.withColumn("topic", lex.item_topic(name)).drop(TOKENS, *asp)
 
