@@ -13,7 +13,6 @@ from vocspark import lexicon as lx
 URL_PATTERN = r"(?U)https?://\S+|www\.\S+"
 MENTION_PATTERN = r"(?U)@\w+"
 SPACE_RUN = r"(?U)\s+"
-EDGE_SPACE = r"(?U)^\s+|\s+$"
 WORD_PATTERN = r"[a-zA-Z']+"
 CONTENT_WORD_PATTERN = r"[a-zA-Z']{3,}"
 SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+"
@@ -30,9 +29,15 @@ def str_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+# Python's whitespace (str.isspace), i.e. what str.strip() removes; derived by
+# rule rather than listed.
+PY_WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+
+
 def ws_trim(c) -> Column:
-    """Strip leading/trailing whitespace of any kind (Python str.strip())."""
-    return F.regexp_replace(col(c), EDGE_SPACE, "")
+    """Strip leading/trailing whitespace of any kind (Python str.strip()):
+    a native trim over the whitespace set, no regex."""
+    return F.trim(col(c), F.lit(PY_WHITESPACE))
 
 
 def clean_text(c) -> Column:
