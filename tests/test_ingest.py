@@ -149,3 +149,22 @@ def test_metric_rows_fall_back_and_summarise(spark, tmp_path):
     got = ev.metrics_summary(back, preferred=("reviews", "tweets")).first()
     assert (got.accuracy, got.accuracy_label, got.test_size, got.test_size_label) == (0.73, "73%", 1600, "1,600")
     assert ing.read_metric_rows(spark, [str(tmp_path / "none")]) is None
+
+
+def test_synthesize_feedback_ranges_and_repeats(spark):
+    """Per-row draws: confidence 0.72..0.99 at 4 places, age < 30 days to the
+    second, a seed channel, one id per key; the same rows on a rerun."""
+    import datetime as dt
+    from vocspark import lexicon as lx
+    src = spark.range(2000).select("id", F.lit("same text").alias("text"),
+                                   F.lit("Positive").alias("sentiment"))
+    a = ing.synthesize_feedback(spark, src).collect()
+    b = ing.synthesize_feedback(spark, src).collect()
+    assert sorted(a) == sorted(b)
+    assert len({r.id for r in a}) == 2000
+    anchor = dt.datetime(2024, 2, 1)
+    for r in a:
+        assert 0.72 <= r.confidence <= 0.99 and round(r.confidence, 4) == r.confidence
+        assert dt.timedelta(0) <= anchor - r.created_at < dt.timedelta(days=30)
+        assert r.created_at.microsecond == 0 and r.source in lx.SEED_SOURCES
+    assert len({r.source for r in a}) == 5

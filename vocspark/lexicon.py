@@ -143,6 +143,10 @@ LABEL_MAP = (
 MAX_TEXT_CHARS = 2000
 MAX_SOURCE_CHARS = 50
 DEFAULT_SOURCE = "api"
+# Channels the demo seeder picks from, and its confidence range and age span.
+SEED_SOURCES = ("web_form", "app_review", "email", "twitter", "survey")
+SEED_CONFIDENCE = (0.72, 0.99)
+SEED_MAX_AGE_DAYS = 30
 BULK_LIMIT = 1000
 PAGE_LIMIT_MIN, PAGE_LIMIT_MAX, PAGE_LIMIT_DEFAULT = 1, 1000, 100
 

@@ -739,6 +739,18 @@ def q_conform(spark, sf):
     return acc.conform_schema(d, {"source": "other", "verified": 1})
 
 
-@query("synthesize_feedback", "A18")
+def _unit_hash_sql(key: str, k: int, digits: int = 8, seed: int = 42) -> str:
+    return f"('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}:{k}'), 1, {digits}))::BIGINT"
+
+
+@query("synthesize_feedback", "A18", S.with_(S.FEEDBACK) + f"""SELECT {_unit_hash_sql('id', 0, 15)} AS id,
+  text, sentiment,
+  CAST(7200 + floor(({_unit_hash_sql('id', 1)} * 2700 + 2147483648) / 4294967296.0) AS DOUBLE) / 10000.0
+    AS confidence,
+  ['web_form', 'app_review', 'email', 'twitter', 'survey'][CAST({_unit_hash_sql('id', 3)} % 5 AS INTEGER) + 1]
+    AS source,
+  strftime(TIMESTAMP '2024-02-01 00:00:00' - to_seconds(CAST(floor({_unit_hash_sql('id', 2)} * 2592000
+    / 4294967296.0) AS BIGINT)), '%Y-%m-%d %H:%M:%S.%f') AS created_at
+FROM feedback""")
 def q_synth(spark, sf):
-    return ing.synthesize_feedback(spark, fb(spark, sf).select("text", "sentiment"))
+    return ing.synthesize_feedback(spark, fb(spark, sf).select("id", "text", "sentiment"))

@@ -350,16 +350,32 @@ def read_metrics(spark: SparkSession, paths: list[str]) -> dict | None:
     return None
 
 
+def _unit_hash(key: Column, seed: int, k: int, hex_digits: int = 8) -> Column:
+    """Integer from the first hex digits of md5('key:seed:k'): a standard
+    digest, so the seeded values repeat on every run and in every engine."""
+    h = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(str(k))))
+    return F.conv(F.substring(h, 1, hex_digits), 16, 10).cast("long")
+
+
 def synthesize_feedback(spark: SparkSession, texts_df: DataFrame, seed: int = 42,
-                        max_age_days: int = 30, anchor=None) -> DataFrame:
-    """Seeded demo rows from given texts: confidence 0.72..0.99, age 0..N
-    days before the anchor, a channel; hash-derived so reruns repeat."""
+                        max_age_days: int = lx.SEED_MAX_AGE_DAYS, anchor=None,
+                        key: str | None = "id") -> DataFrame:
+    """Seeded demo rows from given (text, sentiment) rows: confidence uniform
+    in 0.72..0.99 at 4 places, age uniform in [0, max_age_days) days to the
+    second before the anchor, one of the seed channels.  Each row draws from
+    its own `key` (the text when absent), so reruns repeat row for row."""
     anchor = anchor or dt.datetime(2024, 2, 1)
-    h = lambda k: F.pmod(F.xxhash64(F.col("text"), F.lit(seed), F.lit(k)), F.lit(1_000_000))
-    conf = F.round(F.lit(0.72) + h(1) / F.lit(1_000_000.0) * F.lit(0.27), 4)
-    age = F.make_dt_interval(secs=(h(2) / F.lit(1_000_000.0) * F.lit(max_age_days * 86400.0)))
-    ch = F.get(tx.str_array(("web_form", "email", "app_review", "twitter", "survey")),
-               F.pmod(h(3), F.lit(5)).cast("int"))
-    return texts_df.select(F.xxhash64("text", F.lit(seed)).alias("id"), "text", "sentiment",
+    k = F.col(key) if key and key in texts_df.columns else F.col("text")
+    two32 = F.lit(1 << 32)
+    lo, hi = lx.SEED_CONFIDENCE
+    span = round((hi - lo) * 10000)
+    # round(lo + u * (hi - lo), 4) with u = h / 2^32, half-up, in integers
+    conf_units = F.lit(round(lo * 10000)) + F.floor((_unit_hash(k, seed, 1) * span + (1 << 31)) / two32)
+    conf = conf_units.cast("double") / F.lit(10000.0)
+    age = F.floor(_unit_hash(k, seed, 2) * F.lit(max_age_days * 86400) / two32).cast("int")
+    sources = lx.SEED_SOURCES
+    ch = F.get(tx.str_array(sources), F.pmod(_unit_hash(k, seed, 3), F.lit(len(sources))).cast("int"))
+    return texts_df.select(_unit_hash(k, seed, 0, 15).alias("id"), "text", "sentiment",
                            conf.alias("confidence"), ch.alias("source"),
-                           (F.lit(anchor).cast("timestamp_ntz") - age).alias("created_at"))
+                           (F.lit(anchor).cast("timestamp_ntz") - F.make_dt_interval(secs=age))
+                           .alias("created_at"))
