@@ -334,11 +334,9 @@ FROM feedback GROUP BY 1, 2""")
 def q_stream_daily(spark, sf):
     from vocspark.streaming import stream as st
     s, base = _stream_input(spark, sf)
-    name = "daily_" + uuid.uuid4().hex[:8]
-    q = st.stream_daily_counts(s, name, checkpoint=base + "-ckpt", watermark="400 days")
+    q = st.stream_daily_counts(s, base + "-daily", checkpoint=base + "-ckpt", watermark="400 days")
     q.awaitTermination()
-    # update mode emits a key again when it changes; counts only grow
-    return spark.table(name).groupBy("date", "sentiment").agg(F.max("count").alias("count"))
+    return st.read_daily_counts(spark, base + "-daily")
 
 
 @query("stream_urgent", "K4", S.with_(S.FEEDBACK, S.enriched_ctes())

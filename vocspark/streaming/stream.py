@@ -42,12 +42,18 @@ def stream_classify(stream: DataFrame, out_path: str, rejects_path: str,
     spark = stream.sparkSession
 
     def write(batch: DataFrame, epoch: int) -> None:
-        valid, rejects = validate_request(batch)
-        scored = score_rules(valid).withColumn("confidence", F.round("confidence", 4))
-        cols = [f.name for f in sc.FEEDBACK_SCHEMA.fields]
-        with_defaults(scored.select(*[c for c in cols if c in scored.columns])) \
-            .write.mode("overwrite").partitionBy("date").parquet(f"{out_path}/epoch={epoch}")
-        rejects.write.mode("overwrite").parquet(f"{rejects_path}/epoch={epoch}")
+        # two sinks read the batch: cache it for the two writes (lost blocks
+        # are recomputed from the source files, so this survives executor loss)
+        batch = batch.persist()
+        try:
+            valid, rejects = validate_request(batch)
+            scored = score_rules(valid).withColumn("confidence", F.round("confidence", 4))
+            cols = [f.name for f in sc.FEEDBACK_SCHEMA.fields]
+            with_defaults(scored.select(*[c for c in cols if c in scored.columns])) \
+                .write.mode("overwrite").partitionBy("date").parquet(f"{out_path}/epoch={epoch}")
+            rejects.write.mode("overwrite").parquet(f"{rejects_path}/epoch={epoch}")
+        finally:
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(write) \
         .option("checkpointLocation", _checkpoint(spark, "classify", checkpoint))
@@ -63,16 +69,29 @@ def daily_counts_stream(stream: DataFrame, watermark: str = "1 day") -> DataFram
             .select(F.to_date(F.col("window.start")).alias("date"), "sentiment", "count"))
 
 
-def stream_daily_counts(stream: DataFrame, query_name: str, checkpoint: str | None = None,
+def stream_daily_counts(stream: DataFrame, out_path: str, checkpoint: str | None = None,
                         watermark: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
-    """Update mode: each trigger emits the changed (day, sentiment) counts."""
+    """Update mode: each trigger writes the (day, sentiment) counts it changed
+    to its own `epoch=` folder (overwrite, so a replayed trigger replaces its
+    rows).  `read_daily_counts` gives the current count per key."""
     spark = stream.sparkSession
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+
     return (daily_counts_stream(stream, watermark).writeStream.outputMode("update")
-            .format("memory").queryName(query_name)
-            .option("checkpointLocation", _checkpoint(spark, query_name, checkpoint))
+            .foreachBatch(write)
+            .option("checkpointLocation", _checkpoint(spark, "daily", checkpoint))
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def read_daily_counts(spark: SparkSession, out_path: str) -> DataFrame:
+    """Current count per (date, sentiment): the row of the latest epoch that
+    changed the key (a map-side partial aggregate, one row per key)."""
+    log = spark.read.parquet(out_path)
+    return log.groupBy("date", "sentiment").agg(F.max_by("count", "epoch").alias("count"))
+
+
 def stream_kpis(stream: DataFrame, table_path: str, checkpoint: str | None = None,
                 trigger: dict | None = None) -> StreamingQuery:
     """Running class counts (complete mode: three rows of state) written as a
