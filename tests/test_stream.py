@@ -1,7 +1,5 @@
 """Stream = batch: each streaming operator over files equals its batch form."""
 
-from pyspark.sql import functions as F
-
 from vocspark.operators import aggregate as ag
 from vocspark.operators import enrich as en
 from vocspark.sources import fixture as fx

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vocspark import lexicon as lx
-from vocspark.functions.text import col, str_array
+from vocspark.functions.text import col
 
 
 def present_words(tokens, *lexicons) -> Column:

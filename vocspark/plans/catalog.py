@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vocspark import lexicon as lx
 from vocspark.operators import aggregate as ag
 from vocspark.operators import enrich as en
 from vocspark.plans import sql as S
