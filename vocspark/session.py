@@ -54,8 +54,12 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
 
 
 def materialize(df):
-    """Write `df` once to the shared checkpoint folder and read it back
-    (lineage cut, survives executor loss).  For inputs that several
-    aggregates of one report read: the costly per-row work runs once."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` once as a Parquet table under the shared checkpoint folder
+    and read it back: the lineage is cut (the table survives executor loss),
+    the costly per-row work runs once, and each later reader scans only the
+    columns it needs, with its filters pushed into the scan (an RDD
+    checkpoint would deserialize whole rows, long texts included)."""
+    import uuid
+    path = shared_dir(df.sparkSession, "tables", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
