@@ -114,3 +114,19 @@ def test_item_report_tokenizes_and_cleans_once(spark):
     plan = _plan(E.queries()["item_report"](spark, SF_SMALL))
     assert plan.count("regexp_extract_all(lower(text") == 1
     assert plan.count("https?://") == 1
+
+
+def test_lexicon_join_builds_on_the_lexicon(spark):
+    """The word list is broadcast after the size check; the token side streams."""
+    df = E.queries()["lexicon_match_join"](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [word" in plan and "BuildRight" in plan
+
+
+def test_broadcast_only_within_the_bound(spark):
+    from vocspark.operators.joins import broadcast_if_small
+    small = spark.range(3).withColumnRenamed("id", "word")
+    assert broadcast_if_small(small, 1) is small             # past the bound: no hint
+    hinted = broadcast_if_small(small, 10)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in hinted.lower()

@@ -144,10 +144,14 @@ def tag_sentiment_words(df: DataFrame, text: str = "text", id_col: str = "id") -
 def lexicon_match_join(df: DataFrame, lexicon_df: DataFrame, text: str = "text",
                        id_col: str = "id") -> DataFrame:
     """Hit counts for a lexicon too large for literal arrays: distinct tokens
-    per row joined to the lexicon rows.  The lexicon is broadcast only when it
-    is small enough (AQE decides from its measured size); otherwise the join
-    shuffles on the word."""
+    per row joined to the lexicon rows.  The lexicon is broadcast after a
+    bounded size check (the token side streams, no shuffle for the join);
+    a lexicon past the bound is joined by shuffling both sides on the word.
+    All tokens of a row stay in one partition, so the partial aggregate is
+    already final per (row, category) and one row per pair is shuffled."""
+    from vocspark.operators.joins import broadcast_if_small
     toks = df.select(id_col, F.explode(F.array_distinct(tx.word_tokens(text))).alias("word"))
-    return (toks.join(lexicon_df.select("category", "cat_rank", "word"), "word")
+    lex_rows = broadcast_if_small(lexicon_df.select("category", "cat_rank", "word"))
+    return (toks.join(lex_rows, "word")
             .groupBy(id_col, "category", "cat_rank")
             .agg(F.count("*").alias("hits")))

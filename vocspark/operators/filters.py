@@ -75,9 +75,10 @@ def remove_stopwords_exploded(df: DataFrame, stop_df: DataFrame, text: str = "te
                               id_col: str = "id") -> DataFrame:
     """Anti-join form of stop-word removal for word lists too large for a
     literal array: exploded words left-anti-joined to the stop list.  The
-    stop list is small (a word list), the word side is not: AQE broadcasts
-    the list only by its measured size."""
+    stop list is usually small (a word list), the word side is not: the list
+    is broadcast after a bounded size check, else both sides shuffle."""
+    from vocspark.operators.joins import broadcast_if_small
     words = df.select(id_col, F.posexplode(
         F.regexp_extract_all(F.lower(F.col(text)), F.lit(tx.CONTENT_WORD_PATTERN), 0))
         .alias("pos", "word"))
-    return words.join(stop_df.select("word"), "word", "left_anti")
+    return words.join(broadcast_if_small(stop_df.select("word")), "word", "left_anti")
