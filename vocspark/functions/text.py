@@ -13,6 +13,7 @@ from vocspark import lexicon as lx
 URL_PATTERN = r"(?U)https?://\S+|www\.\S+"
 MENTION_PATTERN = r"(?U)@\w+"
 SPACE_RUN = r"(?U)\s+"
+NON_SPACE_RUN = r"(?U)\S+"
 WORD_PATTERN = r"[a-zA-Z']+"
 CONTENT_WORD_PATTERN = r"[a-zA-Z']{3,}"
 SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+"
@@ -75,9 +76,9 @@ def split_sentences(c, min_chars: int = 4) -> Column:
 
 
 def word_count(c) -> Column:
-    """len(text.split()): whitespace-separated words."""
-    t = ws_trim(c)
-    return F.when(F.length(t) == 0, F.lit(0)).otherwise(F.size(F.split(t, SPACE_RUN)))
+    """len(text.split()): runs of non-whitespace, counted in one regex pass
+    (no array of words is built)."""
+    return F.regexp_count(col(c), F.lit(NON_SPACE_RUN))
 
 
 def char_count(c) -> Column:
