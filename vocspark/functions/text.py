@@ -42,9 +42,14 @@ def ws_trim(c) -> Column:
 
 
 def clean_text(c) -> Column:
-    """URL -> 'http', @mention -> '@user', whitespace runs -> one space, strip."""
-    t = F.regexp_replace(col(c), URL_PATTERN, "http")
-    t = F.regexp_replace(t, MENTION_PATTERN, "@user")
+    """URL -> 'http', @mention -> '@user', whitespace runs -> one space, strip.
+    A URL match needs 'http' or 'www.' and a mention needs '@', so each regex
+    runs only on texts holding its literal (same result, most texts skip two
+    of the three regex scans)."""
+    t = col(c)
+    t = F.when(t.contains("http") | t.contains("www."),
+               F.regexp_replace(t, URL_PATTERN, "http")).otherwise(t)
+    t = F.when(t.contains("@"), F.regexp_replace(t, MENTION_PATTERN, "@user")).otherwise(t)
     t = F.regexp_replace(t, SPACE_RUN, " ")
     return F.trim(t)
 
