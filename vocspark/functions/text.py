@@ -41,17 +41,25 @@ def ws_trim(c) -> Column:
     return F.trim(col(c), F.lit(PY_WHITESPACE))
 
 
-def clean_text(c) -> Column:
+def clean_text(c, guard: bool = True) -> Column:
     """URL -> 'http', @mention -> '@user', whitespace runs -> one space, strip.
-    A URL match needs 'http' or 'www.' and a mention needs '@', so each regex
-    runs only on texts holding its literal (same result, most texts skip two
-    of the three regex scans)."""
+
+    With `guard`, each regex runs only on texts holding its literal: a URL
+    match needs 'http' or 'www.', a mention needs '@' (replacing URLs adds
+    none), so the result is the same and most texts skip two of the three
+    regex scans.  Use guard=False inside a higher-order-function lambda:
+    Spark shares no subexpressions there, and the guarded form reads the URL
+    stage more than once."""
     t = col(c)
-    t = F.when(t.contains("http") | t.contains("www."),
+    if not guard:
+        t = F.regexp_replace(t, URL_PATTERN, "http")
+        t = F.regexp_replace(t, MENTION_PATTERN, "@user")
+        return F.trim(F.regexp_replace(t, SPACE_RUN, " "))
+    has_at = t.contains("@")
+    u = F.when(t.contains("http") | t.contains("www."),
                F.regexp_replace(t, URL_PATTERN, "http")).otherwise(t)
-    t = F.when(t.contains("@"), F.regexp_replace(t, MENTION_PATTERN, "@user")).otherwise(t)
-    t = F.regexp_replace(t, SPACE_RUN, " ")
-    return F.trim(t)
+    m = F.when(has_at, F.regexp_replace(u, MENTION_PATTERN, "@user")).otherwise(u)
+    return F.trim(F.regexp_replace(m, SPACE_RUN, " "))
 
 
 def word_tokens(c) -> Column:

@@ -337,7 +337,8 @@ def with_sentence_mix(df: DataFrame, text: str = "text", max_sentences: int = 30
     d = df.withColumn("_sents", tx.split_sentences(text))
     # clean + lower each sentence once (an inner transform), then score: inside
     # a lambda Spark would otherwise redo the cleaning for every rule word
-    low = F.transform(F.slice("_sents", 1, max_sentences), lambda s: F.lower(tx.clean_text(s)))
+    low = F.transform(F.slice("_sents", 1, max_sentences),
+                      lambda s: F.lower(tx.clean_text(s, guard=False)))
     d = d.withColumn("_labels", F.transform(low, lb.rule_label_lowered))
     many = F.size("_sents") >= 2
 
