@@ -96,11 +96,11 @@ def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 def bounded_sample(rows: DataFrame, label: str, bound: int, order: Column) -> DataFrame:
     """About `bound` rows of each label at most, all where there are fewer:
-    those whose hash falls under the label's share.  No sort, no window; only
-    one count per label reaches the plan as a small table."""
+    those whose hash falls under the label's share.  No sort, no window; the
+    shares are broadcast: one row per label, of which a model has few."""
     share = rows.groupBy(label).agg(F.least(F.lit(1.0), F.lit(float(bound)) / F.count("*")).alias("share"))
     u = F.pmod(order, F.lit(1 << 20)) / float(1 << 20)
-    return rows.join(share, label).where(u < F.col("share")).drop("share")
+    return rows.join(F.broadcast(share), label).where(u < F.col("share")).drop("share")
 
 
 def packed(arrays: list[np.ndarray]) -> pa.Array:
