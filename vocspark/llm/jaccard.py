@@ -8,10 +8,10 @@ equal.  P depends on the size band, and a set larger than the band's lower edge
 by less than den/num also joins the band below.  The stored digest of a part is
 the xor of one random word per set bit, so equal digests mean equal parts.
 
-A part that holds no shingle is equal in many documents without meaning
-anything: each band has a few spare parts, and only sets with more empty parts
-than spares emit the empty ones (a pair of which either set has no more empty
-parts than spares agrees on a part that holds something).
+A part that holds few shingles is equal in many documents without meaning much:
+each band has spare parts, and only sets with more thin parts than spares emit
+the thin ones (a pair of which either set has no more thin parts than spares
+agrees on a part that isn't thin).
 
 Equal sets are folded into classes first.  In each bucket of equal parts, the
 members are verified against one centre, links are contracted, and only buckets
@@ -30,7 +30,7 @@ from .common import MASK, components, materialize, mix64
 
 SKETCH = 512
 BAND_RATIO = 1.35
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 
 
 def shingles(text: str | None, k: int = 3) -> np.ndarray:
@@ -70,7 +70,8 @@ def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     low = band_edges(max(1, -(-n * num // den)))[0]
     for band in range(low, top + 1):
         allowed = band_edges_of(band, BAND_RATIO)[2] * (den - num) // num
-        spare = 1 + allowed // 64
+        thin = 0 if allowed < 8 else 1 if allowed < 24 else 2
+        spare = 1 + thin + allowed * thin // 20
         parts = allowed + 1 + spare
         at = ((s >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(at, kind="stable")
@@ -78,9 +79,8 @@ def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         content = np.zeros(parts, np.uint64)
         content[at[first]] = np.bitwise_xor.reduceat(mix64(s[order]), first)
-        filled = np.zeros(parts, bool)
-        filled[at[first]] = True
-        use = np.flatnonzero(filled) if parts - filled.sum() <= spare else np.arange(parts)
+        rich = np.flatnonzero(np.bincount(at, minlength=parts) > thin)
+        use = rich if parts - len(rich) <= spare else np.arange(parts)
         keys.append(mix64(content[use] ^ mix64((use + (band << 40) + 1).astype(np.uint64))))
     return np.concatenate(keys)
 
@@ -139,9 +139,20 @@ def _verify(num: int, den: int):
     return run
 
 
+def _may_link(n, sketch, n2, sketch2, num: int, den: int):
+    """False where sizes or the sketches' Hamming distance rule a link out."""
+    apart = sum((F.bit_count(sketch[i].bitwiseXOR(sketch2[i])) for i in range(SKETCH // 64)), F.lit(0))
+    small = F.least(n, n2)
+    return (den * small >= num * F.greatest(n, n2)) & (apart * num <= small * (den - num))
+
+
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
     """Verified links among class pairs (a, b), from the classes' whole texts."""
-    pairs = materialize(pairs.select("a", "b").distinct())
+    info = reps.select("cls", "n", "sketch")
+    pairs = pairs.select("a", "b").distinct() \
+        .join(info.toDF("a", "n1", "s1"), "a").join(info.toDF("b", "n2", "s2"), "b") \
+        .where(_may_link(F.col("n1"), F.col("s1"), F.col("n2"), F.col("s2"), num, den)).select("a", "b")
+    pairs = materialize(pairs)
     need = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     texts = need.join(reps, "cls").select("cls", F.col("rep").alias("doc_id"), "rep_hash") \
         .join(docs.withColumn("rep_hash", F.xxhash64("text")), ["doc_id", "rep_hash"]) \
@@ -168,15 +179,15 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
         "doc_id bigint, h bigint, n bigint, cls bigint, sketch array<bigint>, keys array<bigint>"))
     some = sig.where("n > 0 and doc_id is not null")
     reps = materialize(some.groupBy("cls").agg(
-        F.min(F.struct("doc_id", "h")).alias("r"), F.first("n").alias("n"))
-        .select("cls", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_hash"), "n"))
+        F.min(F.struct("doc_id", "h", "n", "sketch")).alias("r"))
+        .select("cls", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_hash"), "r.n", "r.sketch"))
     parts = some.select("cls", F.explode("keys").alias("key"))
     shared = parts.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")) \
         .where("lo != hi").select("key", F.col("lo").alias("centre"))
     members = materialize(parts.join(shared, "key").select("key", "cls", "centre").distinct())
     links = _links(members.where("cls != centre").select(
         F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")), reps, docs, num, den, k)
-    tested, label = links, None
+    label = None
     for star in range(1, STAR_ROUNDS + 1):
         label = components(links)
         open_ = members.select("key", "cls").join(label.withColumnRenamed("vertex", "cls"), "cls", "left") \
@@ -188,23 +199,17 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
         cross, rows = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("m2")) / 2), F.sum("m")).first()
         if not rows:
             break
-        few = some.select("cls", "n", "sketch").join(
-            open_.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
-        few = materialize(few)
-        rich = open_.join(few, "cls")
-        last = cross <= 4 * rows or star == STAR_ROUNDS
+        rich = open_.join(reps.select("cls", "n", "sketch"), "cls")
+        last = cross <= 64 * rows or star == STAR_ROUNDS
         if last:
             other = rich
         else:  # one centre more per bucket, by another order each round
             best = F.min(F.struct(F.xxhash64("cls", F.lit(star)).alias("o"), "cls")).alias("best")
             other = open_.groupBy("key").agg(best).select("key", F.col("best.cls").alias("cls")) \
-                .join(open_, ["key", "cls"]).join(few, "cls")
+                .join(rich, ["key", "cls"])
         other = other.select("key", *[F.col(x).alias(f"{x}2") for x in ("cls", "c", "n", "sketch")])
-        apart = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i]))
-                     for i in range(SKETCH // 64)), F.lit(0))
-        small = F.least("n", "n2")
-        cond = (F.col("c") != F.col("c2")) & (den * small >= num * F.greatest("n", "n2")) \
-            & (apart * num <= small * (den - num))
+        cond = (F.col("c") != F.col("c2")) & _may_link(F.col("n"), F.col("sketch"), F.col("n2"), F.col("sketch2"),
+                                                       num, den)
         if last:
             cond = cond & (F.col("cls") < F.col("cls2"))
         pairs = rich.alias("x").join(other, "key").where(cond).select(
