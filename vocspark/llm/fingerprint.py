@@ -12,15 +12,18 @@ four times the size; the few that stick again are settled on the digests.
 
 All of it is DataFrame functions.  One exchange moves the texts: by ranges of
 ids, each range with a copy of the first document of the next, so that a
-document meets its successor there.  All later grouping is within a range, by
-keys that the exchange already holds together."""
+document meets its successor there.  The digests are written as a table bucketed
+by range in the shared folder; all later grouping and joining is within a
+bucket, without an exchange."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shared_dir
 
 #: A sentence or line end closes a paragraph; so do 160 characters.
 PARAGRAPH = r"[^.!?\n]{1,160}[.!?\n]*|[.!?\n]+"
@@ -28,6 +31,8 @@ CELLS = 8
 STEPS = 15
 #: Ids in a range are below 2**RANGE_BITS; ranges of ranges hold 2**12.
 RANGE_BITS = 7
+#: Documents of one bucket (about), and buckets at most.
+BUCKET_DOCS, MOST_BUCKETS = 2048, 50_000
 TABLES = 3
 _TABLE_SHIFT, _LOWEST = 24, -(1 << 63)
 
@@ -63,9 +68,9 @@ def sketch(keys: Column, cells: int = CELLS) -> Column:
     return F.array(*[cell(t, j) for t in range(TABLES) for j in range(cells)])
 
 
-def as_text(cells: Column, n: Column, text: Column) -> Column:
+def as_text(cells: Column, n: Column, text_hash: Column) -> Column:
     """A sketch as a string: digests, a hash of the whole text, the cells."""
-    return F.concat_ws(":", n.cast("string"), F.lower(F.hex(F.xxhash64(text))), F.array_join(F.transform(
+    return F.concat_ws(":", n.cast("string"), F.lower(F.hex(text_hash)), F.array_join(F.transform(
         cells, lambda c: F.concat_ws(".", c["n"].cast("string"), F.lower(F.hex(c["x"]["k"])),
                                      F.lower(F.hex(c["x"]["c"].bitwiseAND(F.lit(0xFFFFFFFF)))))), ","))
 
@@ -81,9 +86,11 @@ def _bits(a: Column, b: Column, na: Column, nb: Column, cells: int = CELLS) -> C
     return F.least(F.greatest(F.ceil(F.log2(F.greatest(most * 0.65, F.lit(1.0)))), F.lit(3)), F.lit(20)).cast("int")
 
 
-def _with_next(docs: DataFrame) -> DataFrame:
-    """Rows grouped by range, in order of id, with the next row's text and
-    digests; the last row of all is followed by the first."""
+def _digests(docs: DataFrame) -> DataFrame:
+    """The table of digests, bucketed by range: rows numbered by rid in order of
+    id, each range ending with a copy of the first row of the next (the last
+    with the first of all); bits_e and bits_n: table sizes to peel with, and
+    before_n the bits_n of the row before."""
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("k", F.coalesce("doc_id", F.lit(_LOWEST))).withColumn("h", F.xxhash64("text")) \
@@ -104,9 +111,26 @@ def _with_next(docs: DataFrame) -> DataFrame:
                 F.struct(F.col("before").alias("range"), F.lit(True).alias("copy"))))
     rows = rows.select("doc_id", "k", "h", "text", "keys", F.inline(place))
     order = Window.partitionBy("range").orderBy("copy", "k", "h")
-    return rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_keys", F.lead("keys").over(order)) \
-        .withColumn("rid", F.row_number().over(order)).where(~F.col("copy")) \
-        .select("range", "rid", "doc_id", "text", "keys", "next_text", "next_keys")
+    n, cut = F.length("text"), F.floor(F.length("text") / 4).cast("int")
+    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("rid", F.row_number().over(order))
+    rows = rows.withColumn("edited", F.when(~F.col("copy"), F.concat(
+        F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))))
+    rows = rows.select("range", "rid", "copy", "doc_id", n.cast("bigint").alias("n_chars"), "keys",
+                       F.unhex(F.sha2("edited", 256)).alias("edited_sha"), F.xxhash64("text").alias("h"),
+                       F.xxhash64("edited").alias("edit_h"), paragraph_digests(F.col("edited")).alias("edit_keys"))
+    rows = rows.withColumn("a", sketch(F.col("keys"))).withColumn("b", sketch(F.col("edit_keys")))
+    step = Window.partitionBy("range").orderBy("rid")
+    size = {c: F.size(c).cast("bigint") for c in ("keys", "edit_keys")}
+    rows = rows.withColumn("next_a", F.lead("a").over(step)).withColumn("next_n", F.lead(size["keys"]).over(step))
+    rows = rows.withColumn("bits_e", _bits(F.col("a"), F.col("b"), size["keys"], size["edit_keys"])) \
+        .withColumn("bits_n", _bits(F.col("a"), F.col("next_a"), size["keys"], F.col("next_n")))
+    rows = rows.withColumn("before_n", F.lag("bits_n").over(step)).drop("a", "b", "next_a")
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                  min(MOST_BUCKETS, docs.count() // BUCKET_DOCS))
+    name = f"digests_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, "range").sortBy("range", "rid") \
+        .option("path", shared_dir(docs.sparkSession, "tables", name)).saveAsTable(name)
+    return docs.sparkSession.table(name)
 
 
 def _peel(signed: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -139,22 +163,26 @@ def _peel(signed: DataFrame, steps: int = STEPS) -> DataFrame:
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """rows: range, rid, keys, edit_keys, next_keys, pair_e, pair_n (null: not
-    to be peeled) -> one row per digest of either side of a pair."""
-    def side(pair, sign, keys):
-        return F.transform(F.when(F.col(pair).isNull(), F.array().cast("array<bigint>")).otherwise(F.col(keys)),
-                           lambda k: F.struct(F.col(pair).alias("pair"), F.lit(sign).cast("bigint").alias("sign"),
-                                              k.alias("key")))
-
-    return rows.select("range", "rid", F.inline(F.concat(
-        side("pair_e", 1, "keys"), side("pair_e", -1, "edit_keys"),
-        side("pair_n", 1, "keys"), side("pair_n", -1, "next_keys"))))
+    """rows: range, rid, keys, edit_keys and sizes bits_e, bits_n, before_n (null:
+    not to be peeled) -> one row per digest of either side of a pair.  A row's
+    digests are also the second side of the pair of the row before."""
+    def side(bits, kind, sign, keys, rid):
+        pair = (F.col(bits) * 2 + kind).cast("bigint")
+        return F.transform(F.when(F.col(bits).isNull(), F.array().cast("array<bigint>")).otherwise(
+            F.coalesce(keys, F.array().cast("array<bigint>"))),
+            lambda k: F.struct(rid.alias("rid"), pair.alias("pair"), F.lit(sign).cast("bigint").alias("sign"),
+                               k.alias("key")))
+
+    rid = F.col("rid")
+    return rows.select("range", F.inline(F.concat(
+        side("bits_e", 0, 1, "keys", rid), side("bits_e", 0, -1, "edit_keys", rid),
+        side("bits_n", 1, 1, "keys", rid), side("before_n", 1, -1, "keys", rid - 1))))
 
 
 def _by_range(found: DataFrame, name: str) -> DataFrame:
     """One row per range, so that the join back needs no exchange."""
     return found.groupBy("range").agg(F.map_from_entries(F.collect_list(F.struct(
-        (F.col("rid") * 2 + F.col("kind")).alias("at"), F.struct("differ", "stuck").alias("v")))).alias(name))
+        (F.col("rid") * 2 + F.col("kind")).cast("bigint").alias("at"), F.struct("differ", "stuck").alias("v")))).alias(name))
 
 
 def fingerprints(docs: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -171,36 +199,37 @@ def fingerprints(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     of a null doc_id (sorted first), follow each other by a hash of the text.
     A single document is its own successor; an empty table gives no rows; other
     columns are not read."""
-    n, cut = F.length("text"), F.floor(F.length("text") / 4).cast("int")
-    rows = _with_next(docs).withColumn("n_chars", n.cast("bigint")).withColumn(
-        "edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)))
-    rows = rows.withColumn("edit_keys", paragraph_digests(F.col("edited")))
-    rows = rows.withColumn("a", sketch(F.col("keys"))).withColumn("b", sketch(F.col("edit_keys")))
+    rows = _digests(docs)
+    own = ~F.col("copy")
+    sizes = ["bits_e", "bits_n", "before_n"]
+    slim = rows.select("range", "rid", "keys", "edit_keys", *[
+        F.when(own, F.col(c)).alias(c) for c in sizes[:2]], "before_n")
+    one = materialize(_by_range(_peel(_signed(slim), steps), "one"))
+    two = None
+    failed = one.select("range", F.explode("one").alias("at", "v")).where(F.col("v.stuck") > 0)
+    if not failed.isEmpty():
+        # tables of four times the size, for the pairs that stuck alone
+        bad = failed.groupBy("range").agg(F.collect_set("at").alias("bad"))
+        is_bad = lambda rid, kind: F.array_contains("bad", rid * 2 + kind)
+        larger = lambda c: F.least(F.col(c) + 2, F.lit(20))
+        again = slim.join(bad, "range").withColumns({
+            "bits_e": F.when(is_bad(F.col("rid"), 0), larger("bits_e")),
+            "bits_n": F.when(is_bad(F.col("rid"), 1), larger("bits_n")),
+            "before_n": F.when(is_bad(F.col("rid") - 1, 1), larger("before_n"))}).drop("bad")
+        two = materialize(_by_range(_peel(_signed(again), steps), "two"))
     order = Window.partitionBy("range").orderBy("rid")
-    # the successor's sketch is that of its digests; counts are all _bits needs
-    rows = rows.withColumn("after", F.lead("a").over(order)).withColumn("z", F.coalesce("after", sketch(F.col("next_keys"))))
-    size = {c: F.size(c).cast("bigint") for c in ("keys", "edit_keys", "next_keys")}
-    bits_e = _bits(F.col("a"), F.col("b"), size["keys"], size["edit_keys"])
-    bits_n = _bits(F.col("a"), F.col("z"), size["keys"], size["next_keys"])
-    rows = rows.withColumn("pair_e", (bits_e * 2).cast("bigint")).withColumn("pair_n", (bits_n * 2 + 1).cast("bigint"))
-    slim = rows.select("range", "rid", "keys", "edit_keys", "next_keys", "pair_e", "pair_n")
-    one = _by_range(_peel(_signed(slim), steps), "one")
-    stuck = lambda m, kind: F.coalesce(F.try_element_at(m, F.col("rid") * 2 + kind)["stuck"], F.lit(0)) > 0
-    larger = lambda pair: F.least(F.col(pair) + 4, F.lit(40) + F.col(pair).bitwiseAND(F.lit(1)))
-    again = slim.join(one, "range").withColumn("pair_e", F.when(stuck(F.col("one"), 0), larger("pair_e"))) \
-        .withColumn("pair_n", F.when(stuck(F.col("one"), 1), larger("pair_n"))).drop("one")
-    two = _by_range(_peel(_signed(again), steps), "two")
-    full = rows.join(one, "range", "left").join(two, "range", "left")
+    full = rows.withColumn("next_keys", F.lead("keys").over(order)).where(own).join(one, "range", "left")
+    empty = F.lit(None).cast("map<bigint,struct<differ:bigint,stuck:bigint>>")
+    full = full.withColumn("two", empty) if two is None else full.join(two, "range", "left")
 
     def outcome(kind, other):
-        at = F.col("rid") * 2 + kind
+        at = (F.col("rid") * 2 + kind).cast("bigint")
         a, b = F.try_element_at("one", at), F.try_element_at("two", at)
         plain = F.size(F.array_except("keys", other)) + F.size(F.array_except(other, "keys"))
-        differ = F.when(F.coalesce(a["stuck"], F.lit(0)) == 0, F.coalesce(a["differ"], F.lit(0))) \
-            .when(F.coalesce(b["stuck"], F.lit(0)) == 0, F.coalesce(b["differ"], F.lit(0))) \
-            .otherwise(plain.cast("bigint"))
-        tries = F.when(F.coalesce(a["stuck"], F.lit(0)) == 0, 1).when(F.coalesce(b["stuck"], F.lit(0)) == 0, 2).otherwise(3)
-        return differ, tries
+        first, second = F.coalesce(a["stuck"], F.lit(0)) == 0, b["stuck"] == 0
+        # a second try that left nothing at all found no difference
+        differ = F.when(first, F.coalesce(a["differ"], F.lit(0))).when(second, b["differ"]).otherwise(plain.cast("bigint"))
+        return differ, F.when(first, 1).when(second, 2).otherwise(3)
 
     de, te = outcome(0, "edit_keys")
     dn, tn = outcome(1, "next_keys")
@@ -211,8 +240,8 @@ def fingerprints(docs: DataFrame, steps: int = STEPS) -> DataFrame:
         return F.when(total == 0, F.lit(1.0)).otherwise((total - F.col(differ)) / (total + F.col(differ)))
 
     return full.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        as_text(F.col("a"), F.size("keys"), F.col("text")).alias("fingerprint"),
-        as_text(F.col("b"), F.size("edit_keys"), F.col("edited")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"),
+        as_text(sketch(F.col("keys")), F.size("keys"), F.col("h")).alias("fingerprint"),
+        as_text(sketch(F.col("edit_keys")), F.size("edit_keys"), F.col("edit_h")).alias("edited_fingerprint"),
         likeness("differ_edited", "edit_keys").alias("near_edited"),
         likeness("differ_next", "next_keys").alias("near_next"), "differ_edited", "differ_next", "attempts")
