@@ -69,9 +69,11 @@ def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     top = band_edges(n)[0]
     low = band_edges(max(1, -(-n * num // den)))[0]
     for band in range(low, top + 1):
-        allowed = band_edges_of(band, BAND_RATIO)[2] * (den - num) // num
-        thin = 0 if allowed < 8 else 1 if allowed < 24 else 2
-        spare = 1 + thin + allowed * thin // 20
+        _, least, most = band_edges_of(band, BAND_RATIO)
+        allowed = most * (den - num) // num
+        # where parts hold few shingles anyway, only empty ones are thin
+        thin = 0 if allowed < 8 or least < 5 * (allowed + 1) else 1 if allowed < 24 else 2
+        spare = 1 + thin + allowed * max(2 * (least < 5 * (allowed + 1)), thin) // 20
         parts = allowed + 1 + spare
         at = ((s >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(at, kind="stable")
@@ -146,12 +148,16 @@ def _may_link(n, sketch, n2, sketch2, num: int, den: int):
     return (den * small >= num * F.greatest(n, n2)) & (apart * num <= small * (den - num))
 
 
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
-    """Verified links among class pairs (a, b), from the classes' whole texts."""
+def _possible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct class pairs (a, b) that sizes and sketches don't rule out."""
     info = reps.select("cls", "n", "sketch")
-    pairs = pairs.select("a", "b").distinct() \
+    return pairs.select("a", "b").distinct() \
         .join(info.toDF("a", "n1", "s1"), "a").join(info.toDF("b", "n2", "s2"), "b") \
         .where(_may_link(F.col("n1"), F.col("s1"), F.col("n2"), F.col("s2"), num, den)).select("a", "b")
+
+
+def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """Verified links among possible class pairs (a, b), from whole texts."""
     pairs = materialize(pairs)
     need = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     texts = need.join(reps, "cls").select("cls", F.col("rep").alias("doc_id"), "rep_hash") \
@@ -185,8 +191,10 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
     shared = parts.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")) \
         .where("lo != hi").select("key", F.col("lo").alias("centre"))
     members = materialize(parts.join(shared, "key").select("key", "cls", "centre").distinct())
-    links = _links(members.where("cls != centre").select(
-        F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")), reps, docs, num, den, k)
+    # a class meets one centre first, the smallest that it may link with
+    star = _possible(members.where("cls != centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")),
+                     reps, num, den).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _links(star, reps, docs, num, den, k)
     label = None
     for star in range(1, STAR_ROUNDS + 1):
         label = components(links)
@@ -195,8 +203,13 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
         sizes = open_.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(
             F.count("*").alias("cs"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("m2")) \
             .where("cs > 1")
-        open_ = materialize(open_.select("key", "cls", "c").join(sizes.select("key", "m"), "key"))
-        cross, rows = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("m2")) / 2), F.sum("m")).first()
+        # of buckets with the same members, one is enough
+        alike = open_.groupBy("key").agg(F.bit_xor("cls").alias("x"), F.sum(F.pmod("cls", F.lit(1 << 31))).alias("s"))
+        one = sizes.join(alike, "key").groupBy("x", "s", "m").agg(F.min(F.struct("key", "m2")).alias("o")) \
+            .select("o.key", "m", "o.m2")
+        one = materialize(one)
+        open_ = materialize(open_.select("key", "cls", "c").join(one.select("key", "m"), "key"))
+        cross, rows = one.agg(F.sum((F.col("m") * F.col("m") - F.col("m2")) / 2), F.sum("m")).first()
         if not rows:
             break
         rich = open_.join(reps.select("cls", "n", "sketch"), "cls")
@@ -214,7 +227,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
             cond = cond & (F.col("cls") < F.col("cls2"))
         pairs = rich.alias("x").join(other, "key").where(cond).select(
             F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"))
-        more = _links(pairs, reps, docs, num, den, k)
+        more = _links(pairs.distinct(), reps, docs, num, den, k)
         links = materialize(links.union(more).distinct())
         if last:
             label = components(links)
