@@ -151,10 +151,10 @@ def fit(docs: DataFrame, max_per_lang: int = MAX_PER_LANG) -> Model | None:
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     rows = bounded_sample(rows, "lang", max_per_lang, F.xxhash64("doc_id"))
     got = rows.mapInArrow(_features, "lang string, ids binary, vals binary").toArrow()
-    order = sorted(zip(got.column("lang").to_pylist(), got.column("ids").to_pylist(),
-                       got.column("vals").to_pylist(), strict=True))
-    return fit_rows([(np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(v, np.float32).astype(float))
-                     for _, i, v in order], [x for x, _, _ in order])
+    order = sorted(zip(*(got.column(c).to_pylist() for c in ("lang", "ids", "vals")), strict=True))
+    del got  # the sample stays once, as bytes that the rows look into
+    return fit_rows([(np.frombuffer(i, np.uint16), np.frombuffer(v, np.float32)) for _, i, v in order],
+                    [x for x, _, _ in order])
 
 
 def _predict(model: Model | None):

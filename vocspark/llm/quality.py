@@ -112,6 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text") \
         .mapInArrow(_features, "label int, ids binary").toArrow()
     order = sorted(zip(rows.column("ids").to_pylist(), rows.column("label").to_pylist(), strict=True))
+    del rows
     return fit_rows([np.frombuffer(x, np.uint16) for x, _ in order],
                     np.array([1 if s else -1 for _, s in order]), float(share))
 
