@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from vocspark.plans.registry import QUERIES
 from vocspark.operators import enrich as en
 from vocspark.operators import filters as fl
 from vocspark.operators import rank as rk
@@ -17,7 +18,7 @@ def _plan(df) -> str:
 
 
 def test_no_python_in_plans_except_model_hook(spark):
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         if name in ("score_with_model", "train_baseline") or name.startswith("stream_"):
             continue
         plan = _plan(fn(spark, SF_SMALL))

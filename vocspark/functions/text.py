@@ -134,13 +134,12 @@ def snippet(c, n: int = 80, suffix: str = "...") -> Column:
 def title_case(c) -> Column:
     """Python str.title(): upper-case a cased character that follows an uncased one."""
     chars = F.split(col(c), "")
+    before = F.concat(F.array(F.lit(" ")), F.slice(chars, F.lit(1), F.size(chars) - 1))
 
-    def fix(ch, i):
-        prev = F.get(chars, i - 1)
-        prev_cased = F.upper(prev) != F.lower(prev)
-        return F.when((i == 0) | ~prev_cased, F.upper(ch)).otherwise(F.lower(ch))
+    def fix(ch, prev):
+        return F.when(F.upper(prev) != F.lower(prev), F.lower(ch)).otherwise(F.upper(ch))
 
-    return F.array_join(F.transform(chars, fix), "")
+    return F.array_join(F.zip_with(chars, before, fix), "")
 
 
 def display_name(email) -> Column:

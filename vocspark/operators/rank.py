@@ -15,26 +15,23 @@ from vocspark.operators import aggregate as ag
 
 
 # Rows one task may take in the last step of a per-group top-k.
-TOP_K_TASK_ROWS = 10_000_000
-
-
 def top_per_group(df: DataFrame, group: str, order: list, k: int,
-                  rank_name: str = "rank", task_rows: int = TOP_K_TASK_ROWS) -> DataFrame:
+                  rank_name: str = "rank", task_rows: int | None = None) -> DataFrame:
     """Rows ranked 1..k within each group.
 
     Spark limits each input partition to k rows per group before the shuffle
     (WindowGroupLimit), so one group's final task receives partitions * k rows.
-    When that exceeds `task_rows`, an intermediate step first reduces groups of
-    input partitions (bucketed by partition id) to k rows each, so no task sees
-    more than about `task_rows` rows however large the input or the group."""
-    parts = df.rdd.getNumPartitions()
+    For inputs of very many partitions, `task_rows` bounds that: buckets of input
+    partitions are first reduced to k rows each.  Only then are partitions
+    counted while the query is built; by default, building runs nothing.  The
+    ranks do not depend on `task_rows`."""
     d = df
-    if parts * k > task_rows:
-        buckets = max(2, min(parts, -(-parts * k // task_rows)))
-        bucket = F.pmod(F.spark_partition_id(), F.lit(buckets))
+    parts = df.rdd.getNumPartitions() if task_rows else 0
+    if task_rows and parts * k > task_rows:
+        fan_in = max(2, min(parts, -(-parts * k // task_rows)))
         w1 = Window.partitionBy(group, "_bucket").orderBy(*order)
-        d = (d.withColumn("_bucket", bucket).withColumn("_r1", F.row_number().over(w1))
-             .where(F.col("_r1") <= k).drop("_bucket", "_r1"))
+        d = (d.withColumn("_bucket", F.pmod(F.spark_partition_id(), F.lit(fan_in)))
+             .withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_bucket", "_r1"))
     w = Window.partitionBy(group).orderBy(*order)
     return d.withColumn(rank_name, F.row_number().over(w)).where(F.col(rank_name) <= k)
 

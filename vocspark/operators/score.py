@@ -42,12 +42,17 @@ def explode_scores(df: DataFrame, id_col: str = "id") -> DataFrame:
 
 ModelLoader = Callable[[], Callable[[list], list]]
 
-# One loaded model per Python worker process (workers are reused across tasks).
-_MODELS: dict = {}
+#: Models that one Python worker process keeps (workers are reused).
+MODELS_KEPT = 4
 
 
 def _model_key(loader) -> str:
-    return f"{getattr(loader, '__module__', '')}.{getattr(loader, '__qualname__', repr(loader))}"
+    """Digest of the loader with all that it closes over: loaders of one factory
+    differ."""
+    import hashlib
+
+    from pyspark import cloudpickle
+    return hashlib.sha256(cloudpickle.dumps(loader)).hexdigest()
 
 
 def score_with_model(df: DataFrame, loader: ModelLoader, text: str = "text",
@@ -60,13 +65,19 @@ def score_with_model(df: DataFrame, loader: ModelLoader, text: str = "text",
     model call is Python.  Rows whose output maps to no class get null scores
     and are kept (keyed by their own columns, never by position)."""
     cleaned = df.withColumn("_clean", tx.clean_text(text))
-    key = _model_key(loader)
+    key, most = _model_key(loader), MODELS_KEPT
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from vocspark.operators import score as this  # the worker's module copy
-        predict = this._MODELS.get(key)
+        import sys
+        import types
+        # kept beside the worker's modules: executors need not have this package
+        name = "_models_of_worker"
+        kept = sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("kept", {})
+        predict = kept.get(key)
         if predict is None:
-            predict = this._MODELS[key] = loader()
+            while len(kept) >= most:
+                kept.pop(next(iter(kept)))
+            predict = kept[key] = loader()
         for pdf in batches:
             out = []
             texts = pdf["_clean"].tolist()

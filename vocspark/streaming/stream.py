@@ -5,6 +5,8 @@ where the key is time.  Checkpoints go under the shared checkpoint folder."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,17 +31,25 @@ def read_feedback_stream(spark: SparkSession, path: str, schema=None,
     return d.withColumn(EVENT_TIME, F.col("created_at").cast("timestamp"))
 
 
-def _checkpoint(spark: SparkSession, name: str, checkpoint: str | None) -> str:
-    return checkpoint or shared_dir(spark, "streams", name)
+def _digest(value: str) -> str:
+    return hashlib.sha256(value.encode()).hexdigest()[:16]
+
+
+def _checkpoint(spark: SparkSession, name: str, checkpoint: str | None, sink: str = "") -> str:
+    """The checkpoint given, or one of this operator and sink alone."""
+    return checkpoint or shared_dir(spark, "streams", f"{name}-{_digest(sink)}" if sink else name)
 
 
 def stream_classify(stream: DataFrame, out_path: str, rejects_path: str,
                     checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """validate -> clean -> score -> append; rejects to a second sink.  Each
-    micro-batch is written by foreachBatch under its own `epoch=` folder in
-    overwrite mode, so a batch replayed after a failure replaces its own
-    output instead of adding a second copy."""
+    micro-batch is written by foreachBatch under its own `epoch=` folder (named
+    by checkpoint and epoch) in overwrite mode: a batch replayed after a failure
+    replaces its own output, and a run with another checkpoint, which counts
+    epochs from 0 again, adds to the table."""
     spark = stream.sparkSession
+    checkpoint = _checkpoint(spark, "classify", checkpoint, out_path)
+    run = _digest(checkpoint)
 
     def write(batch: DataFrame, epoch: int) -> None:
         # two sinks read the batch: cache it for the two writes (lost blocks
@@ -50,13 +60,13 @@ def stream_classify(stream: DataFrame, out_path: str, rejects_path: str,
             scored = score_rules(valid).withColumn("confidence", F.round("confidence", 4))
             cols = [f.name for f in sc.FEEDBACK_SCHEMA.fields]
             with_defaults(scored.select(*[c for c in cols if c in scored.columns])) \
-                .write.mode("overwrite").partitionBy("date").parquet(f"{out_path}/epoch={epoch}")
-            rejects.write.mode("overwrite").parquet(f"{rejects_path}/epoch={epoch}")
+                .write.mode("overwrite").partitionBy("date").parquet(f"{out_path}/epoch={run}-{epoch}")
+            rejects.write.mode("overwrite").parquet(f"{rejects_path}/epoch={run}-{epoch}")
         finally:
             batch.unpersist()
 
     w = stream.writeStream.foreachBatch(write) \
-        .option("checkpointLocation", _checkpoint(spark, "classify", checkpoint))
+        .option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 
