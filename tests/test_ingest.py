@@ -1,7 +1,9 @@
 """Uploads written by the tests (own sentences) into a temp folder."""
 
+import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from vocspark.sources import ingest as ing
@@ -168,3 +170,92 @@ def test_synthesize_feedback_ranges_and_repeats(spark):
         assert dt.timedelta(0) <= anchor - r.created_at < dt.timedelta(days=30)
         assert r.created_at.microsecond == 0 and r.source in lx.SEED_SOURCES
     assert len({r.source for r in a}) == 5
+
+
+STORE = "id long, text string, sentiment string, confidence double, source string, created_at timestamp_ntz"
+
+
+def _to_store(spark):
+    return spark.createDataFrame([
+        (1, "good", "Positive", 0.9, "web", None), (2, "x" * 5000, "Negative", 0.8, "s" * 80, None),
+        (3, "bad", "Angry", 0.5, None, None), (4, None, "Neutral", 2.0, None, None)], STORE)
+
+
+def test_append_loses_no_row(spark, tmp_path):
+    path, rejects = str(tmp_path / "store"), str(tmp_path / "rejects")
+    ing.append_feedback(_to_store(spark), path, now="2024-05-01 08:00:00", rejects_path=rejects)
+    stored = {r.id: r for r in ing.read_feedback(spark, path).collect()}
+    refused = {r.id: r.failed for r in spark.read.parquet(rejects).collect()}
+    assert set(stored) == {1, 2} and len(stored[2].text) == 5000 and len(stored[2].source) == 80
+    assert refused == {3: "sentiment_invalid", 4: "text_missing,confidence_range"}
+
+
+def test_append_without_rejects_stores_nothing(spark, tmp_path):
+    path = str(tmp_path / "store")
+    with pytest.raises(Exception, match="break the rules"):
+        ing.append_feedback(_to_store(spark), path, now="2024-05-01 08:00:00")
+    assert ing._if_there(lambda: ing.read_feedback(spark, path).count()) in (None, 0)
+
+
+def test_append_writes_few_files(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.range(1000).repartition(8).selectExpr(
+        "id", "'t' AS text", "'Neutral' AS sentiment", "0.5D AS confidence", "'web' AS source",
+        "timestamp_ntz'2024-01-01' + make_dt_interval(CAST(id % 15 AS INT)) AS created_at")
+    ing.append_feedback(rows, path)
+    assert ing.read_feedback(spark, path).count() == 1000
+    assert len(ing.read_feedback(spark, path).inputFiles()) == 15
+
+
+def test_bootstrap_gives_equal_records_ids_of_their_own(spark, tmp_path):
+    row = "nice,Positive,0.9,web,2024-01-01 00:00:00"
+    snap = _write(tmp_path, "twice.csv", ["text,sentiment,confidence,source,created_at", row, row])
+    df = ing.bootstrap_if_empty(spark, str(tmp_path / "fresh"), snap)
+    assert df.count() == df.select("id").distinct().count() == 2
+
+
+def test_unreadable_store_is_not_an_empty_one(spark, tmp_path):
+    (tmp_path / "store").mkdir()
+    (tmp_path / "store" / "part-0.parquet").write_text("no parquet")
+    snap = _write(tmp_path, "s.csv", ["text,sentiment,confidence,source,created_at"])
+    with pytest.raises(Exception):
+        ing.bootstrap_if_empty(spark, str(tmp_path / "store"), snap)
+
+
+def test_iso_timestamps(spark):
+    texts = ["2024-03-01T10:20:30Z", "2024-03-01T12:20:30+02:00", "2024-03-01T10:20:30.5",
+             "2024-03-01 10:20:30.000000", "03/01/2024 10:20:30 AM", "2024-03-01T10:20", "2024-13-01"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, created_at string")
+    got = [str(r.created_at) for r in ing.parse_mixed_timestamps(df).orderBy("k").collect()]
+    assert got == ["2024-03-01 10:20:30"] * 2 + ["2024-03-01 10:20:30.500000"] \
+        + ["2024-03-01 10:20:30"] * 2 + ["2024-03-01 10:20:00", "None"]
+
+
+def test_replies_reading_none_are_kept(spark, tmp_path):
+    p = _write(tmp_path, "na.csv", ["text,channel", "none,web", "Na,NA", "NA,web", "nan,web", "ok,None"])
+    got = {r.text: r.channel for r in ing.extract_feedback(spark, p).collect()}
+    assert got == {"none": "web", "Na": None, "ok": None}
+
+
+def test_header_after_blank_lines(spark, tmp_path):
+    p = _write(tmp_path, "blank.csv", [""] * 8 + ["text"])
+    assert ing.first_line(spark, p) == "text"
+    with pytest.raises(ValueError):
+        ing.first_line(spark, _write(tmp_path, "blanks.csv", [""] * 8))
+
+
+def test_cap_is_off_unless_asked_for(spark):
+    df = spark.range(1200).withColumnRenamed("id", "row_id")
+    assert ing.cap_items(df).count() == 1200 and ing.cap_items(df, 5).count() == 5
+
+
+def test_history_filter_prunes_partitions(spark, tmp_path):
+    from vocspark.operators.filters import history_filter
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([(i, "t", "Neutral", 0.5, "web", dt.datetime(2024, 1, i, 23, 30))
+                                  for i in range(1, 6)], STORE)
+    ing.append_feedback(rows, path)
+    got = history_filter(ing.read_feedback(spark, path), date_from="2024-01-02", date_to="2024-01-03")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan
+    assert {r.id for r in got.collect()} == {2, 3}

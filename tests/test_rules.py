@@ -154,3 +154,24 @@ def test_lexicon_hits_both_paths(spark):
         assert (rows[1].h_a, rows[1].h_b) == want
         assert (rows[3].h_a, rows[3].h_b) == (0, 0)
         assert rows[2].h_a is None
+
+
+def test_every_sentence_counts(spark):
+    from vocspark.operators import report as rp
+    from vocspark.operators import score as sco
+    text = " ".join(["This is plain."] * 35 + ["I love it."] * 5 + ["It is awful."])
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    row = rp.with_sentence_mix(df).first()
+    assert (row.sentences, row.positive_sentences, row.negative_sentences, row.mixed) == (41, 5, 1, True)
+    assert sco.score_sentences(df).count() == 41 and sco.score_sentences(df, max_sentences=30).count() == 30
+
+
+def test_report_of_a_plain_text_upload(spark):
+    """Neither channel, segment nor risk: those sections go, urgent ones are Negative."""
+    from vocspark.operators import report as rp
+    df = spark.createDataFrame([(1, "awful soup", "Negative", 0.9), (2, "lovely", "Positive", 0.8)],
+                               "id long, text string, sentiment string, confidence double")
+    lines = rp.report_sections(df).collect()
+    assert [r.line for r in lines if r.section == "urgent_queue"] == ["- (90%) awful soup"]
+    assert not {"risk_profile", "channels", "segments"} & {r.section for r in lines}
+    assert all(r.line for r in lines)

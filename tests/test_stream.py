@@ -1,5 +1,7 @@
 """Stream = batch: each streaming operator over files equals its batch form."""
 
+import datetime as dt
+
 from vocspark.operators import aggregate as ag
 from vocspark.operators import enrich as en
 from vocspark.sources import fixture as fx
@@ -53,3 +55,42 @@ def test_classify_stream_splits_rejects(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "o")).count()
     rej = spark.read.parquet(str(tmp_path / "r")).count()
     assert out + rej == raw.count() and rej > 0
+
+
+def _feed(spark, path, rows):
+    from vocspark import schema as sc
+    spark.createDataFrame(rows, sc.FEEDBACK_SCHEMA).write.parquet(path)
+    return st.read_feedback_stream(spark, path, max_files_per_trigger=1)
+
+
+def _items(first, n, day):
+    return [(i, "love it", "Positive", 0.9, "web", dt.datetime(2024, 1, day)) for i in range(first, first + n)]
+
+
+def test_second_run_keeps_the_first_ones_rows(spark, tmp_path):
+    for run, rows in (("a", _items(0, 30, 5)), ("b", _items(30, 20, 5))):
+        s = _feed(spark, str(tmp_path / run), rows)
+        st.stream_classify(s.drop("event_time"), str(tmp_path / "o"), str(tmp_path / "r"),
+                           checkpoint=str(tmp_path / f"ck-{run}")).awaitTermination()
+        st.stream_daily_counts(s, str(tmp_path / "d"),
+                               checkpoint=str(tmp_path / f"ckd-{run}")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "o")).select("id").distinct().count() == 50
+    assert [tuple(r) for r in st.read_daily_counts(spark, str(tmp_path / "d")).collect()] \
+        == [(dt.date(2024, 1, 5), "Positive", 50)]
+
+
+def test_feeds_of_one_kind_have_checkpoints_of_their_own(spark, tmp_path):
+    for run, n in (("a", 3), ("b", 4)):
+        s = _feed(spark, str(tmp_path / run), _items(0, n, 5))
+        st.stream_kpis(s, str(tmp_path / f"k{run}")).awaitTermination()
+        assert spark.read.parquet(str(tmp_path / f"k{run}")).first()["count"] == n
+
+
+def test_late_rows_count(spark, tmp_path):
+    s = _feed(spark, str(tmp_path / "in"), _items(0, 2, 30))
+    st.stream_daily_counts(s, str(tmp_path / "d"), checkpoint=str(tmp_path / "ck")).awaitTermination()
+    from vocspark import schema as sc
+    spark.createDataFrame(_items(2, 3, 1), sc.FEEDBACK_SCHEMA).write.mode("append").parquet(str(tmp_path / "in"))
+    st.stream_daily_counts(s, str(tmp_path / "d"), checkpoint=str(tmp_path / "ck")).awaitTermination()
+    got = {r.date.day: r["count"] for r in st.read_daily_counts(spark, str(tmp_path / "d")).collect()}
+    assert got == {30: 2, 1: 3}

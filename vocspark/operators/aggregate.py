@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vocspark import lexicon as lx
 from vocspark.functions import text as tx
+from vocspark.operators.filters import high_risk
 
 
 def _hundred() -> Column:
@@ -250,8 +251,9 @@ def trend_matrix(df: DataFrame, ts: str = "created_at", min_rows: int = 5) -> Da
 
 
 def group_net_sentiment(df: DataFrame, key: str = "channel", n: int | None = 10) -> DataFrame:
-    """Items and net per group, most items first (ties by key); top n."""
-    g = df.groupBy(key).agg(F.count(F.lit(1)).alias("items"),
+    """Items and net per group, most items first (ties by key); top n.  Items
+    without a group are left out, as in `group_gap`."""
+    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("items"),
                             _n(_is("Positive")).alias("_p"), _n(_is("Negative")).alias("_q"))
     g = g.select(key, "items", net_score(F.col("_p"), F.col("_q"), F.col("items")).alias("net"))
     g = g.orderBy(F.desc("items"), F.asc(key))
@@ -282,8 +284,7 @@ def group_gap(df: DataFrame, keys=("channel", "segment")) -> DataFrame:
 
 def modal_emotion(enriched: DataFrame) -> DataFrame:
     """Most common emotion among High-risk items (ties -> smallest name)."""
-    high = enriched.where(F.col("risk") == "High")
-    return high.agg(F.count(F.lit(1)).alias("high_risk"),
+    return high_risk(enriched).agg(F.count(F.lit(1)).alias("high_risk"),
                     F.coalesce(F.mode("emotion", True),
                                F.lit(lx.FALLBACK_HIGH_RISK_EMOTION)).alias("emotion"))
 

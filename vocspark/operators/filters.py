@@ -26,6 +26,8 @@ def history_filter(df: DataFrame, sentiments: Sequence[str] | None = None,
         lo = F.to_timestamp_ntz(F.lit(str(date_from)))
         hi = F.to_timestamp_ntz(F.lit(str(date_to))) + F.expr("INTERVAL 1 DAY")
         out = out.where((F.col(ts) >= lo) & (F.col(ts) < hi))
+        if "date" in df.columns:  # the partition column of stored feedback
+            out = out.where(F.col("date").between(F.to_date(lo), F.to_date(F.lit(str(date_to)))))
     return out
 
 
@@ -51,7 +53,10 @@ def needs_review(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD) -> DataF
 
 
 def high_risk(df: DataFrame) -> DataFrame:
-    return df.where(F.col("risk") == "High")
+    """Only Negative items have High risk: that part reaches the scan, so the
+    others are not enriched."""
+    high = F.col("risk") == "High"
+    return df.where((F.col("sentiment") == "Negative") & high if "sentiment" in df.columns else high)
 
 
 def urgent_negative(df: DataFrame, threshold: float = lx.URGENT_CONFIDENCE) -> DataFrame:

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from vocspark import lexicon as lx
 from vocspark.functions import text as tx
-from vocspark.operators import aggregate as ag
+from vocspark.operators.filters import high_risk
 
 
-# Rows one task may take in the last step of a per-group top-k.
 def top_per_group(df: DataFrame, group: str, order: list, k: int,
                   rank_name: str = "rank", task_rows: int | None = None) -> DataFrame:
     """Rows ranked 1..k within each group.
@@ -94,19 +93,19 @@ def urgent_queue(enriched: DataFrame, n: int = 10, id_col: str = "id") -> DataFr
     """High risk by intensity desc then confidence desc, head n."""
     cols = [c for c in ("id", "text", "emotion", "intensity", "confidence", "driver",
                         "channel", "segment") if c in enriched.columns]
-    return (enriched.where(F.col("risk") == "High")
+    return (high_risk(enriched)
             .orderBy(F.desc("intensity"), F.desc("confidence"), F.asc(id_col))
             .limit(n).select(*cols))
 
 
 def urgent_by_confidence(df: DataFrame, n: int = 10, id_col: str = "id") -> DataFrame:
     """High risk (Negative when there is no risk column) top n by confidence."""
-    cond = (F.col("risk") == "High") if "risk" in df.columns else (F.col("sentiment") == "Negative")
-    return df.where(cond).orderBy(F.desc("confidence"), F.asc(id_col)).limit(n)
+    urgent = high_risk(df) if "risk" in df.columns else df.where(F.col("sentiment") == "Negative")
+    return urgent.orderBy(F.desc("confidence"), F.asc(id_col)).limit(n)
 
 
 def urgent_by_intensity(enriched: DataFrame, n: int = 10, id_col: str = "id") -> DataFrame:
-    top = (enriched.where(F.col("risk") == "High")
+    top = (high_risk(enriched)
            .orderBy(F.desc("intensity"), F.asc(id_col)).limit(n))
     return top.select(id_col, tx.snippet("text").alias("snippet"), "emotion",
                       F.format_string("%d/100", "intensity").alias("intensity"),
@@ -143,6 +142,3 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> DataF
     """Seeded n rows (all when fewer): the n smallest hashes, a TakeOrdered."""
     return df.orderBy(seeded_key(id_col, seed), id_col).limit(n)
 
-
-# Group reports reuse the aggregate module's ordering rule.
-group_net_sentiment = ag.group_net_sentiment

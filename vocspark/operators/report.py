@@ -18,6 +18,7 @@ from vocspark.functions import lexical as lex
 from vocspark.functions import text as tx
 from vocspark.operators import aggregate as ag
 from vocspark.operators import enrich as en
+from vocspark.operators.rank import urgent_by_confidence
 
 # Format helpers -------------------------------------------------------------
 
@@ -47,15 +48,6 @@ def fmt2(x: Column) -> Column:
     return F.format_string("%.2f", F.bround(x, 2))
 
 
-def word_list(df: DataFrame, n: int, sep: str = ", ") -> Column:
-    """Scalar: the top-n content words of df joined by sep ('' when none)."""
-    top = ag.top_words(df, n)
-    agg = top.agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("c"), "word"))),
-        lambda x: x["word"]), sep).alias("w"))
-    return F.coalesce(agg.scalar(), F.lit(""))
-
-
 # KPI row ----------------------------------------------------------------------
 
 def kpi_row(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD) -> DataFrame:
@@ -329,16 +321,17 @@ def share_like_this(items: DataFrame, history: DataFrame, id_col: str = "id") ->
                     total.alias("history_items"))
 
 
-def with_sentence_mix(df: DataFrame, text: str = "text", max_sentences: int = 30) -> DataFrame:
+def with_sentence_mix(df: DataFrame, text: str = "text",
+                      max_sentences: int | None = None) -> DataFrame:
     """Adds sentences (min 1), positive_sentences, negative_sentences and
-    mixed: the rule scorer on each of the first 30 sentences (documents with
-    fewer than 2 sentences give 0, 0).  Per-row array expressions, no explode
+    mixed: the rule scorer on each sentence (the first `max_sentences` where
+    that is given; documents with fewer than 2 sentences give 0, 0).  Per-row array expressions, no explode
     and no shuffle; the split and the labels are staged so each runs once."""
     d = df.withColumn("_sents", tx.split_sentences(text))
     # clean + lower each sentence once (an inner transform), then score: inside
     # a lambda Spark would otherwise redo the cleaning for every rule word
-    low = F.transform(F.slice("_sents", 1, max_sentences),
-                      lambda s: F.lower(tx.clean_text(s, guard=False)))
+    kept = F.col("_sents") if max_sentences is None else F.slice("_sents", 1, max_sentences)
+    low = F.transform(kept, lambda s: F.lower(tx.clean_text(s, guard=False)))
     d = d.withColumn("_labels", F.transform(low, lb.rule_label_lowered))
     many = F.size("_sents") >= 2
 
@@ -392,10 +385,11 @@ def report_sections(enriched: DataFrame, threshold: float = lx.REVIEW_THRESHOLD)
     add(2, "recommendations", recommendations(enriched, threshold, words).select(
         F.col("rec_no").alias("line_no"),
         F.concat(F.col("rec_no").cast("string"), F.lit(". "), F.col("line")).alias("line")))
-    add(3, "risk_profile", ag.risk_profile(enriched).select(
-        F.col("rank").alias("line_no"),
-        F.concat(F.lit("- "), F.col("risk"), F.lit(": "), F.col("count").cast("string"),
-                 F.lit(" items")).alias("line")))
+    if "risk" in enriched.columns:
+        add(3, "risk_profile", ag.risk_profile(enriched).select(
+            F.col("rank").alias("line_no"),
+            F.concat(F.lit("- "), F.col("risk"), F.lit(": "), F.col("count").cast("string"),
+                     F.lit(" items")).alias("line")))
     piv = ag.aspect_pivot(ag.aspect_breakdown(enriched))
     pieces = F.filter(F.array(*[F.when(F.col(s) > 0, F.concat(F.col(s).cast("string"), F.lit(" " + s)))
                                 for s in lx.CLASSES]), lambda x: x.isNotNull())
@@ -404,14 +398,15 @@ def report_sections(enriched: DataFrame, threshold: float = lx.REVIEW_THRESHOLD)
         F.row_number().over(Window.orderBy("aspect")).alias("line_no"),
         F.concat(F.lit("- "), F.col("aspect"), F.lit(": "), F.array_join(pieces, ", ")).alias("line")))
     for no, key in ((5, "channel"), (6, "segment")):
+        if key not in enriched.columns:
+            continue
         multi = enriched.agg(F.count_distinct(key)).scalar() > 1
         g = ag.group_net_sentiment(enriched.where(multi), key, None)
         add(no, f"{key}s", g.select(
             F.dense_rank().over(Window.orderBy(key)).alias("line_no"),
             F.concat(F.lit("- "), F.col(key), F.lit(": "), F.col("items").cast("string"),
                      F.lit(" items, Net Sentiment "), fmt_signed0(F.col("net"))).alias("line")))
-    urgent = (enriched.where(F.col("risk") == "High")
-              .orderBy(F.desc("confidence"), F.asc("id")).limit(10))
+    urgent = urgent_by_confidence(enriched, 10)
     add(7, "urgent_queue", urgent.select(
         F.row_number().over(Window.orderBy(
             F.desc("confidence"), F.asc("id"))).alias("line_no"),

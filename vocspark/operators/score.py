@@ -123,11 +123,13 @@ def rule_model_loader() -> Callable[[list], list]:
 # Sentences -------------------------------------------------------------------
 
 def score_sentences(df: DataFrame, text: str = "text", id_col: str = "id",
-                    max_sentences: int = 30, min_sentences: int = 2) -> DataFrame:
-    """Documents with >= 2 sentences: first 30 sentences, each scored."""
+                    max_sentences: int | None = None, min_sentences: int = 2) -> DataFrame:
+    """Documents with >= 2 sentences: each sentence scored (the first
+    `max_sentences` where that is given)."""
     sents = tx.split_sentences(text)
     d = df.select(id_col, sents.alias("_s")).where(F.size("_s") >= min_sentences)
-    d = d.select(id_col, F.posexplode(F.slice("_s", 1, max_sentences)).alias("pos", "sentence"))
+    kept = F.col("_s") if max_sentences is None else F.slice("_s", 1, max_sentences)
+    d = d.select(id_col, F.posexplode(kept).alias("pos", "sentence"))
     d = score_rules(d, "sentence")
     return d.select(id_col, "pos", "sentence", "sentiment", "confidence")
 
@@ -147,13 +149,17 @@ def classify_and_store(df: DataFrame, path: str | None = None, persist: bool = T
                        scorer: Callable[[DataFrame], DataFrame] | None = None,
                        now=None) -> tuple[DataFrame, DataFrame]:
     """validate -> clean -> score -> round -> append.  Returns (stored rows,
-    rejects).  The stored text is the raw text; scoring sees the cleaned one."""
+    rejects).  The stored text is the raw text; scoring sees the cleaned one.
+    Rows to store are written once before the append, so that the model scores
+    them once."""
+    from vocspark.session import materialize
     from vocspark.sources.ingest import append_feedback, validate_request
 
     valid, rejects = validate_request(df)
     scored = (scorer or score_rules)(valid)
     out = scored.withColumn("confidence", F.round("confidence", 4))
     if persist and path:
+        out = materialize(out)
         append_feedback(out.select("id", "text", "sentiment", "confidence", "source",
                                    *[c for c in ("created_at",) if c in out.columns]),
                         path, now=now)

@@ -57,7 +57,9 @@ HEADER = "Text, Sentiment, Source, Date/Time, User ID, Location, Confidence Scor
 @query("wrapped_csv_upload", "A8+A9+A10+A11", S.with_(S.FEEDBACK) + f"""SELECT t AS text,
   strftime(date_trunc('second', created_at), {TSF}) AS created_at, channel, segment FROM (
   SELECT *, trim({S.ws_trim_sql('text')}, '"') AS t FROM feedback)
-WHERE length(t) > 0 AND lower(t) NOT IN ('nan', 'na', 'n/a', 'null', 'none', '#n/a', '<na>')""")
+WHERE length(t) > 0 AND lower(t) <> 'nan' AND text NOT IN (
+  '', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND',
+  '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')""")
 def q_wrapped(spark, sf):
     """Fixture rows written as an upload whose every line wraps one CSV
     record in quotes (header file first), then parsed back."""

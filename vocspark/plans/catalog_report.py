@@ -178,7 +178,7 @@ def q_share_like(spark, sf):
 
 def _mix_sql(text: str = "text") -> tuple[str, str]:
     l_ = S.sentences_sql(text)
-    lab = f"list_transform(({l_})[1:30], lambda s: {S.rule_scores_sql(S.clean_sql('s'))[0]})"
+    lab = f"list_transform({l_}, lambda s: {S.rule_scores_sql(S.clean_sql('s'))[0]})"
     pos = f"CASE WHEN len({l_}) >= 2 THEN len(list_filter({lab}, lambda x: x = 'Positive')) ELSE 0 END"
     neg = f"CASE WHEN len({l_}) >= 2 THEN len(list_filter({lab}, lambda x: x = 'Negative')) ELSE 0 END"
     return pos, neg
@@ -334,7 +334,7 @@ FROM feedback GROUP BY 1, 2""")
 def q_stream_daily(spark, sf):
     from vocspark.streaming import stream as st
     s, base = _stream_input(spark, sf)
-    q = st.stream_daily_counts(s, base + "-daily", checkpoint=base + "-ckpt", watermark="400 days")
+    q = st.stream_daily_counts(s, base + "-daily", checkpoint=base + "-ckpt")
     q.awaitTermination()
     return st.read_daily_counts(spark, base + "-daily")
 

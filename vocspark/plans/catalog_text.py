@@ -339,7 +339,7 @@ def _sentence_scores_sql() -> str:
     sent, conf = S.rule_scores_sql(S.clean_sql("sentence"))
     return (FB + f"SELECT id, pos, sentence, {sent} AS sentiment, {conf} AS confidence FROM ("
             f"SELECT id, unnest(l) AS sentence, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos "
-            f"FROM (SELECT id, {S.sentences_sql('text')}[1:30] AS l FROM feedback "
+            f"FROM (SELECT id, {S.sentences_sql('text')} AS l FROM feedback "
             f"WHERE len({S.sentences_sql('text')}) >= 2))")
 
 

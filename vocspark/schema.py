@@ -24,6 +24,7 @@ SCORED_SCHEMA = T.StructType([
 
 LABELLED_SCHEMA = "text string, label int"
 
-# Tokens read as missing in uploaded CSV files (pandas' default na list that
-# occurs in practice); matched case-blind after trimming.
-NA_TOKENS = ("", "nan", "na", "n/a", "null", "none", "#n/a", "<na>")
+# FIXED VALUES: fields read as missing in uploaded CSV files (the default list of
+# pandas), matched as they stand.
+NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+             "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")

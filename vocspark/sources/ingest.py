@@ -6,6 +6,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,11 +42,34 @@ def with_defaults(df: DataFrame, now=None) -> DataFrame:
     return d.withColumn("date", F.to_date("created_at"))
 
 
-def append_feedback(df: DataFrame, path: str, now=None) -> None:
-    """Append rows (after the stored-table checks) partitioned by date."""
-    valid, _ = validate_feedback(with_defaults(df, now))
+def append_feedback(df: DataFrame, path: str, now=None, rejects_path: str | None = None) -> None:
+    """Append rows partitioned by date.  No row is lost: one that breaks the
+    table's rules goes, with their names in `failed`, to `rejects_path`; without
+    that folder it ends the append and nothing is stored.  Rows are gathered by
+    date (AQE splits a hot date), so a date gets few files."""
+    rows = with_defaults(df, now)
     cols = [f.name for f in sc.FEEDBACK_SCHEMA.fields] + ["date"]
-    valid.select(*cols).write.mode("append").partitionBy("date").parquet(path)
+    failed = failed_rules(_rules_table())
+    if rejects_path is not None:
+        from vocspark.session import materialize
+        checked = materialize(rows.select(*cols, failed.alias("failed")))
+        checked.where("failed <> ''").write.mode("append").parquet(rejects_path)
+        rows = checked.where("failed = ''")
+    else:
+        stop = F.raise_error(F.concat(F.lit("rows break the rules of the table: "), failed))
+        rows = rows.withColumn("text", F.when(failed == "", F.col("text")).otherwise(stop))
+    rows.select(*cols).hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
+
+
+def _if_there(read):
+    """What `read` gives, or None where its path does not exist.  Other failures
+    are raised: a store that can't be read is not an empty one."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def replace_feedback(spark: SparkSession, df: DataFrame | None, path: str) -> int:
@@ -54,10 +78,8 @@ def replace_feedback(spark: SparkSession, df: DataFrame | None, path: str) -> in
     derived from the table it replaces: the overwrite never reads the files
     it deletes."""
     from vocspark.session import materialize
-    try:
-        removed = read_feedback(spark, path).count()
-    except Exception:  # noqa: BLE001 - no table yet
-        removed = 0
+    stored = _if_there(lambda: read_feedback(spark, path))
+    removed = stored.count() if stored is not None else 0
     schema = T.StructType(sc.FEEDBACK_SCHEMA.fields + [T.StructField("date", T.DateType())])
     new = df if df is not None else spark.createDataFrame([], schema)
     new = with_defaults(new) if "date" not in new.columns else new
@@ -68,28 +90,32 @@ def replace_feedback(spark: SparkSession, df: DataFrame | None, path: str) -> in
 
 
 def bootstrap_if_empty(spark: SparkSession, path: str, snapshot_csv: str) -> DataFrame:
-    """When the table is empty (or absent), load a CSV snapshot into it."""
-    try:
-        empty = read_feedback(spark, path).isEmpty()
-    except Exception:  # noqa: BLE001
-        empty = True
-    if empty:
+    """When the table is empty (or absent), load a CSV snapshot into it; each of
+    its records gets an id of its own, equal records too."""
+    stored = _if_there(lambda: read_feedback(spark, path))
+    if stored is None or stored.isEmpty():
         snap = spark.read.csv(snapshot_csv, header=True, multiLine=True, escape='"',
                               schema="text string, sentiment string, confidence double, "
                                      "source string, created_at timestamp_ntz")
-        append_feedback(snap.withColumn("id", F.xxhash64("text", "created_at")), path)
+        append_feedback(snap.withColumn("id", F.monotonically_increasing_id() + 1), path)
     return read_feedback(spark, path)
 
 
 # A2 ----------------------------------------------------------------------------
 
-def _rules_stored(columns=("source",)) -> list[tuple[str, Column]]:
-    rules = [
+def _rules_table() -> list[tuple[str, Column]]:
+    """What the stored table itself demands: no limit on lengths."""
+    return [
         ("text_missing", F.col("text").isNull()),
         ("sentiment_invalid", ~F.coalesce(F.col("sentiment").isin(*lx.CLASSES), F.lit(False))),
         ("confidence_missing", F.col("confidence").isNull()),
         ("confidence_range", (F.col("confidence") < 0) | (F.col("confidence") > 1)),
         ("created_at_missing", F.col("created_at").isNull()),
+    ]
+
+
+def _rules_stored(columns=("source",)) -> list[tuple[str, Column]]:
+    rules = _rules_table() + [
         ("text_empty", F.length(F.col("text")) < 1),
         ("text_too_long", F.length(F.col("text")) > lx.MAX_TEXT_CHARS),
     ]
@@ -166,13 +192,13 @@ def _split_header(line: str) -> list[str]:
 
 
 def first_line(spark: SparkSession, path: str) -> str:
-    """First non-blank line of the first file (in name order) under `path`:
-    the header of an upload.  Reads one small file, not the data."""
-    files = sorted(spark.read.text(path).inputFiles())
-    for r in spark.read.text(files[0]).limit(5).collect():
-        if r["value"].strip():
-            return r["value"]
-    raise ValueError(f"no header line in {files[0]}")
+    """First non-blank line under `path`, files in name order: the header of an
+    upload.  Each look takes one line; files of blank lines are passed over."""
+    for file in sorted(spark.read.text(path).inputFiles()):
+        line = spark.read.text(file).where(F.length(tx.ws_trim("value")) > 0).first()
+        if line is not None:
+            return line["value"]
+    raise ValueError(f"no header line in {path}")
 
 
 def repair_wrapped_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -228,10 +254,13 @@ def detect_metadata_columns(df: DataFrame, text_col: str,
     return out
 
 
-TIMESTAMP_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm",
-                     "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd",
-                     "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "dd.MM.yyyy HH:mm",
-                     "dd.MM.yyyy", "d MMM yyyy", "MMM d, yyyy", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+# a fraction of one to six digits and an offset (Z, +02:00) may follow ISO times;
+# times with an offset become UTC
+TIMESTAMP_FORMATS = ("yyyy-MM-dd HH:mm[:ss][.SSSSSS][XXX]", "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS][XXX]",
+                     "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd",
+                     "MM/dd/yyyy HH:mm[:ss]", "MM/dd/yyyy hh:mm[:ss] a", "MM/dd/yyyy",
+                     "yyyy-MM-dd hh:mm[:ss] a", "dd.MM.yyyy HH:mm",
+                     "dd.MM.yyyy", "d MMM yyyy", "MMM d, yyyy")
 
 
 def parse_mixed_timestamp(c, formats=TIMESTAMP_FORMATS) -> Column:
@@ -257,8 +286,9 @@ def drop_blank_items(df: DataFrame, text: str = "text", na_tokens=("nan",)) -> D
                    & ~F.lower(F.col(text)).isin(*na_tokens))
 
 
-def cap_items(df: DataFrame, n: int = lx.BULK_LIMIT, order: str = "row_id") -> DataFrame:
-    return df.orderBy(order).limit(n)
+def cap_items(df: DataFrame, n: int | None = None, order: str = "row_id") -> DataFrame:
+    """The first `n` rows by `order`; all of them unless a limit is asked for."""
+    return df if n is None else df.orderBy(order).limit(n)
 
 
 def items_only(df: DataFrame, text: str = "text") -> DataFrame:
@@ -275,15 +305,16 @@ def extract_feedback(spark: SparkSession, path: str, overrides: dict | None = No
         d = repair_wrapped_csv(spark, path)
     text_col = detect_text_column(d)
     meta = detect_metadata_columns(d, text_col, overrides=overrides)
-    na = [t for t in sc.NA_TOKENS if t]
-    cols = [F.col(text_col).alias("text")]
-    for target, src in meta.items():
-        v = tx.ws_trim(F.col(src))
-        cols.append(F.when(~F.lower(v).isin(*na), v).alias(target))
+
+    def present(c: str) -> Column:
+        return F.when(~F.col(f"`{c}`").isin(*sc.NA_TOKENS), F.col(f"`{c}`"))
+
+    cols = [present(text_col).alias("text")]
+    cols += [tx.ws_trim(present(src)).alias(target) for target, src in meta.items()]
     out = d.select(*cols).withColumn("row_id", F.monotonically_increasing_id())
     if "created_at" in out.columns:
         out = parse_mixed_timestamps(out, "created_at")
-    return drop_blank_items(out, "text", na_tokens=tuple(na))
+    return drop_blank_items(out, "text")
 
 
 def export_csv(df: DataFrame, path: str, drop=("date",)) -> None:
@@ -314,10 +345,6 @@ def wrapped_csv_corpus(spark: SparkSession, path: str) -> DataFrame:
     return d.where(F.col("label").isNotNull() & (F.length("text") > 0))
 
 
-def metrics_frame(spark: SparkSession, report: DataFrame, model: str) -> DataFrame:
-    return report.withColumn("model", F.lit(model))
-
-
 METRIC_ROWS_SCHEMA = ("test_set string, cls string, precision double, recall double, "
                       "f1 double, support long")
 
@@ -332,21 +359,19 @@ def read_metric_rows(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     """Evaluation rows from the first path that exists (v2, then v1); None
     when there is none.  Only file listing happens on the driver."""
     for p in paths:
-        try:
-            return spark.read.schema(METRIC_ROWS_SCHEMA).json(p)
-        except Exception:  # noqa: BLE001 - path absent: try the next one
-            continue
+        rows = _if_there(lambda: spark.read.schema(METRIC_ROWS_SCHEMA).json(p))
+        if rows is not None:
+            return rows
     return None
 
 
 def read_metrics(spark: SparkSession, paths: list[str]) -> dict | None:
     """A nested metrics document (one small JSON file, e.g. a training run's
-    summary): the first readable one of `paths`, else None."""
+    summary): the first of `paths` that is there, else None."""
     for p in paths:
-        try:
-            return json.loads(spark.read.text(p, wholetext=True).first()[0])
-        except Exception:  # noqa: BLE001
-            continue
+        doc = _if_there(lambda: spark.read.text(p, wholetext=True))
+        if doc is not None:
+            return json.loads(doc.first()[0])
     return None
 
 

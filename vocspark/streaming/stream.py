@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vocspark import schema as sc
 from vocspark.operators.enrich import enrich_feedback
+from vocspark.operators.filters import high_risk
 from vocspark.operators.score import score_rules
 from vocspark.session import shared_dir
 from vocspark.sources.ingest import validate_request, with_defaults
@@ -35,9 +36,9 @@ def _digest(value: str) -> str:
     return hashlib.sha256(value.encode()).hexdigest()[:16]
 
 
-def _checkpoint(spark: SparkSession, name: str, checkpoint: str | None, sink: str = "") -> str:
+def _checkpoint(spark: SparkSession, name: str, checkpoint: str | None, sink: str) -> str:
     """The checkpoint given, or one of this operator and sink alone."""
-    return checkpoint or shared_dir(spark, "streams", f"{name}-{_digest(sink)}" if sink else name)
+    return checkpoint or shared_dir(spark, "streams", f"{name}-{_digest(sink)}")
 
 
 def stream_classify(stream: DataFrame, out_path: str, rejects_path: str,
@@ -71,35 +72,41 @@ def stream_classify(stream: DataFrame, out_path: str, rejects_path: str,
     return w.start()
 
 
-def daily_counts_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Counts per (day window, sentiment) with a watermark bounding state."""
-    return (stream.withWatermark(EVENT_TIME, watermark)
-            .groupBy(F.window(EVENT_TIME, "1 day"), "sentiment")
+def daily_counts_stream(stream: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Counts per (day window, sentiment).  State is a row per day and class, so
+    none needs to go and late rows count, however late.  A `watermark` frees the
+    state of old days, and Spark then drops rows later than that."""
+    timed = stream.withWatermark(EVENT_TIME, watermark) if watermark else stream
+    return (timed.groupBy(F.window(EVENT_TIME, "1 day"), "sentiment")
             .agg(F.count(F.lit(1)).alias("count"))
             .select(F.to_date(F.col("window.start")).alias("date"), "sentiment", "count"))
 
 
 def stream_daily_counts(stream: DataFrame, out_path: str, checkpoint: str | None = None,
-                        watermark: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
+                        watermark: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Update mode: each trigger writes the (day, sentiment) counts it changed
-    to its own `epoch=` folder (overwrite, so a replayed trigger replaces its
-    rows).  `read_daily_counts` gives the current count per key."""
+    to its own `run=/epoch=` folder, named by checkpoint and epoch (overwrite, so
+    a replayed trigger replaces its rows, and none of another checkpoint's).
+    `read_daily_counts` gives the current count per key."""
     spark = stream.sparkSession
+    checkpoint = _checkpoint(spark, "daily", checkpoint, out_path)
+    run = _digest(checkpoint)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{out_path}/run=r{run}/epoch={epoch}")
 
     return (daily_counts_stream(stream, watermark).writeStream.outputMode("update")
             .foreachBatch(write)
-            .option("checkpointLocation", _checkpoint(spark, "daily", checkpoint))
+            .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def read_daily_counts(spark: SparkSession, out_path: str) -> DataFrame:
-    """Current count per (date, sentiment): the row of the latest epoch that
-    changed the key (a map-side partial aggregate, one row per key)."""
+    """Current count per (date, sentiment): of each run the row of the latest
+    epoch that changed the key, added over runs (aggregated before the shuffle)."""
     log = spark.read.parquet(out_path)
-    return log.groupBy("date", "sentiment").agg(F.max_by("count", "epoch").alias("count"))
+    latest = log.groupBy("run", "date", "sentiment").agg(F.max_by("count", "epoch").alias("count"))
+    return latest.groupBy("date", "sentiment").agg(F.sum("count").alias("count"))
 
 
 def stream_kpis(stream: DataFrame, table_path: str, checkpoint: str | None = None,
@@ -113,7 +120,7 @@ def stream_kpis(stream: DataFrame, table_path: str, checkpoint: str | None = Non
         batch.coalesce(1).write.mode("overwrite").parquet(table_path)
 
     return (counts.writeStream.outputMode("complete").foreachBatch(write)
-            .option("checkpointLocation", _checkpoint(spark, "kpis", checkpoint))
+            .option("checkpointLocation", _checkpoint(spark, "kpis", checkpoint, table_path))
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
@@ -121,8 +128,8 @@ def stream_urgent(stream: DataFrame, out_path: str, checkpoint: str | None = Non
                   trigger: dict | None = None) -> StreamingQuery:
     """Enrich each arriving item; append the High-risk ones."""
     spark = stream.sparkSession
-    urgent = enrich_feedback(stream).where(F.col("risk") == "High").drop(EVENT_TIME)
+    urgent = high_risk(enrich_feedback(stream)).drop(EVENT_TIME)
     return (urgent.writeStream.outputMode("append").format("parquet")
             .option("path", out_path)
-            .option("checkpointLocation", _checkpoint(spark, "urgent", checkpoint))
+            .option("checkpointLocation", _checkpoint(spark, "urgent", checkpoint, out_path))
             .trigger(**(trigger or {"availableNow": True})).start())
