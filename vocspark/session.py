@@ -17,6 +17,9 @@ LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Spark's setting by which a query removes its shuffle files at its end.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "vocspark", **conf) -> SparkSession:
@@ -58,8 +61,15 @@ def materialize(df):
     and read it back: the lineage is cut (the table survives executor loss),
     the costly per-row work runs once, and each later reader scans only the
     columns it needs, with its filters pushed into the scan (an RDD
-    checkpoint would deserialize whole rows, long texts included)."""
+    checkpoint would deserialize whole rows, long texts included).  The write's
+    shuffle files go when it ends: nothing reads them again."""
     import uuid
-    path = shared_dir(df.sparkSession, "tables", uuid.uuid4().hex)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path = shared_dir(spark, "tables", uuid.uuid4().hex)
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.parquet(path)
