@@ -20,17 +20,21 @@ sketch of 512 bits whose Hamming distance bounds the difference from below."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK, components, materialize, mix64
+from .common import MASK, components, materialize, mix64, release
 
 SKETCH = 512
 BAND_RATIO = 1.35
 STAR_ROUNDS = 3
+#: The keys are dealt in so many passes, so that a fraction of them is on disk at a time.
+KEY_PASSES = 4
 
 
 def shingles(text: str | None, k: int = 3) -> np.ndarray:
@@ -166,7 +170,23 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, num: int, den: in
     sets = materialize(texts.mapInArrow(_sets(k), "cls bigint, shingles binary").dropDuplicates(["cls"]))
     joined = pairs.join(sets.withColumnsRenamed({"cls": "a", "shingles": "sa"}), "a") \
         .join(sets.withColumnsRenamed({"cls": "b", "shingles": "sb"}), "b")
-    return materialize(joined.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a bigint, b bigint"))
+    links = materialize(joined.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a bigint, b bigint"))
+    release(pairs, sets)
+    return links
+
+
+def _members(sets: DataFrame) -> DataFrame:
+    """(key, cls, centre) of the keys that several classes share, the centre
+    being the smallest class, from (cls, keys).  Each pass takes every key of
+    one remainder, so that no key is in two passes."""
+    def one(i: int) -> DataFrame:
+        mine = F.filter("keys", lambda key: F.pmod(key, F.lit(KEY_PASSES)) == i)
+        parts = sets.select("cls", F.explode(mine).alias("key"))
+        shared = parts.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")) \
+            .where("lo != hi").select("key", F.col("lo").alias("centre"))
+        return materialize(parts.join(shared, "key").select("key", "cls", "centre").distinct())
+
+    return reduce(DataFrame.unionByName, [one(i) for i in range(KEY_PASSES)])
 
 
 def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int = 3) -> DataFrame:
@@ -187,10 +207,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
     reps = materialize(some.groupBy("cls").agg(
         F.min(F.struct("doc_id", "h", "n", "sketch")).alias("r"))
         .select("cls", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_hash"), "r.n", "r.sketch"))
-    parts = some.select("cls", F.explode("keys").alias("key"))
-    shared = parts.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")) \
-        .where("lo != hi").select("key", F.col("lo").alias("centre"))
-    members = materialize(parts.join(shared, "key").select("key", "cls", "centre").distinct())
+    members = _members(some)
     # a class meets one centre first, the smallest that it may link with
     star = _possible(members.where("cls != centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")),
                      reps, num, den).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
