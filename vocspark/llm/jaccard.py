@@ -212,7 +212,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
     star = _possible(members.where("cls != centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")),
                      reps, num, den).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = _links(star, reps, docs, num, den, k)
-    label = None
+    label, before = None, None
     for star in range(1, STAR_ROUNDS + 1):
         label = components(links)
         open_ = members.select("key", "cls").join(label.withColumnRenamed("vertex", "cls"), "cls", "left") \
@@ -230,7 +230,9 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
         if not rows:
             break
         rich = open_.join(reps.select("cls", "n", "sketch"), "cls")
-        last = cross <= 64 * rows or star == STAR_ROUNDS
+        # further centres are of use only while they join what is open
+        last = cross <= 64 * rows or star == STAR_ROUNDS or (before is not None and 4 * cross > 3 * before)
+        before = cross
         if last:
             other = rich
         else:  # one centre more per bucket, by another order each round
