@@ -33,8 +33,8 @@ from .common import MASK, components, materialize, mix64, release
 SKETCH = 512
 BAND_RATIO = 1.35
 STAR_ROUNDS = 3
-#: The keys are dealt in so many passes, so that a fraction of them is on disk at a time.
-KEY_PASSES = 4
+#: The keys are dealt in so many passes, so that one pass's share is on disk at a time.
+KEY_PASSES = 2
 
 
 def shingles(text: str | None, k: int = 3) -> np.ndarray:
@@ -166,8 +166,8 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, num: int, den: in
     need = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     texts = need.join(reps, "cls").select("cls", F.col("rep").alias("doc_id"), "rep_hash") \
         .join(docs.withColumn("rep_hash", F.xxhash64("text")), ["doc_id", "rep_hash"]) \
-        .select("cls", "text")
-    sets = materialize(texts.mapInArrow(_sets(k), "cls bigint, shingles binary").dropDuplicates(["cls"]))
+        .dropDuplicates(["doc_id", "rep_hash"]).select("cls", "text")  # as joined: no exchange
+    sets = materialize(texts.mapInArrow(_sets(k), "cls bigint, shingles binary"))
     joined = pairs.join(sets.withColumnsRenamed({"cls": "a", "shingles": "sa"}), "a") \
         .join(sets.withColumnsRenamed({"cls": "b", "shingles": "sb"}), "b")
     links = materialize(joined.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a bigint, b bigint"))
@@ -217,12 +217,13 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
         label = components(links)
         open_ = members.select("key", "cls").join(label.withColumnRenamed("vertex", "cls"), "cls", "left") \
             .withColumn("c", F.coalesce("component", "cls"))
-        sizes = open_.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(
-            F.count("*").alias("cs"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("m2")) \
-            .where("cs > 1")
         # of buckets with the same members, one is enough
-        alike = open_.groupBy("key").agg(F.bit_xor("cls").alias("x"), F.sum(F.pmod("cls", F.lit(1 << 31))).alias("s"))
-        one = sizes.join(alike, "key").groupBy("x", "s", "m").agg(F.min(F.struct("key", "m2")).alias("o")) \
+        one = open_.groupBy("key", "c").agg(
+            F.count("*").alias("m"), F.bit_xor("cls").alias("x"),
+            F.sum(F.pmod("cls", F.lit(1 << 31))).alias("s")).groupBy("key").agg(
+            F.count("*").alias("cs"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("m2"),
+            F.bit_xor("x").alias("x"), F.sum("s").alias("s")).where("cs > 1") \
+            .groupBy("x", "s", "m").agg(F.min(F.struct("key", "m2")).alias("o")) \
             .select("o.key", "m", "o.m2")
         one = materialize(one)
         open_ = materialize(open_.select("key", "cls", "c").join(one.select("key", "m"), "key"))
