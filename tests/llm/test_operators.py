@@ -3,9 +3,11 @@
 import hashlib
 import importlib.util
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,6 +275,45 @@ def test_hnsw_against_brute_force(spark):
     assert hnsw.link_embeddings(df.limit(0))[0].count() == 0
 
 
+def brute_links(ids, x, threshold=0.95):
+    v = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (v @ v.T >= threshold) & (ids[:, None] != ids[None, :])
+    return {int(i): int(near[ids == i].sum()) for i in set(ids)}
+
+
+def as_rows(ids, x):
+    return pd.DataFrame({"vec_id": ids, "embedding": list(x)})
+
+
+def links_of(out):
+    return out[out["root"].isnull() & out["vec_id"].notnull()].groupby("vec_id")["n_links"].sum().to_dict()
+
+
+def test_hnsw_copies_are_one_node():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(5300, 16))
+    x[:5000] = x[5299]
+    x[5000:5020] = x[5299] + r.normal(size=(20, 16)) * 0.1
+    x[5200] = x[5100] * 2
+    ids = np.arange(5300)
+    ids[5201] = 5100  # one id with two vectors,
+    x[5201] = x[5100] * 3  # which would link
+    ids[5202] = 7  # and one of the copies has another
+    want = {i: n for i, n in brute_links(ids, x).items() if n}
+    tracemalloc.start()
+    out = hnsw._build(0.95)((16, 0), as_rows(ids, x))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links_of(out) == want
+    assert peak < 150 << 20  # 25 million pairs are 400 MB
+    graph = out.dropna(subset=["graph"])
+    asked = hnsw._query(0.95)((16, 0, 0), as_rows(ids[:5010] + 10_000, x[:5010]), graph)
+    both = np.concatenate([ids[:5010] + 10_000, ids]), np.concatenate([x[:5010], x])
+    v = both[1] / np.linalg.norm(both[1], axis=1)[:, None]
+    assert links_of(asked) == {10_000 + i: int((v[i] @ v[5010:].T >= 0.95).sum()) for i in range(5010)}
+    assert len(asked) < 3 * 5010
+
+
 def test_licenses(docs, none):
     def find(text):
         return licenses.scan(text, licenses.notices())

@@ -1,13 +1,14 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs.
 
-Vectors are dealt to shards by hash.  Each shard builds its graph in one task,
-audits it (the links of a fixed number of vectors against a scan of the shard,
-widening the beam until the audit passes) and links its own vectors.  Every
-vector then queries every other shard, in blocks that meet each graph once.  A
-beam filled with links is widened until it holds a vector that is none; the
-widest beam is the shard itself, scanned.  Every link is verified by cosine in
-double precision.  Tasks return, per vector, the number of links and one edge to
-each component it touches in a shard, never all pairs of a group."""
+Vectors are dealt to shards by hash.  Each shard folds equal vectors into one
+node that counts as often as it has ids, builds its graph in one task, audits it
+(the links of a fixed number of vectors against a scan of the shard, widening the
+beam until the audit passes) and links its own vectors.  Every vector then
+queries every other shard, in blocks that meet each graph once.  A beam filled with links is widened until it holds a
+vector that is none; the widest beam is the shard itself, scanned.  Every link is
+verified by cosine in double precision.  Pairs live as long as their block of
+queries; tasks return, per vector, the number of links and edges to the
+components it touches in a shard, never all pairs of a group."""
 
 from __future__ import annotations
 
@@ -30,6 +31,7 @@ BEAM = 24
 WIDEST_BEAM = 192
 AUDIT = 200
 AUDIT_RECALL = 0.995
+SCAN = 1 << 40
 #: Vectors of one block of queries, about.
 BLOCK = 8192
 
@@ -47,8 +49,9 @@ class Layer:
 
 
 class Graph:
-    def __init__(self, ids: np.ndarray, raw: np.ndarray):
+    def __init__(self, ids: np.ndarray, raw: np.ndarray, mult: np.ndarray | None = None):
         self.ids, self.raw = ids, raw
+        self.mult = np.ones(len(ids), np.int64) if mult is None else mult
         self.norm = np.sqrt((raw * raw).sum(1))
         self.unit = (raw / self.norm[:, None]).astype(np.float32)
         self.beam = BEAM
@@ -204,13 +207,15 @@ class Graph:
             b.append(y + at)
         return np.concatenate(a or [np.zeros(0, int)]), np.concatenate(b or [np.zeros(0, int)])
 
-    def links(self, ids: np.ndarray, raw: np.ndarray, threshold: float, beam: int | None = None):
-        """(query, node) of every link found, verified in double precision."""
+    def links(self, raw: np.ndarray, twin: np.ndarray, threshold: float, beam: int | None = None):
+        """For each block of queries: its bounds and (query, node) of every link
+        found but the one with the query's equal, verified in double precision."""
         norm = np.sqrt((raw * raw).sum(1))
         unit = (raw / norm[:, None]).astype(np.float32)
-        floor, side, found = np.float32(threshold - 1e-4), self._side(), []
-        for at in range(0, len(ids), side):
-            todo = np.arange(at, min(at + side, len(ids)))
+        floor, side = np.float32(threshold - 1e-4), self._side()
+        for at in range(0, len(raw), side):
+            end = min(at + side, len(raw))
+            todo, found = np.arange(at, end), []
             ef = beam or self.beam
             while len(todo):
                 if ef > WIDEST_BEAM or ef >= len(self.ids):
@@ -224,30 +229,36 @@ class Graph:
                 x, y = np.nonzero(hit & ~full[:, None])
                 found.append((todo[x], got[x, y]))
                 todo, ef = todo[full], ef * 4
-        x = np.concatenate([f[0] for f in found] or [np.zeros(0, int)]).astype(int)
-        y = np.concatenate([f[1] for f in found] or [np.zeros(0, int)]).astype(int)
-        keep = np.zeros(len(x), bool)
-        for at in range(0, len(x), 1 << 17):
-            s = slice(at, at + (1 << 17))
-            cos = np.einsum("nd,nd->n", raw[x[s]], self.raw[y[s]]) / (norm[x[s]] * self.norm[y[s]])
-            keep[s] = (cos >= threshold) & (ids[x[s]] != self.ids[y[s]])
-        return x[keep], y[keep]
-
-    def audit(self, threshold: float) -> tuple[float, int]:
+            x = np.concatenate([f[0] for f in found]).astype(int)
+            y = np.concatenate([f[1] for f in found]).astype(int)
+            other = y != twin[x]
+            x, y = x[other], y[other]
+            keep = np.zeros(len(x), bool)
+            for k in range(0, len(x), 1 << 17):
+                s = slice(k, k + (1 << 17))
+                cos = np.einsum("nd,nd->n", raw[x[s]], self.raw[y[s]]) / (norm[x[s]] * self.norm[y[s]])
+                keep[s] = cos >= threshold
+            yield at, end, x[keep], y[keep]
+
+    def linked(self, raw: np.ndarray, twin: np.ndarray, threshold: float, beam: int | None = None) -> np.ndarray:
+        """Number of nodes that each query links with, its equal left out."""
+        return np.concatenate([np.zeros(0, int), *(
+            np.bincount(x - at, minlength=end - at) for at, end, x, _ in self.links(raw, twin, threshold, beam))])
+
+    def audit(self, ids: np.ndarray, raw: np.ndarray, twin: np.ndarray, threshold: float) -> tuple[float, int]:
         """Widens the beam until it finds nearly all links of audited vectors."""
-        n = len(self.ids)
-        pick = np.sort(np.argsort(mix64(self.ids.view(np.uint64)), kind="stable")[:AUDIT])
-        want = set(zip(*(v.tolist() for v in self.links(self.ids[pick], self.raw[pick], threshold, 1 << 40)), strict=True))
+        pick = np.sort(np.argsort(mix64(ids.view(np.uint64)), kind="stable")[:AUDIT])
+        want = self.linked(raw[pick], twin[pick], threshold, SCAN).sum()
         while True:
-            have = set(zip(*(v.tolist() for v in self.links(self.ids[pick], self.raw[pick], threshold)), strict=True))
-            recall = len(have & want) / len(want) if want else 1.0
-            if recall >= AUDIT_RECALL or self.beam > WIDEST_BEAM or self.beam >= n:
+            recall = float(self.linked(raw[pick], twin[pick], threshold).sum() / want) if want else 1.0
+            if recall >= AUDIT_RECALL or self.beam > WIDEST_BEAM or self.beam >= len(self.ids):
                 return recall, self.beam
             self.beam *= 2
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        arrays = {"ids": self.ids, "raw": self.raw, "beam": np.array(self.beam), "comp": self.comp}
+        arrays = {"ids": self.ids, "raw": self.raw, "mult": self.mult, "beam": np.array(self.beam),
+                  "comp": self.comp}
         for k, x in enumerate(self.layers):
             arrays |= {f"nodes{k}": x.nodes, f"nbr{k}": x.nbr}
         np.savez(out, **arrays)
@@ -256,7 +267,7 @@ class Graph:
     @staticmethod
     def from_bytes(data: bytes) -> Graph:
         z = np.load(io.BytesIO(data))
-        g = Graph(z["ids"], z["raw"])
+        g = Graph(z["ids"], z["raw"], z["mult"])
         for k, x in enumerate(g.layers):
             x.nbr = z[f"nbr{k}"]
         g.beam, g.comp = int(z["beam"]), z["comp"]
@@ -279,36 +290,60 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 FOUND = "vec_id bigint, n_links bigint, root bigint"
 
 
-def _found(ids: np.ndarray, x: np.ndarray, root: np.ndarray) -> pd.DataFrame:
-    """Number of links per query (root null) and its distinct roots."""
-    n = np.bincount(x, minlength=len(ids))
-    some = np.flatnonzero(n)
-    pair = np.unique(np.stack([ids[x], root], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-    pair = pair[pair[:, 0] != pair[:, 1]]
+def _fold(rows: pd.DataFrame):
+    """(id and node of each row, smallest id and vector of each node): equal
+    vectors are one node, nodes in the order of their ids."""
+    rows = rows.sort_values("vec_id", kind="stable")
+    ids, raw = rows["vec_id"].to_numpy(np.int64), np.stack(rows["embedding"].to_numpy()).astype(float) + 0.0
+    at = {}
+    node = np.array([at.setdefault(v.tobytes(), len(at)) for v in raw])
+    first = np.unique(node, return_index=True)[1]
+    one = np.unique(np.stack([ids, node]), axis=1)
+    return one[0], one[1], ids[first], raw[first]
+
+
+def _found(ids: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """Numbers of links (root null) and edges to roots."""
+    some, edge = n > 0, a != b
     return pd.DataFrame({
-        "vec_id": np.concatenate([ids[some], pair[:, 0]]).astype(np.int64),
-        "n_links": np.concatenate([n[some], np.zeros(len(pair), int)]).astype(np.int64),
-        "root": pd.array(np.concatenate([np.zeros(len(some), np.int64), pair[:, 1]]), "Int64").copy(),
-    }).assign(root=lambda d: d["root"].mask(d["n_links"] > 0))
+        "vec_id": pd.array(np.concatenate([ids[some], a[edge]]), "Int64"),
+        "n_links": pd.array(np.concatenate([n[some], np.zeros(int(edge.sum()), np.int64)]), "Int64"),
+        "root": pd.array([None] * int(some.sum()) + b[edge].tolist(), "Int64")})
+
+
+def _report(key, head: dict, found: pd.DataFrame) -> pd.DataFrame:
+    out = pd.concat([pd.DataFrame({k: [v] for k, v in head.items()}), found], ignore_index=True)
+    out["dim"], out["shard"] = int(key[0]), int(key[1])
+    for c in ("vec_id", "n_links", "root", "beam"):
+        out[c] = out[c].astype("Int64")
+    return out[["dim", "shard", *head, "vec_id", "n_links", "root"]]
 
 
 def _build(threshold: float):
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id", kind="stable")
-        ids, raw = rows["vec_id"].to_numpy(np.int64), np.stack(rows["embedding"].to_numpy()).astype(float)
-        g = Graph(ids, raw).build()
-        recall, beam = g.audit(threshold)
-        x, y = g.links(ids, raw, threshold)
-        g.comp = ids[local_components(len(ids), x, y)]
-        found = _found(ids, x, g.comp[y])
-        own = pd.DataFrame({"vec_id": ids, "n_links": 0, "root": pd.array(g.comp, "Int64")})
-        found = pd.concat([found[found["root"].isnull()], own[own["vec_id"] != own["root"]]])
-        head = pd.DataFrame({"graph": [g.to_bytes()], "recall": [recall], "beam": [beam]})
-        out = pd.concat([head, found], ignore_index=True)
-        out["dim"], out["shard"] = int(key[0]), int(key[1])
-        for c in ("vec_id", "n_links", "root", "beam"):
-            out[c] = out[c].astype("Int64")
-        return out[["dim", "shard", "graph", "recall", "beam", "vec_id", "n_links", "root"]]
+        ids, node, rep, raw = _fold(rows)
+        g = Graph(rep, raw, np.bincount(node)).build()
+        n, twin = len(rep), np.arange(len(rep))
+        recall, beam = g.audit(rep, raw, twin, threshold)
+        links, label = g.mult - 1, np.arange(n)
+        # rows of an id with several vectors do not link with each other
+        lost = np.zeros(len(ids), np.int64)
+        low, high = np.searchsorted(ids, ids, "left"), np.searchsorted(ids, ids, "right")
+        several = np.flatnonzero(high - low > 1)
+        for at, end, x, y in g.links(raw, twin, threshold):
+            links[at:end] += np.bincount(x - at, weights=g.mult[y], minlength=end - at).astype(np.int64)
+            a, b = label[x], label[y]
+            if (a != b).any():
+                label = local_components(n, a[a != b], b[a != b])[label]
+            own = several[(node[several] >= at) & (node[several] < end)]
+            if len(own):
+                hit = np.zeros((end - at, n), bool)
+                hit[x - at, y] = True
+                for r in own:
+                    lost[r] = hit[node[r] - at, node[low[r]:high[r]]].sum()
+        g.comp = rep[label]
+        return _report(key, {"graph": g.to_bytes(), "recall": recall, "beam": beam},
+                       _found(ids, links[node] - lost, ids, g.comp[node]))
     return run
 
 
@@ -318,10 +353,22 @@ def _query(threshold: float):
             return pd.DataFrame({"vec_id": pd.array([], "Int64"), "n_links": pd.array([], "Int64"),
                                  "root": pd.array([], "Int64")})
         g = Graph.from_bytes(graph["graph"].iloc[0])
-        rows = rows.sort_values("vec_id", kind="stable")
-        ids, raw = rows["vec_id"].to_numpy(np.int64), np.stack(rows["embedding"].to_numpy()).astype(float)
-        x, y = g.links(ids, raw, threshold)
-        return _found(ids, x, g.comp[y])
+        ids, node, rep, raw = _fold(rows)
+        at = {v.tobytes(): i for i, v in enumerate(g.raw)}
+        twin = np.array([at.get(v.tobytes(), -1) for v in raw])
+        links = np.where(twin >= 0, g.mult[twin], 0)
+        roots, of = np.unique(g.comp, return_inverse=True)
+        same = np.flatnonzero(twin >= 0)
+        a, b = [rep[same]], [g.comp[twin[same]]]
+        for at, end, x, y in g.links(raw, twin, threshold):
+            links[at:end] += np.bincount(x - at, weights=g.mult[y], minlength=end - at).astype(np.int64)
+            touched = np.unique((x - at) * len(roots) + of[y])
+            a.append(rep[at + touched // len(roots)])
+            b.append(roots[touched % len(roots)])
+        # copies hang on their smallest id, which has the edges
+        some = links[node] > 0
+        return _found(
+            ids, links[node], np.concatenate([*a, ids[some]]), np.concatenate([*b, rep[node[some]]]))
     return run
 
 
