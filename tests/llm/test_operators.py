@@ -314,6 +314,41 @@ def test_hnsw_copies_are_one_node():
     assert len(asked) < 3 * 5010
 
 
+def torn(x, mult=None):
+    """A graph of which beams find only the entry point."""
+    g = hnsw.Graph(np.arange(len(x)), x, mult).build()
+    for layer in g.layers:
+        layer.nbr[:] = -1
+    g.comp = np.arange(len(x))
+    return g
+
+
+def test_hnsw_audit_sees_lost_links(monkeypatch):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(1500, 24))
+    x[700] = x[20] * 2  # rare links
+    g = torn(x)
+    recall, beam = g.audit(g.ids, x, g.ids, 0.95)
+    assert beam > hnsw.WIDEST_BEAM and g.linked(x, g.ids, 0.95).sum() == 2
+    # a crowd that is always found, and ordinary pairs that are not
+    monkeypatch.setattr(hnsw, "AUDIT", 50)
+    x = r.normal(size=(1500, 24))
+    x[:500] = x[0] + r.normal(size=(500, 24)) * 0.05
+    x[1000:1250] = x[750:1000] + r.normal(size=(250, 24)) * 0.05
+    g = torn(x)
+    recall, beam = g.audit(g.ids, x, g.ids, 0.95)
+    assert recall >= 0.995 and beam > hnsw.WIDEST_BEAM
+    # queries from other shards
+    g = torn(x)
+    got = hnsw._query(0.95)((24, 0, 0), as_rows(np.arange(5000, 5250), x[750:1000] * 1.5),
+                            pd.DataFrame({"graph": [g.to_bytes()]}))
+    assert links_of(got) == dict.fromkeys(range(5000, 5250), 2)
+    # a sound graph passes, with what it finds
+    g = hnsw.Graph(np.arange(1500), x).build()
+    recall, beam = g.audit(g.ids, x, g.ids, 0.95)
+    assert recall >= 0.995 and g.linked(x, g.ids, 0.95).sum() >= 0.99 * g.linked(x, g.ids, 0.95, hnsw.SCAN).sum()
+
+
 def test_licenses(docs, none):
     def find(text):
         return licenses.scan(text, licenses.notices())

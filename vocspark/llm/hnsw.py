@@ -2,9 +2,11 @@
 
 Vectors are dealt to shards by hash.  Each shard folds equal vectors into one
 node that counts as often as it has ids, builds its graph in one task, audits it
-(the links of a fixed number of vectors against a scan of the shard, widening the
-beam until the audit passes) and links its own vectors.  Every vector then
-queries every other shard, in blocks that meet each graph once.  A beam filled with links is widened until it holds a
+and links its own vectors.  Every vector then queries every other shard, in
+blocks that meet each graph once and are audited too.  An audit scans vectors in
+an order by hash until a set number of them have links besides their copies, and
+widens the beam until it finds nearly all of these; if the vectors run out first
+they are all scanned.  A beam filled with links is widened until it holds a
 vector that is none; the widest beam is the shard itself, scanned.  Every link is
 verified by cosine in double precision.  Pairs live as long as their block of
 queries; tasks return, per vector, the number of links and edges to the
@@ -29,6 +31,7 @@ DEGREE = 12
 BUILD_BEAM = 40
 BEAM = 24
 WIDEST_BEAM = 192
+#: Linked vectors that an audit needs, and their mean recall.
 AUDIT = 200
 AUDIT_RECALL = 0.995
 SCAN = 1 << 40
@@ -246,11 +249,28 @@ class Graph:
             np.bincount(x - at, minlength=end - at) for at, end, x, _ in self.links(raw, twin, threshold, beam))])
 
     def audit(self, ids: np.ndarray, raw: np.ndarray, twin: np.ndarray, threshold: float) -> tuple[float, int]:
-        """Widens the beam until it finds nearly all links of audited vectors."""
-        pick = np.sort(np.argsort(mix64(ids.view(np.uint64)), kind="stable")[:AUDIT])
-        want = self.linked(raw[pick], twin[pick], threshold, SCAN).sum()
+        """Widens the beam until queries find nearly all their links: the mean
+        recall of those with few links and of those in crowds, the lower one.
+        With too few linked queries to tell, the beam is the whole shard."""
+        order = np.argsort(mix64(ids.view(np.uint64)), kind="stable")
+        pick, want, few, side = [], [], 0, self._side()
+        for at in range(0, len(order), side):
+            part = order[at:at + side]
+            n = self.linked(raw[part], twin[part], threshold, SCAN)
+            pick.append(part[n > 0])
+            want.append(n[n > 0])
+            few += int(((n > 0) & (n <= WIDEST_BEAM // 2)).sum())
+            if few >= AUDIT:
+                break
+        else:
+            self.beam = max(len(self.ids), WIDEST_BEAM + 1)
+            return 1.0, self.beam
+        pick, want = np.concatenate(pick), np.concatenate(want)
+        crowd = want > WIDEST_BEAM // 2
+        strata = [np.flatnonzero(~crowd), np.flatnonzero(crowd)[:AUDIT]]
         while True:
-            recall = float(self.linked(raw[pick], twin[pick], threshold).sum() / want) if want else 1.0
+            recall = min(float((self.linked(raw[pick[i]], twin[pick[i]], threshold) / want[i]).mean())
+                         for i in strata if len(i))
             if recall >= AUDIT_RECALL or self.beam > WIDEST_BEAM or self.beam >= len(self.ids):
                 return recall, self.beam
             self.beam *= 2
@@ -350,12 +370,14 @@ def _build(threshold: float):
 def _query(threshold: float):
     def run(key, rows: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(graph):
-            return pd.DataFrame({"vec_id": pd.array([], "Int64"), "n_links": pd.array([], "Int64"),
+            return pd.DataFrame({"dim": [], "shard": [], "recall": [], "beam": pd.array([], "Int64"),
+                                 "vec_id": pd.array([], "Int64"), "n_links": pd.array([], "Int64"),
                                  "root": pd.array([], "Int64")})
         g = Graph.from_bytes(graph["graph"].iloc[0])
         ids, node, rep, raw = _fold(rows)
         at = {v.tobytes(): i for i, v in enumerate(g.raw)}
         twin = np.array([at.get(v.tobytes(), -1) for v in raw])
+        recall, beam = g.audit(rep, raw, twin, threshold)
         links = np.where(twin >= 0, g.mult[twin], 0)
         roots, of = np.unique(g.comp, return_inverse=True)
         same = np.flatnonzero(twin >= 0)
@@ -367,8 +389,8 @@ def _query(threshold: float):
             b.append(roots[touched % len(roots)])
         # copies hang on their smallest id, which has the edges
         some = links[node] > 0
-        return _found(
-            ids, links[node], np.concatenate([*a, ids[some]]), np.concatenate([*b, rep[node[some]]]))
+        return _report(key, {"recall": recall, "beam": beam}, _found(
+            ids, links[node], np.concatenate([*a, ids[some]]), np.concatenate([*b, rep[node[some]]])))
     return run
 
 
@@ -376,7 +398,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD,
                     shard_vectors: int = SHARD_VECTORS) -> tuple[DataFrame, DataFrame]:
     """(result, audits) for (vec_id, embedding).  Result: one row per input row
     with vec_id, n_links, component_id and kept.  Audits: beam and recall of
-    each shard.
+    each shard for its own vectors and for each block of others'.
 
     Vectors that are null, empty, zero or hold null or non-finite parts link
     with nothing; so do vectors of different lengths.  Equal rows count once;
@@ -406,8 +428,11 @@ def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD,
         .withColumnRenamed("shard", "own").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))) \
         .where("shard != own").drop("own")
     keys = ["dim", "shard", "part"]
-    found = queries.groupBy(*keys).cogroup(graphs.groupBy(*keys)).applyInPandas(_query(threshold), FOUND)
-    found = materialize(found.unionByName(built.where("graph is null").select("vec_id", "n_links", "root")))
+    found = queries.groupBy(*keys).cogroup(graphs.groupBy(*keys)).applyInPandas(
+        _query(threshold), "dim int, shard int, recall double, beam bigint, " + FOUND)
+    asked = materialize(found)
+    found = asked.where("recall is null").select("vec_id", "n_links", "root") \
+        .unionByName(built.where("graph is null").select("vec_id", "n_links", "root"))
     label = components(found.where("root is not null").select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     out = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id")).join(counts, "vec_id", "left") \
@@ -415,7 +440,8 @@ def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD,
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
                 F.coalesce("component", "vec_id").alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
-    return out, built.where("graph is not null").select("dim", "shard", "recall", "beam")
+    audits = built.where("graph is not null").select("dim", "shard", "recall", "beam")
+    return out, audits.unionByName(asked.where("recall is not null").select("dim", "shard", "recall", "beam"))
 
 
 __all__ = ["link_embeddings", "Graph"]
