@@ -233,6 +233,29 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.write_warc(pages.limit(0), empty).count() == 0 and warc.read_warc(spark, empty).count() == 0
 
 
+def test_warc_payloads_of_one_id(spark, tmp_path):
+    a, b, c = "a" * 150, "b" * 150, "c" * 150
+    rows = [(3, "u", a), (5, "u", a), (5, "u", b), (5, "u", c), (5, "v", c), (6, "u", c), (6, "u", b + "x"), (7, "u", "d" * 150),
+            (None, "u", a), (None, "u", "n" * 150), (None, "u", "m" * 150), (None, "v", "m" * 150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = str(tmp_path / "w")
+    warc.write_warc(pages, folder)
+    got = warc.read_warc(spark, folder).collect()
+    name = {hashlib.sha256(x.encode()).hexdigest(): x for _, _, x in rows}
+    assert all(x.sound for x in got)
+    assert sorted((x.page_id or 0, name[x.payload_digest], x.refers_to or 0) for x in got) == sorted([
+        (3, a, 0), (5, a, 3), (5, b, 0), (5, c, 0), (5, c, 5), (6, c, 5), (6, b + "x", 0), (7, "d" * 150, 0),
+        (0, a, 3), (0, "n" * 150, 0), (0, "m" * 150, 0), (0, "m" * 150, 0)])
+    assert all((x.record_type == "revisit") == (x.refers_to is not None) for x in got)
+    heads = [h for f in (tmp_path / "w").glob("part-*.warc.gz") for h, _ in warc.parse(f.read_bytes())]
+    ids = {h["warc-record-id"]: h for h in heads}
+    assert len(ids) == len(rows)
+    for h in heads:
+        if h["warc-type"] == "revisit":  # what it refers to is a response with its payload
+            to = ids[h["warc-refers-to"]]
+            assert to["warc-type"] == "response" and to["warc-payload-digest"] == h["warc-payload-digest"]
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "a", "Hello  there\nsecond line"), (1, 1, "b", "On Monday, A wrote:\n> hello there\nmy answer"),

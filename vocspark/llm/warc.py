@@ -78,8 +78,9 @@ MANIFEST = ("file string, temporary string, shard bigint, records bigint, bytes
 
 
 def _write(folder: str, roll_bytes: int):
-    """Rows sorted by (shard, page_id, ...): a note (refers_to) of a page comes
-    before the page itself."""
+    """Rows sorted by (shard, page_id, digest, ...): the note (refers_to) of a page
+    and digest comes before the rows that it is about.  Records are numbered
+    within page and digest, so what is referred to has number 0."""
     def run(batches):
         store, base = _store(folder)
         names = [x.split()[0] for x in MANIFEST.split(", ")]
@@ -93,14 +94,15 @@ def _write(folder: str, roll_bytes: int):
             return pa.RecordBatch.from_arrays([pa.array([x]) if x is not None else pa.array([x], pa.int64())
                                                for x in row], names)
 
-        note, page, repeat, shard, roll = None, object(), 0, None, 0
+        note, last, repeat, shard, roll = None, None, 0, None, 0
         for b in batches:
             for r in b.to_pylist():
                 if r["note"]:
-                    note = (r["page_id"], r["refers_to"])
+                    note = (r["page_id"], r["digest"], r["refers_to"])
                     continue
-                repeat = repeat + 1 if r["page_id"] == page else 0
-                page = r["page_id"]
+                page, key = r["page_id"], (r["page_id"], r["digest"])
+                repeat = repeat + 1 if key == last else 0
+                last = key
                 if out is not None and (r["shard"] != out["shard"] or out["bytes"] >= roll_bytes):
                     yield close()
                 if out is None:
@@ -111,10 +113,10 @@ def _write(folder: str, roll_bytes: int):
                     out = {"file": name, "tmp": tmp, "shard": shard, "n": 0, "bytes": 0, "sha": hashlib.sha256(),
                            "first": page, "last": page, "stream": store.open_output_stream(f"{base}/{tmp}", compression=None)}
                 html = (r["html"] or "").encode()
-                digest = hashlib.sha256(html).hexdigest()
-                refers = note[1] if note is not None and note[0] == page else None
+                digest = r["digest"].hex()
+                refers = note[2] if note is not None and note[:2] == key else None
                 if repeat and refers is None and len(html) >= LEAST_REVISIT:
-                    refers = page  # a repeated row revisits its first copy
+                    refers = page  # a repeated row revisits its first copy, if it has an id
                 data = record(page, repeat, r["url"], html, digest, refers)
                 out["stream"].write(data)
                 out["sha"].update(data)
@@ -150,7 +152,7 @@ def write_warc(pages: DataFrame, folder: str, shard_keys: int | None = None, rol
     smallest page_id is the response.  Null html is an empty payload, a null url
     an empty target; null ids have a shard of their own and, if no id shares
     their payload, are responses; repeated rows of one id and payload revisit
-    its first copy.  An empty table gives no files.  Other columns are not read.
+    its first copy, rows of one id with other payloads do not.  An empty table gives no files.  Other columns are not read.
 
     One exchange moves the pages; what a page refers to travels with it as a
     narrow note."""
@@ -159,19 +161,20 @@ def write_warc(pages: DataFrame, folder: str, shard_keys: int | None = None, rol
                          F.col("html").cast("string").alias("html"))
     if shard_keys is None:
         shard_keys = max(SHARD_KEYS[0], min(SHARD_KEYS[1], pages.count() // 64))
-    narrow = pages.select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("d"),
+    digest = F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256)).alias("digest")
+    narrow = pages.select("page_id", digest,
                           F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).where(F.col("n") >= LEAST_REVISIT)
-    first = narrow.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("c")) \
+    first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("c")) \
         .where("c > 1").drop("c")
-    notes = narrow.join(first, "d").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))) \
-        .select("page_id", "refers_to").distinct()
+    notes = narrow.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))) \
+        .select("page_id", "digest", "refers_to").distinct()
     shard = F.floor(F.col("page_id") / shard_keys).alias("shard")
-    both = pages.select(shard, "page_id", F.lit(False).alias("note"), F.lit(None).cast("bigint").alias("refers_to"),
+    both = pages.select(shard, "page_id", digest, F.lit(False).alias("note"), F.lit(None).cast("bigint").alias("refers_to"),
                         "url", "html") \
-        .unionByName(notes.select(shard, "page_id", F.lit(True).alias("note"), "refers_to",
+        .unionByName(notes.select(shard, "page_id", "digest", F.lit(True).alias("note"), "refers_to",
                                   F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = both.repartition(n, "shard").sortWithinPartitions("shard", "page_id", F.desc("note"), "html", "url")
+    ordered = both.repartition(n, "shard").sortWithinPartitions("shard", "page_id", "digest", F.desc("note"), "url")
     store, base = _store(folder)
     store.create_dir(base, recursive=True)
     manifest = ordered.mapInArrow(_write(folder, roll_bytes), MANIFEST)
