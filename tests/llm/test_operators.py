@@ -385,6 +385,22 @@ def test_licenses(docs, none):
     assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_next_to_each_other():
+    gpl = licenses.Notice("gpl", "gnu general public license", 3)
+
+    def spans(text):
+        norm = licenses.words_of(text)
+        return [(norm[a:b].decode(), e) for a, b, e in licenses.fuzzy(norm, gpl)]
+
+    first, second = "gnu general publik licence", "gnu general public license"
+    assert spans(f"x {first} {second} y") == [(first, 2), (second, 0)]
+    assert spans(f"{second} {first}") == [(second, 0), (first, 2)]
+    assert spans(f"a {second} b {first} or {second}") == [(second, 0), (first, 2), (second, 0)]
+    assert [t for t, _ in spans(" ".join([first, second] * 40))] == [first, second] * 40
+    both = licenses.scan(f"{first}, {second}", licenses.notices())
+    assert [(s["first_word"], s["last_word"], s["edits"]) for s in both["spans"] if s["label"] == "gpl"] == [(0, 3, 2), (4, 7, 0)]
+
+
 def test_quality(spark, docs, none):
     r = random.Random(8)
     rows = [doc(i, prose(r, 30) if i % 4 else " ".join(w + "###" for w in prose(r, 30).split())) for i in range(400)]

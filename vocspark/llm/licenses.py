@@ -3,7 +3,8 @@
 Texts are reduced to lower-case words.  A notice that may carry k edits is split
 into k+1 seeds: one of them stands unchanged in every match (pigeonhole).  Exact
 seed hits give windows, in which the regex library's bounded-error matching
-verifies the notice and reports span and edits."""
+verifies the notice: the leftmost place is found, then the best one that overlaps
+it, whose span and edits are reported, and the search goes on after it."""
 
 from __future__ import annotations
 
@@ -70,8 +71,8 @@ class Notice:
         n, k = len(self.words), edits + 1
         cuts = [n * i // k for i in range(k + 1)]
         self.seeds = [(self.words[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.pattern = regex.compile(
-            rb"(?b)(?<= )(?:%b){e<=%d}(?= )" % (regex.escape(self.words, special_only=True), edits))
+        pattern = rb"(?<= )(?:%b){e<=%d}(?= )" % (regex.escape(self.words, special_only=True), edits)
+        self.pattern, self.best = regex.compile(pattern), regex.compile(rb"(?b)" + pattern)
 
 
 def notices() -> list[Notice]:
@@ -99,8 +100,12 @@ def fuzzy(norm: bytes, notice: Notice) -> list[tuple[int, int, int]]:
     for a, b in merged:
         if b - a < n - notice.edits:
             continue
-        for m in notice.pattern.finditer(norm, max(0, a - 1), min(len(norm), b + 1)):
+        a, b = max(0, a - 1), min(len(norm), b + 1)
+        while m := notice.pattern.search(norm, a, b):
+            # no other place fits into what is searched again
+            m = notice.best.search(norm, m.start(), min(b, m.end() + slack)) or m
             out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+            a = m.end()
     return out
 
 
