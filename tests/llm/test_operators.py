@@ -401,6 +401,21 @@ def test_licenses_next_to_each_other():
     assert [(s["first_word"], s["last_word"], s["edits"]) for s in both["spans"] if s["label"] == "gpl"] == [(0, 3, 2), (4, 7, 0)]
 
 
+def test_short_licenses_with_errors():
+    def find(text):
+        x = licenses.scan(text, licenses.notices())
+        return x["labels"], [(s["text"], s["edits"]) for s in x["spans"]]
+
+    assert find("under MIT Licence here") == ("mit", [("mit licence", 1)])
+    assert find("Apache Licence 2.0") == ("apache", [("apache licence", 1)])
+    assert find("see Apache Lisence, MIT License") == ("apache,mit", [("apache lisence", 2), ("mit license", 0)])
+    assert find("CCBY 4.0") == ("cc-by", [("ccby", 1)])
+    assert find("mit licence mit lisense")[1] == [("mit licence", 1), ("mit lisense", 1)]
+    for text in ("mit linse", "mit silence", "mit diesen", "apache science", "summit license", "permit licence", "cc bye",
+                 "acc by", "cc", "mit", "apache"):
+        assert find(text) == ("", []), text
+
+
 def test_quality(spark, docs, none):
     r = random.Random(8)
     rows = [doc(i, prose(r, 30) if i % 4 else " ".join(w + "###" for w in prose(r, 30).split())) for i in range(400)]

@@ -43,6 +43,13 @@ NOTICES = (
     ("reserved", "all rights reserved", 2),
 )
 
+#: Short base phrases: label, what stands before unchanged, what carries edits, what stands after, edits allowed.
+SHORT = (
+    ("apache", "apache ", "license", "", 2),
+    ("mit", "mit ", "license", "", 2),
+    ("cc-by", "cc", " ", "by", 1),
+)
+
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32
                for c in range(256))
 
@@ -75,8 +82,21 @@ class Notice:
         self.pattern, self.best = regex.compile(pattern), regex.compile(rb"(?b)" + pattern)
 
 
+class ShortNotice(Notice):
+    """A notice of which only the middle carries edits, one of them a letter too
+    many or too few at most; what stands before is the seed."""
+
+    def __init__(self, label: str, before: str, middle: str, after: str, edits: int):
+        self.label, self.words, self.edits = label, (before + middle + after).encode(), edits
+        self.seeds = [(b" " + before.encode(), -1)]
+        pattern = rb"(?<= )%b(?:%b){i<=1,d<=1,s<=%d,e<=%d}%b(?= )" % tuple(
+            x if isinstance(x, int) else regex.escape(x.encode(), special_only=True)
+            for x in (before, middle, edits, edits, after))
+        self.pattern, self.best = regex.compile(pattern), regex.compile(rb"(?b)" + pattern)
+
+
 def notices() -> list[Notice]:
-    return [Notice(*x) for x in NOTICES]
+    return [Notice(*x) for x in NOTICES] + [ShortNotice(*x) for x in SHORT]
 
 
 def fuzzy(norm: bytes, notice: Notice) -> list[tuple[int, int, int]]:
