@@ -298,6 +298,29 @@ def test_hnsw_against_brute_force(spark):
     assert hnsw.link_embeddings(df.limit(0))[0].count() == 0
 
 
+def test_quotes_wrapped_anew(spark):
+    rows = [
+        (1, 0, "a", "We should move the meeting to Friday, since the room\nis taken. Please tell the others about it\nsoon. Bye"),
+        (1, 1, "b", "Fine with me."),
+        (1, 2, "c", "> We should move the meeting to\n> Friday, since the room is\n> taken. Please tell the others\n"
+                    "> about it soon. Bye\nI will."),
+        (1, 3, "a", ">> We should move the\n>> meeting to Friday, since the room is taken.\n> I will.\nThanks")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    by = {x.turn: x for x in quotes.link_quotes(m).collect()}
+    assert (by[2].parent_turn, by[2].root_turn, by[2].n_quoted, by[2].n_linked) == (0, 0, 4, 4)
+    assert (by[3].parent_turn, by[3].root_turn, by[3].depth, by[3].n_linked) == (2, 0, 2, 3)
+    assert by[1].parent_turn is None
+
+
+def test_quotes_of_lines_said_before(spark):
+    rows = [(1, 0, "a", "Thanks\nfirst"), (1, 1, "b", "Thanks\nsecond"), (1, 2, "a", "> Thanks\n> second\nThanks"),
+            (1, 3, "b", "> Thanks\nwelcome"), (1, 4, "c", "> Thanks\n> first\nme too")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    by = {x.turn: x for x in quotes.link_quotes(m).collect()}
+    assert [by[t].parent_turn for t in range(5)] == [None, None, 1, 2, 0]
+    assert [by[t].n_linked for t in range(5)] == [0, 0, 2, 1, 2]
+
+
 def brute_links(ids, x, threshold=0.95):
     v = x / np.linalg.norm(x, axis=1)[:, None]
     near = (v @ v.T >= threshold) & (ids[:, None] != ids[None, :])

@@ -1,8 +1,10 @@
 """Quotation linking: replies find the messages that they quote.
 
-A line's quote level is the number of '>' before it.  Quoted lines, normalised
-and hashed, are joined to the first message of the conversation that has the
-same line unquoted; the lines of the lowest level linked elect the parent.
+A line's quote level is the number of '>' before it.  Following lines of one
+level are a passage.  Quoted lines, and the sentences of quoted passages, which
+don't depend on where lines break, are normalised, hashed and joined to all earlier
+messages of the conversation that have the same line or sentence unquoted; those
+of the lowest level linked elect the parent.
 Messages without their quotes, in reply order, make the threads.  All of it is
 DataFrame functions; keys of the joins include the hash or the turn, so a long
 conversation is not one group."""
@@ -35,13 +37,32 @@ def unquoted(text: Column) -> Column:
     return F.trim(F.array_join(keep, "\n"))
 
 
+def sentences(known: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, h, n): sentences of the passages of each level, and
+    the number of lines that end in each."""
+    ls = F.transform(F.split("text", "\n"), lambda x: F.struct(
+        level(x).alias("level"), normalised(x).alias("norm"), x.rlike(INTRO).alias("intro")))
+    each = known.select("conv_id", "turn", ls.alias("ls")) \
+        .select("conv_id", "turn", "ls", F.explode(F.array_distinct(F.col("ls.level"))).alias("level"))
+    # a line ends with \x01, a passage with \x02
+    text = F.array_join(F.transform("ls", lambda x: F.when(
+        (x["level"] == F.col("level")) & (x["norm"] != "") & ~((x["level"] == 0) & x["intro"]),
+        F.concat(F.translate(x["norm"], "\x01\x02", "  "), F.lit("\x01"))).otherwise(F.lit("\x02"))), " ")
+    unit = each.select("conv_id", "turn", "level",
+                       F.explode(F.split(text, "\\x02|(?<=[.!?]|[.!?]\\x01) ")).alias("u"))
+    return unit.select("conv_id", "turn", "level", F.regexp_count("u", F.lit("\x01")).alias("n"),
+                       normalised(F.translate("u", "\x01", "")).alias("norm")).where("norm != ''") \
+        .select("conv_id", "turn", "level", F.xxhash64("norm").alias("h"), "n")
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """One row per row of (conv_id, turn, role, text): conv_id, turn, role,
     clean_text, n_quoted and n_linked (quoted lines), max_level, parent_turn,
     root_turn, depth and place (position in its thread, from 0, by turn).
 
     A message quotes only earlier turns; without a linked line it is the root
-    of a thread.  Ties for parent go to more lines, then the later turn.  A null
+    of a thread.  A quoted line is linked by itself or with the sentence it ends
+    in.  Ties for parent go to more lines, then the later turn.  A null
     text is empty; a message with a null conv_id or turn links with nothing and
     is its own root (place 0).  Rows of one conv_id and turn are one message in
     several rows: they share parent, root and depth, and follow each other in
@@ -55,14 +76,22 @@ def link_quotes(messages: DataFrame) -> DataFrame:
                          normalised(F.col("line")).alias("norm"), F.col("line").rlike(INTRO).alias("intro")) \
         .where("norm != '' and not (level = 0 and intro)") \
         .select("conv_id", "turn", "level", F.xxhash64("norm").alias("h"))
-    lines = lines.groupBy("conv_id", "turn", "level", "h").agg(F.count("*").alias("n"))
-    origin = lines.where("level = 0").groupBy("conv_id", "h").agg(F.min("turn").alias("origin"))
-    hit = lines.where("level > 0").join(origin, ["conv_id", "h"]).where("origin < turn")
-    votes = hit.groupBy("conv_id", "turn", "level", "origin").agg(F.sum("n").alias("n"))
-    linked = votes.groupBy("conv_id", "turn").agg(
-        F.min(F.struct("level", (-F.col("n")).alias("n"), (-F.col("origin")).alias("origin"))).alias("best"),
-        F.sum("n").alias("n_linked")) \
-        .select("conv_id", "turn", (-F.col("best.origin")).alias("parent_turn"), "n_linked")
+    lines = lines.withColumn("n", F.lit(1)).withColumn("line", F.lit(1)) \
+        .unionByName(sentences(known).withColumn("line", F.lit(0))) \
+        .groupBy("conv_id", "turn", "level", "h").agg(
+            F.sum(F.col("n") * F.col("line")).alias("a"), F.sum(F.col("n") * (1 - F.col("line"))).alias("b"))
+    said = lines.where("level = 0").select("conv_id", "h", F.col("turn").alias("origin"))
+    first = said.groupBy("conv_id", "h").agg(F.min("origin").alias("first"))
+    hit = lines.where("level > 0").join(said, ["conv_id", "h"]).where("origin < turn").join(first, ["conv_id", "h"])
+    once = (F.col("origin") == F.col("first")).cast("int")
+    votes = hit.groupBy("conv_id", "turn", "level", "origin").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b"),
+        F.sum(F.col("a") * once).alias("once_a"), F.sum(F.col("b") * once).alias("once_b"))
+    linked = votes.groupBy("conv_id", "turn", "level").agg(
+        F.min(F.struct((-F.greatest("a", "b")).alias("n"), (-F.col("origin")).alias("origin"))).alias("best"),
+        F.greatest(F.sum("once_a"), F.sum("once_b")).alias("n")) \
+        .groupBy("conv_id", "turn").agg(F.min(F.struct("level", "best")).alias("best"), F.sum("n").alias("n_linked")) \
+        .select("conv_id", "turn", (-F.col("best.best.origin")).alias("parent_turn"), "n_linked")
     linked = materialize(linked)
     # roots: every message takes its ancestor's ancestor until that is a root
     up = linked.select("conv_id", "turn", F.col("parent_turn").alias("up"), F.lit(1).cast("bigint").alias("depth"))
