@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (fingerprint, hnsw, jaccard, langid, licenses, mixing, packing, quality, quotes, warc)
+from . import (alignment, fingerprint, hnsw, jaccard, langid, licenses, mixing, packing, quality, quotes, repair,
+               secret_scan, warc)
 from .common import held_out, materialize, shared_dir, table
 from .sql import ORACLE  # noqa: F401
 
@@ -83,6 +84,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                                      tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_fingerprints, op3_mixing, op4_language, op5_warc, op6_quotes, op7_hnsw, op8_jaccard,
-    op9_licenses, op10_packing)}
+    op9_licenses, op10_packing, op11_secrets, op12_alignment, op13_repair)}
