@@ -162,6 +162,20 @@ def test_alignment_against_brute_force(spark):
     assert alignment.align_tokenizers(frame.limit(0), A_PATH, B_PATH).count() == 0
 
 
+def test_ids_by_words_are_those_of_whole_texts():
+    al = alignment.Aligner(alignment.byte_level(A_PATH), alignment.sentence_pieces(B_PATH))
+    assert al.by_words
+    r = random.Random(2)
+    parts = [" ", "  ", "\n", "\t", "a", "B", "é", "1", "½", ".", "'s", "\xa0", "\u3000", "\u200b", "\U0001f600", "ß", "▁", "<s>",
+             "\x1c", "\x85", "字", "ﬁ", "\r\n", "’", "-", "\u0301", "\ufeff", "\x00"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(1, 25))) for _ in range(3000)]
+    by_words = al.tokens(texts)
+    for s, side in enumerate(al.sides):
+        for t, ids, got in zip(texts, side.encode(texts), by_words[s], strict=True):
+            whole = all(b"".join(x.pieces[i] for i in x.encode([t])[0]) == (" " + t).encode() for x in al.sides)
+            assert got == (b"".join(i.to_bytes(4, "little") for i in ids) if whole else b"")
+
+
 def test_links_are_expanded_in_bounded_parts(monkeypatch):
     al = alignment.Aligner(alignment.byte_level(A_PATH), alignment.sentence_pieces(B_PATH))
     whole = al.align(ALIGN_TEXTS)

@@ -16,7 +16,7 @@ rare, each of them, so no key of that join is hot."""
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
+import re
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +31,11 @@ BATCH_CHARS = 1_000_000
 BATCH_LINKS = 4_000_000
 #: Most pairs whose counts are sent to the tasks (17 bytes each).
 HEAD = 1 << 20
+#: Words whose ids a worker keeps, and their longest form.
+CACHE_WORDS, CACHED_CHARS = 300_000, 40
+#: Both tokenizers cut here whatever stands around, as no token of either holds a
+#: space after a character that is no white space.
+CUT = re.compile(r"(?<=\S) (?=\S)")
 SEPARATORS = (b",", b"|", b";", b"")
 
 
@@ -40,6 +45,9 @@ class Side(NamedTuple):
     encode: object
     pieces: list[bytes]
 
+    def cuts_at_spaces(self) -> bool:
+        return not any(re.search(r"\S ", p.decode(errors="replace")) for p in self.pieces)
+
 
 def byte_level_bytes() -> dict[str, int]:
     """The public byte-level alphabet: printable Latin-1 characters stand for
@@ -83,33 +91,49 @@ class Aligner:
     """Both sides and their tables, once per worker process."""
 
     def __init__(self, a: Side, b: Side):
-        self.sides = (a, b)
+        self.sides, self.cache = (a, b), ({}, {})
+        self.by_words = a.cuts_at_spaces() and b.cuts_at_spaces()
         self.lengths = [np.array([len(p) for p in s.pieces], np.int64) for s in self.sides]
         self.width = len(b.pieces)
         self.rows = max(len(a.pieces), len(b.pieces))
         #: written[separator * rows + id]: the id and what follows it
         self.written = np.array([b"%d%b" % (i, s) for s in SEPARATORS for i in range(self.rows)], object)
 
-    def tokens(self, texts: list[str | None]) -> list[list[list[int]]]:
-        """Per side the ids of each text; none where a text is null, empty or
-        not what its tokens' bytes join to."""
-        texts = [t or "" for t in texts]
-        out = [side.encode(texts) for side in self.sides]
-        for i, t in enumerate(texts):
-            whole = b" " + t.encode()
-            if not t or any(b"".join(map(side.pieces.__getitem__, ids[i])) != whole
-                            for side, ids in zip(self.sides, out, strict=True)):
-                for ids in out:
-                    ids[i] = []
+    def look_up(self, words: set[str]) -> list[dict[str, bytes | None]]:
+        """Per side the ids of each word with the space before it, as bytes;
+        None where the tokens' bytes don't join to it."""
+        if len(self.cache[0]) > CACHE_WORDS:
+            for c in self.cache:
+                c.clear()
+        new = [w for w in words if w not in self.cache[0]]
+        once: list[dict[str, bytes | None]] = [{}, {}]
+        for at in range(0, len(new), 4096):
+            part = new[at:at + 4096]
+            for side, kept, rest in zip(self.sides, self.cache, once, strict=True):
+                for w, ids in zip(part, side.encode(part), strict=True):
+                    same = b"".join(map(side.pieces.__getitem__, ids)) == b" " + w.encode()
+                    (kept if len(w) <= CACHED_CHARS else rest)[w] = np.array(ids, "<u4").tobytes() if same else None
+        return [{**kept, **rest} if rest else kept for kept, rest in zip(self.cache, once, strict=True)]
+
+    def tokens(self, texts: list[str | None]) -> list[list[bytes]]:
+        """Per side the ids of each text, as bytes; none where a text is null,
+        empty or not what its tokens' bytes join to."""
+        words = [(CUT.split(t) if self.by_words else [t]) if t else [] for t in texts]
+        known = self.look_up(set().union(*words))
+        out = [[], []]
+        for w in words:
+            ids = [list(map(k.__getitem__, w)) for k in known]
+            whole = not any(None in x for x in ids)
+            for x, o in zip(ids, out, strict=True):
+                o.append(b"".join(x) if whole else b"")
         return out
 
     def align(self, texts: list[str | None]) -> dict:
         """Per text: n_a, n_b, n_groups, n_links, groups_sha256 and its distinct
         id pairs (a * width + b, ascending) with multiplicities."""
         n, encoded = len(texts), self.tokens(texts)
-        counts = [np.array([len(x) for x in ids], np.int64) for ids in encoded]
-        flat = [np.fromiter(chain.from_iterable(ids), np.int64, int(c.sum()))
-                for ids, c in zip(encoded, counts, strict=True)]
+        counts = [np.array([len(x) // 4 for x in ids], np.int64) for ids in encoded]
+        flat = [np.frombuffer(b"".join(ids), "<u4").astype(np.int64) for ids in encoded]
         # both sides hold the same bytes of the same texts: offsets in the joined batch agree
         ends = [np.cumsum(t[x]) for t, x in zip(self.lengths, flat, strict=True)]
         starts = [e - t[x] for e, t, x in zip(ends, self.lengths, flat, strict=True)]
