@@ -17,30 +17,59 @@ LEAST_LANGUAGE = 0.3
 SHINGLE, SIMILAR = 5, 80
 
 
+#: Spark's bound on the bytes of a batch that goes to a Python worker.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def with_text_once(docs: DataFrame) -> DataFrame:
+    """The columns but the text as one struct, and the text: what an operator
+    gives back holds each text once."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+
+
+def as_documents(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select("row.*", "text").select(*docs.columns)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no known language, go."""
-    found = langid.identify(docs.select(F.struct("*").alias("row"), "text"), queries.language_model(spark, sf_dir))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select("row.*")
+    """Documents without a letter, or of no known language, go: null and empty
+    texts too.  Repeated rows and null ids stay or go like any row.  Where no
+    document has a language there is no model, and all documents pass."""
+    spark.conf.set(*BATCH_BYTES)
+    model = queries.language_model(spark, sf_dir)
+    if model is None:
+        return docs
+    found = langid.identify(with_text_once(docs), model)
+    return as_documents(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)), docs)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts as label 0 go."""
-    scored = quality.score_quality(docs.select(F.struct("*").alias("row"), "text"), queries.quality_model(spark, sf_dir))
-    return scored.where("score >= 0.7").select("row.*")
+    """Documents that the classifier predicts as label 0 go; null texts count as
+    empty.  Repeated rows stay or go alike.  Where labels of one class or none
+    give no model, all documents pass."""
+    spark.conf.set(*BATCH_BYTES)
+    model = queries.quality_model(spark, sf_dir)
+    if model is None:
+        return docs
+    return as_documents(quality.score_quality(with_text_once(docs), model).where("score >= 0.7"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
+    """One document of each group stays, that of the smallest doc_id (one row of
+    it); documents without words and rows without an id all stay."""
+    spark.conf.set(*BATCH_BYTES)
     return jaccard.drop_near_duplicates(docs, SIMILAR, 100, SHINGLE)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, twice at most; documents
+    without words once."""
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 tokens."""
+    """Pieces of sequences of at most 4096 tokens; null texts are empty ones."""
+    spark.conf.set(*BATCH_BYTES)
     return packing.pack(docs, queries.tokenizer_path())
 
 
