@@ -15,6 +15,8 @@ from vocspark.llm.common import materialize, table
 LEAST_LANGUAGE = 0.3
 #: Near duplicates: word 5-shingles, similarity of 0.8 or more.
 SHINGLE, SIMILAR = 5, 80
+#: Passes over the bucket keys: more of them hold less on disk at a time.
+KEY_PASSES = 4
 
 
 #: Spark's bound on the bytes of a batch that goes to a Python worker.
@@ -58,7 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group stays, that of the smallest doc_id (one row of
     it); documents without words and rows without an id all stay."""
     spark.conf.set(*BATCH_BYTES)
-    return jaccard.drop_near_duplicates(docs, SIMILAR, 100, SHINGLE)
+    return jaccard.drop_near_duplicates(docs, SIMILAR, 100, SHINGLE, KEY_PASSES)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,21 +175,22 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, num: int, den: in
     return links
 
 
-def _members(sets: DataFrame) -> DataFrame:
+def _members(sets: DataFrame, passes: int) -> DataFrame:
     """(key, cls, centre) of the keys that several classes share, the centre
     being the smallest class, from (cls, keys).  Each pass takes every key of
     one remainder, so that no key is in two passes."""
     def one(i: int) -> DataFrame:
-        mine = F.filter("keys", lambda key: F.pmod(key, F.lit(KEY_PASSES)) == i)
+        mine = F.filter("keys", lambda key: F.pmod(key, F.lit(passes)) == i)
         parts = sets.select("cls", F.explode(mine).alias("key"))
         shared = parts.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")) \
             .where("lo != hi").select("key", F.col("lo").alias("centre"))
         return materialize(parts.join(shared, "key").select("key", "cls", "centre").distinct())
 
-    return reduce(DataFrame.unionByName, [one(i) for i in range(KEY_PASSES)])
+    return reduce(DataFrame.unionByName, [one(i) for i in range(passes)])
 
 
-def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int = 3) -> DataFrame:
+def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int = 3,
+                       passes: int = KEY_PASSES) -> DataFrame:
     """Near-duplicate groups of (doc_id, text): one row per input row with
     doc_id, n_shingles and component_id, the smallest doc_id reachable by links
     (Jaccard of at least num/den over word k-shingles), itself included.
@@ -207,7 +208,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
     reps = materialize(some.groupBy("cls").agg(
         F.min(F.struct("doc_id", "h", "n", "sketch")).alias("r"))
         .select("cls", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_hash"), "r.n", "r.sketch"))
-    members = _members(some)
+    members = _members(some, passes)
     # a class meets one centre first, the smallest that it may link with
     star = _possible(members.where("cls != centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")),
                      reps, num, den).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -282,11 +283,12 @@ def _with_hash(f):
     return run
 
 
-def drop_near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, k: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, k: int = 3,
+                         passes: int = KEY_PASSES) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id, one
     row of it.  Documents without words, and rows without an id, all stay.
     Columns are those of `docs`."""
-    groups = jaccard_components(docs, num, den, k)
+    groups = jaccard_components(docs, num, den, k, passes)
     drop = groups.where("doc_id != component_id").select("doc_id").distinct()
     left = docs.join(drop, "doc_id", "left_anti")
     twice = materialize(groups.where("n_shingles > 0 and doc_id is not null")
