@@ -51,6 +51,26 @@ def q_csv(spark, sf):
     return ing.read_csv_items(spark, path)
 
 
+@query("csv_multiline_upload", "A7+A9", S.with_(S.FEEDBACK) + """SELECT CAST(id AS VARCHAR) AS id,
+  CASE WHEN id % 3 = 0 THEN text || chr(10) || '"quoted", line ' || id || chr(10) || text
+       WHEN id % 5 = 0 THEN 'caf' || text ELSE text END AS text, channel FROM feedback""")
+def q_csv_multiline(spark, sf):
+    """Fixture rows written as an upload with a dotted header, line breaks and
+    quotes inside fields and a malformed byte, read back."""
+    path = _fresh(spark, "multiline")
+    i, quote = F.col("id"), F.lit('"')
+    broken = F.unhex(F.lit("636166E9")).cast("string")  # Latin-1 text: its last byte is not UTF-8
+    text = F.when(i % 3 == 0, F.concat("text", F.lit('\n"quoted", line '), i.cast("string"), F.lit("\n"), "text")) \
+        .when(i % 5 == 0, F.concat(broken, F.col("text"))).otherwise(F.col("text"))
+    record = F.concat(i.cast("string"), F.lit(","), quote, F.replace(text, quote, F.lit('""')), quote, F.lit(","),
+                      "channel")
+    fb = fx.feedback(spark, sf)
+    spark.createDataFrame([("No.,Said.,From",)], "value string").coalesce(1).write.text(f"{path}/00-header")
+    fb.select(record.alias("value")).write.text(f"{path}/body")
+    up = ing.read_csv_items(spark, f"{path}/*")
+    return up.select(F.col("`No.`").alias("id"), F.col("`Said.`").alias("text"), F.col("From").alias("channel"))
+
+
 HEADER = "Text, Sentiment, Source, Date/Time, User ID, Location, Confidence Score"
 
 

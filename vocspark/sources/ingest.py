@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from vocspark import lexicon as lx
 from vocspark import schema as sc
 from vocspark.functions import text as tx
+from vocspark.sources import csv_records
 
 # A1 / A3 / A4 / A5 -----------------------------------------------------------
 
@@ -94,9 +95,11 @@ def bootstrap_if_empty(spark: SparkSession, path: str, snapshot_csv: str) -> Dat
     its records gets an id of its own, equal records too."""
     stored = _if_there(lambda: read_feedback(spark, path))
     if stored is None or stored.isEmpty():
-        snap = spark.read.csv(snapshot_csv, header=True, multiLine=True, escape='"',
-                              schema="text string, sentiment string, confidence double, "
-                                     "source string, created_at timestamp_ntz")
+        snap = read_csv_items(spark, snapshot_csv)
+        kinds = {"text": "string", "sentiment": "string", "confidence": "double", "source": "string",
+                 "created_at": "timestamp_ntz"}
+        given = {c: F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")) for c in snap.columns}
+        snap = snap.select(*[given.get(c, F.lit(None)).try_cast(kind).alias(c) for c, kind in kinds.items()])
         append_feedback(snap.withColumn("id", F.monotonically_increasing_id() + 1), path)
     return read_feedback(spark, path)
 
@@ -167,15 +170,15 @@ def with_failed_rules(df: DataFrame) -> DataFrame:
 
 def read_txt_items(spark: SparkSession, path: str) -> DataFrame:
     """One item per non-blank line, stripped."""
-    t = tx.ws_trim("value")
+    t = tx.ws_trim(csv_records.valid_text(F.col("value")))
     return spark.read.text(path).select(t.alias("text")).where(F.length("text") > 0)
 
 
 def read_csv_items(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV, every column as text; quoted fields may span lines; empty
-    fields stay empty strings (blank handling is drop_blank_items' job)."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8",
-                          mode="PERMISSIVE", nullValue=None)
+    """Header CSV, every column as text; quoted fields may span lines and a file
+    is read by as many tasks as it has splits (see csv_records); malformed bytes
+    are dropped, empty fields are null, an empty file gives no rows."""
+    return csv_records.read_csv(spark, path)
 
 
 def _unwrap(line: Column) -> Column:
@@ -207,7 +210,7 @@ def repair_wrapped_csv(spark: SparkSession, path: str) -> DataFrame:
     re-parse each record with leading-space skipping.  Only the header line
     reaches the driver (it names the columns); header lines repeated at the
     top of further files are dropped with it."""
-    raw = spark.read.text(path).select(_unwrap(F.col("value")).alias("line"))
+    raw = spark.read.text(path).select(_unwrap(csv_records.valid_text(F.col("value"))).alias("line"))
     raw = raw.where((F.length("line") > 0) & (F.col("line") != '""'))
     header_line = spark.range(1).select(_unwrap(F.lit(first_line(spark, path)))).first()[0]
     names = _split_header(header_line)
@@ -228,11 +231,12 @@ def is_wrapped(df: DataFrame) -> bool:
 
 def detect_text_column(df: DataFrame, needles=lx.TEXT_COLUMN_NEEDLES) -> str:
     """First column whose lower-cased name holds a needle; else the column
-    with the greatest mean text length (one small aggregate)."""
+    with the greatest mean text length (one small aggregate); the first one
+    where there are no rows."""
     for c in df.columns:
         if any(k in c.lower() for k in needles):
             return c
-    means = df.agg(*[F.avg(F.length(F.col(c).cast("string"))).alias(f"m{i}")
+    means = df.agg(*[F.avg(F.length(df[f"`{c}`"].cast("string"))).alias(f"m{i}")
                      for i, c in enumerate(df.columns)]).first()
     best = max(range(len(df.columns)), key=lambda i: (means[i] or 0, -i))
     return df.columns[best]
