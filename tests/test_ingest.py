@@ -140,6 +140,20 @@ def test_replace_with_rows_from_the_same_table(spark, tmp_path):
     assert [r.id for r in ing.read_feedback(spark, path).collect()] == [2]
 
 
+def test_replacement_that_ends_midway_leaves_the_old_rows(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([(i, "t", "Neutral", 0.5, "web", dt.datetime(2024, 1, 1 + i)) for i in range(4)], STORE)
+    ing.append_feedback(rows, path)
+    opened = ing.read_feedback(spark, path)
+    broken = rows.withColumn("text", F.when(F.col("id") == 3, F.raise_error(F.lit("ended"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="ended"):
+        ing.replace_feedback(spark, broken, path)
+    assert ing.read_feedback(spark, path).count() == 4
+    assert ing.replace_feedback(spark, rows.where("id = 0"), path) == 4
+    ing.append_feedback(rows.where("id = 2"), path)
+    assert sorted(r.id for r in ing.read_feedback(spark, path).collect()) == [0, 2] and opened.count() == 4
+
+
 def test_metric_rows_fall_back_and_summarise(spark, tmp_path):
     from vocspark.operators import evaluate as ev
     rows = spark.createDataFrame(

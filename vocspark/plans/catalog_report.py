@@ -318,14 +318,14 @@ def q_account_count(spark, sf):
 
 # Streams --------------------------------------------------------------------------
 
-def _stream_input(spark, sf):
+def _stream_input(spark, sf, max_files_per_trigger=None):
     """The fixture written as Parquet files under the shared folder, then
     read back as a stream (a fresh folder per run)."""
     from vocspark.streaming import stream as st
     base = shared_dir(spark, "stream-inputs", uuid.uuid4().hex)
     fb = fx.feedback(spark, sf).select("id", "text", "sentiment", "confidence", "source", "created_at")
     fb.repartition(8).write.parquet(base)
-    return st.read_feedback_stream(spark, base), base
+    return st.read_feedback_stream(spark, base, max_files_per_trigger=max_files_per_trigger), base
 
 
 @query("stream_daily_counts", "K2", S.with_(S.FEEDBACK) + """
@@ -339,6 +339,42 @@ def q_stream_daily(spark, sf):
     return st.read_daily_counts(spark, base + "-daily")
 
 
+@query("stream_daily_compacted", "K2", S.with_(S.FEEDBACK) + """
+SELECT strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS date, sentiment, count(*) AS count
+FROM feedback GROUP BY 1, 2""")
+def q_stream_daily_compacted(spark, sf):
+    """Daily counts of a stream of several triggers, read after compaction."""
+    from vocspark.streaming import stream as st
+    s, base = _stream_input(spark, sf, max_files_per_trigger=3)
+    st.stream_daily_counts(s, base + "-daily", checkpoint=base + "-ckpt").awaitTermination()
+    st.compact_daily_counts(spark, base + "-daily")
+    return st.read_daily_counts(spark, base + "-daily")
+
+
+@query("stream_daily_late", "K2", S.with_(S.FEEDBACK) + """, t AS (
+  SELECT id, sentiment, created_at, CAST(created_at AS DATE) AS d FROM feedback),
+w AS (SELECT max(created_at) - INTERVAL 1 DAY AS closed FROM t WHERE id % 2 = 0),
+r AS (SELECT d, sentiment, id % 2 = 1 AND d + INTERVAL 1 DAY <= closed AS late FROM t, w)
+SELECT strftime(d, '%Y-%m-%d') AS date, sentiment, count(*) FILTER (WHERE NOT late) AS count,
+  count(*) FILTER (WHERE late) AS late FROM r GROUP BY 1, 2""")
+def q_stream_daily_late(spark, sf):
+    """Items of even ids arrive first, the others in a second trigger: those
+    whose day the first one closed (a watermark of one day) are stored as late."""
+    from vocspark.streaming import stream as st
+    base = shared_dir(spark, "stream-inputs", uuid.uuid4().hex)
+    fb = fx.feedback(spark, sf).select("id", "text", "sentiment", "confidence", "source", "created_at")
+    for rest in (0, 1):
+        fb.where(F.col("id") % 2 == rest).write.mode("append").parquet(base)
+        st.stream_daily_counts(st.read_feedback_stream(spark, base), base + "-daily", checkpoint=base + "-ckpt",
+                               watermark="1 day", late_path=base + "-late").awaitTermination()
+    late = spark.read.parquet(base + "-late").select(
+        F.to_date("event_time").alias("date"), "sentiment", F.lit(0).cast("long").alias("count"),
+        F.lit(1).cast("long").alias("late"))
+    counts = st.read_daily_counts(spark, base + "-daily").withColumn("late", F.lit(0).cast("long"))
+    return counts.unionByName(late).groupBy("date", "sentiment").agg(
+        F.sum("count").alias("count"), F.sum("late").alias("late"))
+
+
 @query("stream_urgent", "K4", S.with_(S.FEEDBACK, S.enriched_ctes())
        + "SELECT id, emotion, intensity FROM enriched WHERE risk = 'High'")
 def q_stream_urgent(spark, sf):
@@ -355,7 +391,7 @@ def q_stream_kpis(spark, sf):
     from vocspark.streaming import stream as st
     s, base = _stream_input(spark, sf)
     st.stream_kpis(s, base + "-kpis", checkpoint=base + "-ckpt").awaitTermination()
-    return spark.read.parquet(base + "-kpis")
+    return st.read_kpis(spark, base + "-kpis")
 
 
 @query("stream_classify", "K1", S.with_(S.RAW_FEEDBACK) + f"""

@@ -137,7 +137,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     bytes are dropped, empty and missing fields are null, surplus ones are left out.  The
     first record of the first file is the header; further files may begin with
     the same one, which goes there too.  Files without a record give no rows and a column `text`."""
-    records = csv_records(spark, path)
+    from vocspark.session import materialize
+    records = materialize(csv_records(spark, path))
     first = records.orderBy("file", "split", "n").select("record").first()
     if first is None:
         return spark.createDataFrame([], "text string")

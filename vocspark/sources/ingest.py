@@ -14,15 +14,25 @@ from pyspark.sql import types as T
 from vocspark import lexicon as lx
 from vocspark import schema as sc
 from vocspark.functions import text as tx
-from vocspark.sources import csv_records
+from vocspark.sources import csv_records, snapshots
 
 # A1 / A3 / A4 / A5 -----------------------------------------------------------
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
-    """Stored feedback (Parquet, partitioned by date); no schema inference."""
-    schema = T.StructType(sc.FEEDBACK_SCHEMA.fields + [T.StructField("date", T.DateType())])
-    return spark.read.schema(schema).parquet(path)
+    """Stored feedback (Parquet, partitioned by date); no schema inference.  A
+    table that was replaced is read from its last complete version."""
+    return spark.read.schema(STORED_SCHEMA).parquet(_folder(spark, path))
+
+
+#: The stored table: the feedback columns and the partition column.
+STORED_SCHEMA = T.StructType(sc.FEEDBACK_SCHEMA.fields + [T.StructField("date", T.DateType())])
+
+
+def _folder(spark: SparkSession, path: str) -> str:
+    """Where the table's rows are: its current version, or the path itself while
+    it was never replaced."""
+    return snapshots.current(spark, path)[1] or path
 
 
 def with_defaults(df: DataFrame, now=None) -> DataFrame:
@@ -59,34 +69,23 @@ def append_feedback(df: DataFrame, path: str, now=None, rejects_path: str | None
     else:
         stop = F.raise_error(F.concat(F.lit("rows break the rules of the table: "), failed))
         rows = rows.withColumn("text", F.when(failed == "", F.col("text")).otherwise(stop))
-    rows.select(*cols).hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
+    rows.select(*cols).hint("rebalance", "date").write.mode("append").partitionBy("date") \
+        .parquet(_folder(df.sparkSession, path))
 
 
-def _if_there(read):
-    """What `read` gives, or None where its path does not exist.  Other failures
-    are raised: a store that can't be read is not an empty one."""
-    try:
-        return read()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+_if_there = snapshots.if_there
 
 
 def replace_feedback(spark: SparkSession, df: DataFrame | None, path: str) -> int:
     """Remove every stored row (and write `df` if given); returns rows removed.
-    New rows are first checkpointed to the shared folder, so `df` may be
-    derived from the table it replaces: the overwrite never reads the files
-    it deletes."""
-    from vocspark.session import materialize
+    The new rows are a new version of the table, which readers see when it is
+    complete: until then, and if the write ends midway, they read the old one.
+    `df` may be derived from the table it replaces."""
     stored = _if_there(lambda: read_feedback(spark, path))
     removed = stored.count() if stored is not None else 0
-    schema = T.StructType(sc.FEEDBACK_SCHEMA.fields + [T.StructField("date", T.DateType())])
-    new = df if df is not None else spark.createDataFrame([], schema)
+    new = df if df is not None else spark.createDataFrame([], STORED_SCHEMA)
     new = with_defaults(new) if "date" not in new.columns else new
-    if df is not None:
-        new = materialize(new.select(*schema.fieldNames()))
-    new.select(*schema.fieldNames()).write.mode("overwrite").partitionBy("date").parquet(path)
+    snapshots.publish(new.select(*STORED_SCHEMA.fieldNames()).hint("rebalance", "date"), path, ("date",))
     return removed
 
 
