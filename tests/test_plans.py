@@ -93,13 +93,39 @@ def _subqueries(df) -> int:
 def test_report_scalars_run_once(spark):
     """A scalar read by many lines is one subquery, not one per reference."""
     q = E.queries()
-    assert _subqueries(q["insights"](spark, SF_SMALL)) == 2          # words map, gaps map
+    assert _subqueries(q["insights"](spark, SF_SMALL)) == 1          # words map
     assert _subqueries(q["recommendations"](spark, SF_SMALL)) == 1   # words map
     assert _subqueries(q["executive_summary"](spark, SF_SMALL)) == 2  # themes, history
     assert _subqueries(q["batch_vs_history"](spark, SF_SMALL)) == 1
     assert _subqueries(q["share_like_this"](spark, SF_SMALL)) == 1
 
 
+def _scans(df) -> int:
+    """Reads of tables in a plan and its subqueries."""
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return sum(line.startswith("(") and "Scan parquet" in line for line in buf.getvalue().splitlines())
+
+
+def test_reports_read_the_batch_twice_at_most(spark):
+    q = E.queries()
+    for name, most in (("key_metrics", 1), ("group_gap", 1), ("insights", 2), ("recommendations", 2),
+                       ("executive_summary", 3)):  # the last one reads the history too
+        assert 1 <= _scans(q[name](spark, SF_SMALL)) <= most, name
+
+
+def test_report_of_an_empty_batch(spark):
+    from vocspark.operators import report as rp
+    from vocspark.operators.enrich import enrich_feedback
+    e = enrich_feedback(fx.feedback(spark, SF_SMALL).limit(0))
+    rows = {(r.section_no, r.line_no): r.line for r in rp.report_sections(e).collect()}
+    assert (0, 1) not in rows and (3, 1) in rows
+    assert rp.kpi_row(e).first().total == 0
+
+
 def test_length_histogram_scans_texts_once(spark):
     """The min/max subquery reads the per-length aggregate, whose exchange
     the main plan reuses, so the texts are tokenized once."""

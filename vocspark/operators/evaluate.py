@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vocspark import lexicon as lx
 from vocspark.functions import text as tx
 from vocspark.operators import rank
 
@@ -72,6 +73,21 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
                        "support")
 
 
+def model_figures(spark, paths: Sequence[str]) -> DataFrame:
+    """The landing figures (accuracy, test_size as text) from the first stored
+    evaluation of `paths`, or the fixed ones where there is none or it has no
+    accuracy."""
+    from vocspark.sources.ingest import read_metric_rows
+    default = [F.lit(lx.DEFAULT_MODEL_FIGURES[c]).alias(c) for c in ("accuracy", "test_size")]
+    rows = read_metric_rows(spark, list(paths))
+    if rows is None:
+        return spark.range(1).select(*default)
+    s = metrics_summary(rows)
+    known = F.col("accuracy_label").isNotNull()
+    return s.select(*[F.when(known, F.col(f"{c}_label")).otherwise(d).alias(c)
+                      for c, d in zip(("accuracy", "test_size"), default, strict=True)])
+
+
 def metrics_summary(rows: DataFrame, preferred: Sequence[str] = ("documents_test", "feedback_test"),
                     test_set: str = "test_set") -> DataFrame:
     """Landing-page model figures from stored evaluation rows (see

@@ -80,6 +80,35 @@ def latest_feedback(df: DataFrame, limit: int | None = lx.PAGE_LIMIT_DEFAULT, of
     return d.limit(limit) if limit is not None else d
 
 
+def deep_page(stored: DataFrame, limit: int = lx.PAGE_LIMIT_DEFAULT, offset: int = 0,
+              ts: str = "created_at", id_col: str = "id") -> DataFrame:
+    """A page at any depth of a table partitioned by `date` (the day of `ts`),
+    newest first, with the table's `total`.  Rows per date, counted without
+    reading a column, and their sums from the newest date on tell which dates
+    hold the page; only their partitions are read and sorted.  Rows without a
+    time come last.  A page past the end has no rows."""
+    if not lx.PAGE_LIMIT_MIN <= limit <= lx.PAGE_LIMIT_MAX:
+        raise ValueError("limit must be within 1..1000")
+    if offset < 0:
+        raise ValueError("offset must be >= 0")
+    # one row per date: a window over them is small
+    newest = Window.orderBy(F.desc("date"))
+    dates = stored.groupBy("date").count().select(
+        "date", "count", (F.sum("count").over(newest) - F.col("count")).alias("before"),
+        F.sum("count").over(Window.partitionBy()).alias("total"))
+    # at most `limit` dates: each has a row
+    hold = dates.where((F.col("before") < offset + limit) & (F.col("before") + F.col("count") > offset)) \
+        .orderBy("before").collect()
+    if not hold:
+        return stored.withColumn("total", F.lit(0).cast("long")).limit(0)
+    days = [r["date"] for r in hold if r["date"] is not None]
+    mine = F.col("date").isin(days) if days else F.lit(False)
+    if any(r["date"] is None for r in hold):
+        mine = mine | F.col("date").isNull()
+    return stored.where(mine).orderBy(F.desc(ts), F.desc(id_col)).offset(offset - hold[0]["before"]).limit(limit) \
+        .withColumn("total", F.lit(hold[0]["total"]).cast("long"))
+
+
 def page_after(df: DataFrame, last_ts, last_id, limit: int = lx.PAGE_LIMIT_DEFAULT,
                ts: str = "created_at", id_col: str = "id") -> DataFrame:
     """Key-set paging for deep pages: rows strictly after (last_ts, last_id)

@@ -19,6 +19,7 @@ from vocspark.functions import text as tx
 from vocspark.operators import aggregate as ag
 from vocspark.operators import enrich as en
 from vocspark.operators.rank import urgent_by_confidence
+from vocspark.session import materialize
 
 # Format helpers -------------------------------------------------------------
 
@@ -50,24 +51,68 @@ def fmt2(x: Column) -> Column:
 
 # KPI row ----------------------------------------------------------------------
 
-def kpi_row(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD) -> DataFrame:
+DIMENSIONS = ("channel", "segment")
+
+
+def batch_facts(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD) -> DataFrame:
+    """Everything the reports count, in one pass: one GROUPING SETS expansion of
+    the batch over (), (channel), (segment) and (risk, emotion), as rows (kind,
+    grp, emotion, counts, means).  It aggregates map-side and has a row a group."""
+    dims = [c for c in DIMENSIONS if c in df.columns]
+    pair = [c for c in ("risk", "emotion") if c in df.columns] if "risk" in df.columns else []
     cols = [F.count(F.lit(1)).alias("total"),
-            F.count_if(F.col("sentiment") == "Positive").alias("n_pos"),
-            F.count_if(F.col("sentiment") == "Neutral").alias("n_neu"),
-            F.count_if(F.col("sentiment") == "Negative").alias("n_neg"),
+            *[F.count_if(F.col("sentiment") == c).alias(n) for n, c in
+              (("n_pos", "Positive"), ("n_neu", "Neutral"), ("n_neg", "Negative"))],
             F.avg("confidence").alias("avg_conf"),
             F.count_if(F.col("confidence") < F.lit(threshold)).alias("n_low")]
-    if "risk" in df.columns:
-        cols.append(F.count_if(F.col("risk") == "High").alias("n_high"))
-        if "emotion" in df.columns:
-            # mode skips nulls: the modal emotion of the High-risk rows, ties -> smallest
-            cols.append(F.mode(F.when(F.col("risk") == "High", F.col("emotion")), True)
-                        .alias("modal_high"))
     if "csat" in df.columns:
         cols.append(F.avg("csat").alias("avg_csat"))
-    c = df.agg(*cols)
+    keys = dims + pair
+    if not keys:
+        return df.agg(*cols).select(F.lit("all").alias("kind"), F.lit(None).cast("string").alias("grp"),
+                                    F.lit(None).cast("string").alias("emotion"), "*")
+    sets = [[], *[[d] for d in dims], *([pair] if pair else [])]
+    heads = [*dims, *pair[:1]]
+    g = df.groupingSets([[F.col(c) for c in x] for x in sets], *keys).agg(
+        *cols, *[F.grouping(c).alias(f"_no_{c}") for c in heads])
+    kind, grp = F.lit("all"), F.lit(None).cast("string")
+    for c in heads:
+        kind = F.when(F.col(f"_no_{c}") == 0, c).otherwise(kind)
+        grp = F.when(F.col(f"_no_{c}") == 0, F.col(c)).otherwise(grp)
+    emotion = F.col("emotion") if "emotion" in pair else F.lit(None).cast("string")
+    return g.select(kind.alias("kind"), grp.alias("grp"), emotion.alias("emotion"),
+                    "total", "n_pos", "n_neu", "n_neg", "avg_conf", "n_low",
+                    *[c for c in ("avg_csat",) if "csat" in df.columns])
+
+
+def kpis_of(facts: DataFrame) -> DataFrame:
+    """One row of KPIs from `batch_facts`: counts, shares, net, the gap of each
+    dimension with more than one group, and the High-risk rows with their modal
+    emotion (ties: the smallest name)."""
+    whole = F.col("kind") == "all"
+    net = ag.net_score(F.col("n_pos"), F.col("n_neg"), F.col("total"))
+    cols = [F.coalesce(F.max(F.when(whole, F.col(c))), F.lit(0)).alias(c)
+            for c in ("total", "n_pos", "n_neu", "n_neg", "n_low")]
+    cols += [F.max(F.when(whole, F.col(c))).alias(c) for c in ("avg_conf", "avg_csat") if c in facts.columns]
+    high = (F.col("kind") == "risk") & (F.col("grp") == "High")
+    cols += [F.coalesce(F.sum(F.when(high, F.col("total"))), F.lit(0)).alias("n_high"),
+             F.min(F.when(high & F.col("emotion").isNotNull(),
+                          F.struct((-F.col("total")).alias("n"), "emotion"))).alias("_modal")]
+    for d in DIMENSIONS:
+        own = (F.col("kind") == d) & F.col("grp").isNotNull()
+        cols += [F.count_if(own).alias(f"_{d}_groups"),
+                 F.min(F.when(own, F.struct(net.alias("net"), "grp"))).alias(f"_{d}_lo"),
+                 F.min(F.when(own, F.struct((-net).alias("neg"), "grp"))).alias(f"_{d}_hi")]
+    k = facts.agg(*cols)
+    gaps = F.array(*[F.when(F.col(f"_{d}_groups") > 1, F.struct(F.lit(d).alias("dimension"), F.struct(
+        F.col(f"_{d}_lo.grp").alias("worst"), F.col(f"_{d}_lo.net").alias("worst_net"),
+        F.col(f"_{d}_hi.grp").alias("best"), (-F.col(f"_{d}_hi.neg")).alias("best_net")).alias("gap")))
+        for d in DIMENSIONS])
     t = F.col("total")
-    return c.select("*",
+    return k.select("total", "n_pos", "n_neu", "n_neg", "n_low", "n_high", "avg_conf",
+                    *[c for c in ("avg_csat",) if c in facts.columns],
+                    F.col("_modal.emotion").alias("modal_high"),
+                    F.map_from_entries(F.filter(gaps, lambda x: x.isNotNull())).alias("gaps"),
                     ag.share(F.col("n_pos"), t).alias("pct_pos"),
                     ag.share(F.col("n_neu"), t).alias("pct_neu"),
                     ag.share(F.col("n_neg"), t).alias("pct_neg"),
@@ -75,20 +120,24 @@ def kpi_row(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD) -> DataFrame:
                     ag.share(F.col("n_low"), t).alias("low_share"))
 
 
+def kpi_row(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD) -> DataFrame:
+    return kpis_of(batch_facts(df, threshold))
+
+
+def kpis_with_words(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD, n: int = 4,
+                    facts: DataFrame | None = None) -> DataFrame:
+    """The KPI row and, in `_words`, the top words of each class: what the lines
+    of a report are made of.  Two passes over the batch."""
+    facts = batch_facts(df, threshold) if facts is None else facts
+    return ag.with_scalars(kpis_of(facts), {"_words": words_by_class(df, n)})[0]
+
+
 def mood(net: Column, labels=("strongly positive", "moderately positive", "mixed",
                               "negative — action needed")) -> Column:
     return (F.when(net >= lx.NET_STRONG, labels[0]).when(net >= lx.NET_LEANS, labels[1])
             .when(net >= lx.NET_SPLIT, labels[2]).otherwise(labels[3]))
 
 
-def _gaps(df: DataFrame, keys) -> Column:
-    """Scalar map dimension -> struct(worst, worst_net, best, best_net) for the
-    dimensions with more than one group (one job for all dimensions)."""
-    g = ag.group_gap(df, keys)
-    return g.agg(F.map_from_entries(F.collect_list(F.struct(
-        "dimension", F.struct("worst", "worst_net", "best", "best_net"))))).scalar()
-
-
 def words_by_class(df: DataFrame, n: int, sep: str = ", ") -> Column:
     """Scalar map sentiment -> its top-n content words joined by sep (one job
     for every class; at most classes * n rows reach the final aggregate)."""
@@ -106,18 +155,12 @@ def _gated(words: Column, sentiment: str, count_col: str, min_items: int) -> Col
 
 # J1 / J2 ------------------------------------------------------------------------
 
-def insights(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD,
-             words: Column | None = None, gaps: Column | None = None) -> DataFrame:
-    """Rule-fired insight lines: (rule_no, rule, line), only fired rules.
-    `words` / `gaps` let a caller share those scalar subqueries."""
+def insights(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD, k: DataFrame | None = None) -> DataFrame:
+    """Rule-fired insight lines: (rule_no, rule, line), only fired rules.  A
+    caller with several reports of one batch gives its `kpis_with_words` in `k`."""
     net, neg, neu = F.col("net"), F.col("pct_neg"), F.col("pct_neu")
-    words = words if words is not None else words_by_class(df, 4)
-    gap_keys = tuple(c for c in ("channel", "segment") if c in df.columns)
-    if gaps is None and gap_keys:
-        gaps = _gaps(df, gap_keys)
-    k, sc = ag.with_scalars(kpi_row(df, threshold), {"_words": words, "_gaps": gaps}
-                            if gaps is not None else {"_words": words})
-    words, gaps = sc["_words"], sc.get("_gaps")
+    k = kpis_with_words(df, threshold) if k is None else k
+    words, gaps = F.col("_words"), F.col("gaps")
     neg_words = _gated(words, "Negative", "n_neg", 3)
     pos_words = _gated(words, "Positive", "n_pos", 3)
     s = fmt_signed0(net)
@@ -185,13 +228,11 @@ def insights(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD,
     return k.select(F.inline(arr)).where("fired").drop("fired")
 
 
-def recommendations(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD,
-                    words: Column | None = None) -> DataFrame:
+def recommendations(df: DataFrame, threshold: float = lx.REVIEW_THRESHOLD, k: DataFrame | None = None) -> DataFrame:
     """Ordered recommendation lines, numbered from 1: (rec_no, line)."""
-    words = words if words is not None else words_by_class(df, 4)
-    k, sc = ag.with_scalars(kpi_row(df, threshold), {"_words": words})
-    neg_words = _gated(sc["_words"], "Negative", "n_neg", 3)
-    pos_words = _gated(sc["_words"], "Positive", "n_pos", 3)
+    k = kpis_with_words(df, threshold) if k is None else k
+    neg_words = _gated(F.col("_words"), "Negative", "n_neg", 3)
+    pos_words = _gated(F.col("_words"), "Positive", "n_pos", 3)
     first_neg = F.substring_index(neg_words, ", ", 1)
     has_high = (F.col("n_high") > 0) if "risk" in df.columns else F.lit(False)
     rules = [
@@ -250,15 +291,14 @@ def batch_vs_history(batch: DataFrame, history: DataFrame) -> DataFrame:
                                  _direction(hs).alias("direction"))
 
 
-def executive_summary(batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
+def executive_summary(batch: DataFrame, history: DataFrame | None = None, k: DataFrame | None = None) -> DataFrame:
     """One line: volume, shares, mood, net, confidence, top complaint words
-    and the comparison with history (KPI row + two scalar subqueries)."""
-    scalars = {"_themes": F.coalesce(F.try_element_at(words_by_class(batch, 3), F.lit("Negative")),
-                                     F.lit(""))}
+    and the comparison with history (KPI row + one scalar subquery a table).
+    Reads no enriched column."""
+    k = kpis_with_words(batch, n=3) if k is None else k
+    themes = F.substring_index(F.coalesce(F.try_element_at(F.col("_words"), F.lit("Negative")), F.lit("")), ", ", 3)
     if history is not None:
-        scalars["_hs"] = history_scalar(history)
-    k, sc = ag.with_scalars(kpi_row(batch), scalars)
-    themes = sc["_themes"]
+        k, sc = ag.with_scalars(k, {"_hs": history_scalar(history)})
     theme_txt = F.when(themes != "", F.concat(F.lit(" The main complaint themes are "),
                                               themes, F.lit("."))).otherwise(F.lit(""))
     hist_txt = F.lit("")
@@ -368,25 +408,32 @@ def item_report(enriched: DataFrame, text: str = "text") -> DataFrame:
 
 # J4 ---------------------------------------------------------------------------
 
-def report_sections(enriched: DataFrame, threshold: float = lx.REVIEW_THRESHOLD) -> DataFrame:
-    """Markdown report body as (section_no, section, line_no, line)."""
+def report_sections(enriched: DataFrame, threshold: float = lx.REVIEW_THRESHOLD,
+                    history: DataFrame | None = None) -> DataFrame:
+    """Markdown report body as (section_no, section, line_no, line): summary,
+    insights, recommendations, risk, aspects, groups, urgent items.  A group of
+    a dimension is a line, so the report's groups fit in a row."""
     parts = []
 
     def add(no, name, df_lines: DataFrame):
         parts.append(df_lines.select(F.lit(no).alias("section_no"), F.lit(name).alias("section"),
                                      "line_no", "line"))
 
-    words = words_by_class(enriched, 4)
-    keys = tuple(c for c in ("channel", "segment") if c in enriched.columns)
-    gaps = _gaps(enriched, keys) if keys else None
-    add(1, "insights", insights(enriched, threshold, words, gaps).select(
+    # two small tables, written once: the batch is read for them once each
+    facts = materialize(batch_facts(enriched, threshold))
+    k = materialize(kpis_with_words(enriched, threshold, facts=facts))
+    # no line for a batch without items: it has no shares
+    add(0, "summary", executive_summary(enriched, history, k).where("summary IS NOT NULL").select(
+        F.lit(1).alias("line_no"), F.replace("summary", F.lit("**"), F.lit("")).alias("line")))
+    add(1, "insights", insights(enriched, threshold, k).select(
         F.col("rule_no").alias("line_no"),
         F.concat(F.lit("- "), F.replace(F.col("line"), F.lit("**"), F.lit(""))).alias("line")))
-    add(2, "recommendations", recommendations(enriched, threshold, words).select(
+    add(2, "recommendations", recommendations(enriched, threshold, k).select(
         F.col("rec_no").alias("line_no"),
         F.concat(F.col("rec_no").cast("string"), F.lit(". "), F.col("line")).alias("line")))
     if "risk" in enriched.columns:
-        add(3, "risk_profile", ag.risk_profile(enriched).select(
+        risks = facts.where("kind = 'risk'").select(F.col("grp").alias("risk"), F.col("total").alias("items"))
+        add(3, "risk_profile", ag.risk_profile(risks, "items").select(
             F.col("rank").alias("line_no"),
             F.concat(F.lit("- "), F.col("risk"), F.lit(": "), F.col("count").cast("string"),
                      F.lit(" items")).alias("line")))
@@ -400,12 +447,15 @@ def report_sections(enriched: DataFrame, threshold: float = lx.REVIEW_THRESHOLD)
     for no, key in ((5, "channel"), (6, "segment")):
         if key not in enriched.columns:
             continue
-        multi = enriched.agg(F.count_distinct(key)).scalar() > 1
-        g = ag.group_net_sentiment(enriched.where(multi), key, None)
-        add(no, f"{key}s", g.select(
-            F.dense_rank().over(Window.orderBy(key)).alias("line_no"),
-            F.concat(F.lit("- "), F.col(key), F.lit(": "), F.col("items").cast("string"),
-                     F.lit(" items, Net Sentiment "), fmt_signed0(F.col("net"))).alias("line")))
+        several = k.select(F.map_contains_key("gaps", F.lit(key))).scalar()
+        named = F.struct(F.col("grp").alias("key"), F.col("total").alias("items"),
+                         ag.net_score(F.col("n_pos"), F.col("n_neg"), F.col("total")).alias("net"))
+        g = facts.where((F.col("kind") == key) & F.col("grp").isNotNull()) \
+            .agg(F.sort_array(F.collect_list(named)).alias("g")).where(several)
+        add(no, f"{key}s", g.select(F.posexplode("g").alias("i", "x")).select(
+            (F.col("i") + 1).alias("line_no"),
+            F.concat(F.lit("- "), F.col("x.key"), F.lit(": "), F.col("x.items").cast("string"),
+                     F.lit(" items, Net Sentiment "), fmt_signed0(F.col("x.net"))).alias("line")))
     urgent = urgent_by_confidence(enriched, 10)
     add(7, "urgent_queue", urgent.select(
         F.row_number().over(Window.orderBy(

@@ -147,11 +147,13 @@ def mixed_sentiment(sentence_scores: DataFrame, id_col: str = "id") -> DataFrame
 
 def classify_and_store(df: DataFrame, path: str | None = None, persist: bool = True,
                        scorer: Callable[[DataFrame], DataFrame] | None = None,
-                       now=None) -> tuple[DataFrame, DataFrame]:
+                       now=None, rejects_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """validate -> clean -> score -> round -> append.  Returns (stored rows,
     rejects).  The stored text is the raw text; scoring sees the cleaned one.
     Rows to store are written once before the append, so that the model scores
-    them once."""
+    them once.  With a `rejects_path`, rows that break the table's rules after
+    scoring (no mappable label) go there and the others are stored; without it
+    such a row ends the append."""
     from vocspark.session import materialize
     from vocspark.sources.ingest import append_feedback, validate_request
 
@@ -162,5 +164,5 @@ def classify_and_store(df: DataFrame, path: str | None = None, persist: bool = T
         out = materialize(out)
         append_feedback(out.select("id", "text", "sentiment", "confidence", "source",
                                    *[c for c in ("created_at",) if c in out.columns]),
-                        path, now=now)
+                        path, now=now, rejects_path=rejects_path)
     return out, rejects

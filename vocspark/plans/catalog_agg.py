@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vocspark import lexicon as lx
@@ -14,6 +16,7 @@ from vocspark.operators import filters as fl
 from vocspark.operators import rank as rk
 from vocspark.plans import sql as S
 from vocspark.plans.registry import query
+from vocspark.session import materialize, shared_dir
 from vocspark.sources import fixture as fx
 from vocspark.sources import ingest as ing
 
@@ -502,6 +505,31 @@ def q_latest_page(spark, sf):
     return rk.latest_feedback(fb(spark, sf), 50, 200).select("id", "created_at", "sentiment")
 
 
+@query("latest_feedback_deep", "G1", FB + f"""SELECT id, strftime(created_at, {TSF}) AS created_at, sentiment,
+  (SELECT count(*) FROM feedback) AS total
+FROM feedback ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 800""")
+def q_latest_deep(spark, sf):
+    """A deep page of the stored table, with its total."""
+    path = shared_dir(spark, "io", f"pages-{uuid.uuid4().hex}")
+    ing.append_feedback(fb(spark, sf), path)
+    return rk.deep_page(ing.read_feedback(spark, path), 50, 800).select("id", "created_at", "sentiment", "total")
+
+
+@query("latest_feedback_after", "G1", FB + f"""SELECT id, strftime(created_at, {TSF}) AS created_at, sentiment
+FROM feedback WHERE created_at < TIMESTAMP '2024-01-20 12:00:00' ORDER BY created_at DESC, id DESC LIMIT 50""")
+def q_latest_after(spark, sf):
+    """Key-set paging: what follows a given place."""
+    return rk.page_after(fb(spark, sf), "2024-01-20 12:00:00", 0, 50).select("id", "created_at", "sentiment")
+
+
+@query("group_sketches", "E33+E32", FB + """SELECT dimension, groups, groups > 1 AS multi FROM (
+  SELECT 'channel' AS dimension, count(DISTINCT channel) AS groups FROM feedback
+  UNION ALL SELECT 'segment', count(DISTINCT segment) FROM feedback)""")
+def q_group_sketches(spark, sf):
+    """Daily sketches merged over all days; few groups, so the counts are exact."""
+    return ag.merged_group_counts(materialize(ag.daily_sketches(fb(spark, sf))))
+
+
 @query("urgent_queue", "G2", ENR + """SELECT id, text, emotion, intensity, confidence, driver, channel, segment
 FROM enriched WHERE risk = 'High' ORDER BY intensity DESC, confidence DESC, id LIMIT 10""")
 def q_urgent_queue(spark, sf):

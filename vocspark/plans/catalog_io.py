@@ -97,6 +97,23 @@ def q_wrapped(spark, sf):
     return up.select("text", "created_at", "channel", "segment")
 
 
+@query("wrapped_csv_training", "A8+B22", S.with_(S.FEEDBACK) + f"""SELECT trim({S.ws_trim_sql('text')}, '"') AS text,
+  CAST(CASE sentiment WHEN 'Negative' THEN 0 WHEN 'Neutral' THEN 1 ELSE 2 END AS INTEGER) AS label
+FROM feedback WHERE id % 9 <> 0""")
+def q_wrapped_training(spark, sf):
+    """The training form of the wrapped file: label spellings vary, and every
+    ninth record has a label that is no class."""
+    path = _fresh(spark, "wrapped-training")
+    fb = fx.feedback(spark, sf)
+    label = F.when(F.col("id") % 9 == 0, "Maybe").when(F.col("id") % 2 == 0, F.upper("sentiment")) \
+        .otherwise(F.concat(F.lit(" "), F.lower("sentiment")))
+    rec = F.concat_ws(", ", F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"')), label, "channel")
+    line = F.concat(F.lit('"'), F.replace(rec, F.lit('"'), F.lit('""')), F.lit('"'))
+    spark.createDataFrame([(f'"{HEADER}"',)], "value string").coalesce(1).write.text(f"{path}/00-header")
+    fb.select(line.alias("value")).write.text(f"{path}/body")
+    return ing.wrapped_csv_corpus(spark, f"{path}/*")
+
+
 @query("read_labelled_corpus", "A16", """WITH c AS (SELECT d.text, l.quality FROM documents d
   JOIN labels l USING (doc_id))
 SELECT text, CAST(CASE WHEN quality = 0 THEN 0 ELSE 2 END AS INTEGER) AS label FROM c""")

@@ -85,7 +85,7 @@ ins AS (
 
 @query("insights", "J1", BASE.rstrip() + ",\n" + _insight_ctes() + "\nSELECT rule_no, rule, line FROM ins")
 def q_insights(spark, sf):
-    batch, _ = batch_and_history(spark, sf)
+    batch, _ = batch_and_history(spark, sf, keep=False)
     return rp.insights(batch)
 
 
@@ -104,7 +104,7 @@ def _recs_cte(src: str = "batch") -> str:
 @query("recommendations", "J2", BASE.rstrip() + ",\n" + _insight_ctes() + ",\n" + _recs_cte()
        + "\nSELECT CAST(rec_no AS INTEGER) AS rec_no, line FROM recs")
 def q_recs(spark, sf):
-    batch, _ = batch_and_history(spark, sf)
+    batch, _ = batch_and_history(spark, sf, keep=False)
     return rp.recommendations(batch)
 
 
@@ -124,24 +124,25 @@ def q_vs_history(spark, sf):
     return rp.batch_vs_history(batch, hist)
 
 
-def _summary_sql() -> str:
+def _summary_sql(history: bool = True) -> str:
     f0, fs, fp = S.fmt0_sql, S.fmt_signed0_sql, S.fmt_pct0_sql
     mood = (f"CASE WHEN net >= {lx.NET_STRONG} THEN 'strongly positive' WHEN net >= {lx.NET_LEANS} "
             f"THEN 'moderately positive' WHEN net >= {lx.NET_SPLIT} THEN 'mixed' "
             f"ELSE 'negative — action needed' END")
+    compared = f"""  || coalesce((SELECT ' This batch is ' || direction || ' your overall history (Net Sentiment ' || {fs('batch_net')}
+     || ' vs ' || {fs('history_net')} || ' all-time).' FROM cmp WHERE direction IS NOT NULL), '')""" if history else ""
     return f"""SELECT 'Analyzed **' || format('{{:,}}', total) || ' feedback items**: **' || {f0('pct_pos')}
   || '% Positive**, ' || {f0('pct_neu')} || '% Neutral, **' || {f0('pct_neg')} || '% Negative** — overall mood is **'
   || {mood} || '** (Net Sentiment Score ' || {fs('net')} || ', average model confidence ' || {fp('avg_conf')} || ').'
   || CASE WHEN (SELECT w FROM themes) <> '' THEN ' The main complaint themes are ' || (SELECT w FROM themes) || '.' ELSE '' END
-  || coalesce((SELECT ' This batch is ' || direction || ' your overall history (Net Sentiment ' || {fs('batch_net')}
-     || ' vs ' || {fs('history_net')} || ' all-time).' FROM cmp WHERE direction IS NOT NULL), '') AS summary FROM k"""
+{compared} AS summary FROM k"""
 
 
 @query("executive_summary", "J3", BASE.rstrip() + ",\n" + _kpi_cte() + ",\n" + HIST + ",\n"
        + _words_cte("themes", "Negative", 3, 0) + "\n" + _summary_sql())
 def q_summary(spark, sf):
-    batch, hist = batch_and_history(spark, sf)
-    return rp.executive_summary(batch, hist)
+    fb = fx.feedback(spark, sf)
+    return rp.executive_summary(fb.where(F.col("created_at") >= F.lit(fx.HISTORY_CUTOFF).cast("timestamp_ntz")), fb)
 
 
 def _key_metrics_sql() -> str:
@@ -163,7 +164,7 @@ def _key_metrics_sql() -> str:
 
 @query("key_metrics", "J5", BASE.rstrip() + ",\n" + _kpi_cte() + "\n" + _key_metrics_sql())
 def q_key_metrics(spark, sf):
-    batch, _ = batch_and_history(spark, sf)
+    batch, _ = batch_and_history(spark, sf, keep=False)
     return rp.key_metrics(batch)
 
 
@@ -234,7 +235,9 @@ ab AS (SELECT aspect, count(*) FILTER (WHERE sentiment = 'Negative') AS Negative
          count(*) FILTER (WHERE sentiment = 'Neutral') AS Neutral,
          count(*) FILTER (WHERE sentiment = 'Positive') AS Positive
        FROM ({_aspect_hits_sql('batch')}) GROUP BY aspect)
-SELECT 1 AS section_no, 'insights' AS section, rule_no AS line_no, '- ' || replace(line, '**', '') AS line FROM ins
+SELECT 0 AS section_no, 'summary' AS section, 1 AS line_no, replace(summary, '**', '') AS line
+  FROM ({_summary_sql(history=False)})
+UNION ALL SELECT 1 AS section_no, 'insights' AS section, rule_no AS line_no, '- ' || replace(line, '**', '') AS line FROM ins
 UNION ALL SELECT 2, 'recommendations', CAST(rec_no AS INTEGER), CAST(rec_no AS VARCHAR) || '. ' || line FROM recs
 UNION ALL SELECT 3, 'risk_profile', r.rank, '- ' || r.risk || ': ' || CAST(coalesce(c.n, 0) AS VARCHAR) || ' items'
   FROM (VALUES (1, 'High'), (2, 'Medium'), (3, 'Low'), (4, 'None')) r(rank, risk)
@@ -249,7 +252,7 @@ UNION ALL SELECT 7, 'urgent_queue', CAST(row_number() OVER (ORDER BY confidence
 
 
 @query("report_sections", "J4", BASE.rstrip() + ",\n" + _insight_ctes() + ",\n" + _recs_cte()
-       + _sections_sql())
+       + ",\n" + _words_cte("themes", "Negative", 3, 0) + _sections_sql())
 def q_sections(spark, sf):
     batch, _ = batch_and_history(spark, sf)
     return rp.report_sections(batch)
@@ -291,6 +294,20 @@ def q_check_emails(spark, sf):
         "id", "email_norm", "valid_format", "domain", "suggestion", "reason")
 
 
+@query("domain_typos_join", "D7", _check_sql())
+def q_domain_typos(spark, sf):
+    """The e-mail check with the known domains as a table."""
+    return acc.check_emails_against(fx.accounts(spark, sf), acc.known_domains(spark)).select(
+        "id", "email_norm", "valid_format", "domain", "suggestion", "reason")
+
+
+@query("account_lookup_stored", "C8", ACC + f"SELECT id, email FROM accounts WHERE {NORM} = 'customer.2@yahoo.com'")
+def q_account_lookup_stored(spark, sf):
+    path = shared_dir(spark, "io", f"accounts-{uuid.uuid4().hex}")
+    acc.write_accounts(fx.accounts(spark, sf), path)
+    return acc.lookup_account(spark, path, " Customer.2@yahoo.com").select("id", "email")
+
+
 @query("unique_accounts", "H2", ACC + f"""SELECT id, email, strftime(created_at, {TSF}) AS created_at FROM (
   SELECT *, row_number() OVER (PARTITION BY {NORM} ORDER BY created_at, id) AS rn FROM accounts) WHERE rn = 1""")
 def q_unique_accounts(spark, sf):

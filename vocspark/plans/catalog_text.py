@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vocspark import lexicon as lx
@@ -13,7 +15,9 @@ from vocspark.operators import filters as fl
 from vocspark.operators import score as sco
 from vocspark.plans import sql as S
 from vocspark.plans.registry import query
+from vocspark.session import shared_dir
 from vocspark.sources import fixture as fx
+from vocspark.sources import ingest as ing
 
 FB = S.with_(S.FEEDBACK)
 TX = S.with_(S.TEXTS)
@@ -360,6 +364,27 @@ def q_classify_store(spark, sf):
     return out.select("id", "text", "sentiment", "confidence", "source")
 
 
+@query("classify_store_and_read", "I7+A3+A1", S.with_(S.RAW_FEEDBACK) + f"""
+SELECT id, text, {S.rule_scores_sql(S.clean_sql('text'))[0]} AS sentiment,
+       round({S.rule_scores_sql(S.clean_sql('text'))[1]}, 4) AS confidence, coalesce(source, 'api') AS source
+FROM raw_feedback
+WHERE text IS NOT NULL AND length(text) BETWEEN 1 AND {lx.MAX_TEXT_CHARS}
+  AND (source IS NULL OR length(source) <= {lx.MAX_SOURCE_CHARS}) AND id % 10 <> 0""")
+def q_classify_persisted(spark, sf):
+    """The batch form with its store: scored rows are appended and read back;
+    items whose label maps to no class (every tenth) go to the rejects."""
+    base = shared_dir(spark, "io", f"classified-{uuid.uuid4().hex}")
+    raw = fx.raw_feedback(spark, sf).select("id", "text", "source")
+
+    def scorer(d):
+        scored = sco.score_rules(d)
+        return scored.withColumn("sentiment", F.when(F.col("id") % 10 != 0, F.col("sentiment")))
+
+    sco.classify_and_store(raw, f"{base}/store", scorer=scorer, now="2024-02-01 00:00:00",
+                           rejects_path=f"{base}/rejects")
+    return ing.read_feedback(spark, f"{base}/store").select("id", "text", "sentiment", "confidence", "source")
+
+
 # D2 / D3 -------------------------------------------------------------------------
 
 def _lexicon_values() -> str:
