@@ -18,6 +18,34 @@ def test_model_hook_equals_rule_scorer(spark):
     assert sorted(a) == sorted(b)
 
 
+def test_model_sees_each_text_once_and_nothing_else(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def loader(folder=str(calls)):
+        import uuid
+
+        def predict(texts):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.writelines(f"{t}\n" for t in texts)
+            return [{"positive": 0.75, "negative": 0.25} for _ in texts]
+        return predict
+
+    rows = [(i, ["same text", "same  text", "other", None, f"own {i}"][i % 5], "secret") for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, text string, note string")
+    for salts in (1, 4):
+        out = sco.score_with_model(df, loader, salts=salts)
+        got = out.collect()
+        assert sorted((r.id, r.text, r.note) for r in got) == sorted(rows)
+        assert all(r.sentiment == "Positive" and r.confidence == 0.75 for r in got)
+        seen = sorted(x for f in calls.iterdir() for x in f.read_text().splitlines())
+        assert len(seen) == len(set(seen)) == 23 and "secret" not in "".join(seen)
+        for f in calls.iterdir():
+            f.unlink()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInPandas run(_digest" in plan and "note" not in plan.split("MapInPandas run(")[1].split(")")[0]
+
+
 def test_model_hook_keeps_rows_without_known_labels(spark):
     def loader():
         return lambda texts: [{"weird": 1.0} for _ in texts]

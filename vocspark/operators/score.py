@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vocspark import lexicon as lx
 from vocspark.functions import labels as lb
@@ -56,15 +55,21 @@ def _model_key(loader) -> str:
 
 
 def score_with_model(df: DataFrame, loader: ModelLoader, text: str = "text",
-                     model_name: str = "model", batch_size: int = 64) -> DataFrame:
+                     model_name: str = "model", batch_size: int = 64, salts: int = 1) -> DataFrame:
     """Score with a user model through one Arrow hop (mapInPandas).
 
     `loader()` returns `predict(texts) -> list of {raw label: score}`; it is
-    called once per Python worker, never on the driver with data.  Cleaning,
-    label mapping, rounding and argmax stay native Spark expressions; only the
-    model call is Python.  Rows whose output maps to no class get null scores
-    and are kept (keyed by their own columns, never by position)."""
-    cleaned = df.withColumn("_clean", tx.clean_text(text))
+    called once per Python worker, never on the driver with data.  Only the
+    distinct cleaned texts and their digests enter Python: equal texts are scored
+    once and the scores joined back by digest, so no other column crosses.
+    Cleaning, label mapping, rounding and argmax stay native Spark expressions.
+    Rows whose output maps to no class get null scores and are kept; a null text
+    is one text, which the model sees as None.  A text that very many rows share
+    is one join key: AQE splits it, and where that is off `salts` deals its rows
+    over so many keys."""
+    digest = F.coalesce(F.sha2(F.col("_clean").cast("binary"), 256), F.lit(""))
+    cleaned = df.withColumn("_clean", tx.clean_text(text)).withColumn("_digest", digest)
+    texts = cleaned.select("_digest", "_clean").dropDuplicates(["_digest"])
     key, most = _model_key(loader), MODELS_KEPT
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,13 +88,16 @@ def score_with_model(df: DataFrame, loader: ModelLoader, text: str = "text",
             texts = pdf["_clean"].tolist()
             for start in range(0, len(texts), batch_size):
                 out.extend(predict(texts[start:start + batch_size]))
-            pdf = pdf.drop(columns=["_clean"])
-            pdf["_raw_scores"] = [dict(o) if o else None for o in out]
-            yield pdf
-
-    schema = T.StructType([f for f in df.schema.fields] + [
-        T.StructField("_raw_scores", T.MapType(T.StringType(), T.DoubleType()))])
-    scored = cleaned.mapInPandas(run, schema)
+            yield pd.DataFrame({"_digest": pdf["_digest"], "_raw_scores": [dict(o) if o else None for o in out]})
+
+    found = texts.mapInPandas(run, "_digest string, _raw_scores map<string, double>")
+    on = ["_digest"]
+    rows = cleaned.drop("_clean")
+    if salts > 1:
+        found = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = rows.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
+        on = ["_digest", "_salt"]
+    scored = rows.join(found, on, "left").select(*[F.col(f"`{c}`") for c in df.columns], "_raw_scores")
     scores = lb.normalize_scores("_raw_scores")
     scored = scored.withColumn("scores", F.when(F.size(scores) > 0, scores)).drop("_raw_scores")
     label, conf = lb.argmax_scores("scores")
