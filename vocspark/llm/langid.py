@@ -11,6 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ FAMILIES = {
 }
 
 _SPACES = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter by its Unicode category: number signs such as Ⅷ or ½ are none.
+_LETTER = regex.compile(r"\p{L}")
 
 
 def family_of(lang: str) -> str:

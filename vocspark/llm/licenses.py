@@ -8,6 +8,7 @@ it, whose span and edits are reported, and the search goes on after it."""
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -138,13 +139,18 @@ def scan(text: str | None, found: list[Notice]) -> dict:
         if at:
             labels.add(label)
     spans, best = [], 1.0 if starts else 0.0
-    for x in found:
-        for a, b, e in fuzzy(norm, x):
-            spans.append({"label": x.label, "first_word": norm.count(b" ", 0, a) - 1,
-                          "last_word": norm.count(b" ", 0, b) - 1, "edits": e,
-                          "text": norm[a:b].decode(errors="replace")})
-            best = max(best, 1 - e / len(x.words))
-    at = [norm.count(b" ", 0, s) - 1 for s in ((min(starts), max(starts)) if starts else ())]
+    hits = [(x, *hit) for x in found for hit in fuzzy(norm, x)]
+    # places of all words once: a look-up per span
+    spaces = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32) if hits or starts else np.empty(0, np.int64)
+
+    def word(at: int) -> int:
+        return int(np.searchsorted(spaces, at)) - 1
+
+    for x, a, b, e in hits:
+        spans.append({"label": x.label, "first_word": word(a), "last_word": word(b), "edits": e,
+                      "text": norm[a:b].decode(errors="replace")})
+        best = max(best, 1 - e / len(x.words))
+    at = [word(s) for s in ((min(starts), max(starts)) if starts else ())]
     return {"n_words": count_words(norm), "n_base": len(starts), "first_word": at[0] if at else None,
             "last_word": at[1] if at else None, "base_labels": ",".join(sorted(labels)),
             "labels": ",".join(sorted(labels | {s["label"] for s in spans})), "score": float(best),

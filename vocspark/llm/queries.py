@@ -77,7 +77,7 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
-        F.size("spans").cast("bigint").alias("n_spans"))
+        F.size("spans").cast("bigint").alias("n_spans"), F.to_json("spans").alias("spans"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
