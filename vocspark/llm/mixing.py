@@ -3,8 +3,10 @@
 Slots of equal size are numbered 0, 1, ...; slot t asks for the source into
 whose interval of cumulative target weights the golden-ratio point of t falls.
 The rank of a slot among its source's slots names the block it takes: a source's
-documents, in shuffled order, are one long run of words cut into equal blocks,
-and a source that is asked for more blocks than it has starts again.
+documents, in shuffled order and EPOCHS times over, are one long run of words cut
+into equal blocks.  A source gets as many slots as its target has blocks, the last
+of them cut to the words still due; what the points give beyond that is void, and
+ranks that they leave open (sources far smaller than a block) stand at the end.
 
 Ranks and block offsets are running counts.  Both are built in two levels
 (counts per chunk, then within a chunk), so no task holds a source."""
@@ -59,9 +61,12 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, mix: float = MIX, epochs
 
 
 def schedule(plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(pos, block, times): how often each source's block is taken.  `plan`:
-    the table of targets()."""
+    """(pos, block, words, slot): the blocks taken of each source's run, how many
+    words of each, and the place in the mix.  A source's words add up to its
+    target, rounded.  `plan`: the table of targets(); sources without a target
+    have no slots."""
     spark = plan.sparkSession
+    plan = plan.where("target > 0")
     mix_size = plan.agg(F.max("mix_size")).first()[0] or 0.0
     slots = int(round(mix_size / block_words))
     width = 1 << 31
@@ -71,22 +76,28 @@ def schedule(plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     # cumulative weights as intervals, found by an equi-join on bins of the point
     bins = max(4096, 4 * plan.count())
     by_pos = Window.orderBy("pos")
-    ends = plan.where("target > 0").withColumn("hi", F.col("upto") / F.col("mix_size"))
+    ends = plan.withColumn("hi", F.col("upto") / F.col("mix_size"))
     ends = ends.withColumn("lo", F.coalesce(F.lag("hi").over(by_pos), F.lit(0.0))) \
         .withColumn("hi", F.when(F.lead("hi").over(by_pos).isNull(), F.lit(2.0)).otherwise(F.col("hi")))
-    ends = ends.select("pos", "lo", "hi", F.ceil(F.col("source_size") / block_words).alias("blocks"),
-                       F.explode(F.sequence(F.least(F.floor(F.col("lo") * bins), F.lit(bins - 1)),
-                                            F.least(F.floor(F.col("hi") * bins), F.lit(bins - 1)))).alias("bin"))
+    ends = ends.select("pos", "lo", "hi", F.explode(F.sequence(F.least(F.floor(F.col("lo") * bins), F.lit(bins - 1)),
+                                                               F.least(F.floor(F.col("hi") * bins), F.lit(bins - 1)))).alias("bin"))
     t = t.withColumn("u", point).withColumn("bin", F.floor(F.col("u") * bins)) \
-        .join(ends, "bin").where("u >= lo and u < hi").select("id", "chunk", "pos", "blocks")
-    counts = t.groupBy("pos", "chunk").agg(F.count("*").alias("n"))
+        .join(ends, "bin").where("u >= lo and u < hi").select("id", "chunk", "pos")
+    counts = materialize(t.groupBy("pos", "chunk").agg(F.count("*").alias("n")))
     before = Window.partitionBy("pos").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    upto = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = Window.partitionBy("pos", "chunk").orderBy("id")
-    ranked = t.withColumn("r", F.row_number().over(inside) - 1).join(counts, ["pos", "chunk"]) \
-        .withColumn("rank", F.col("before") + F.col("r"))
-    return ranked.where(F.col("rank") < F.col("blocks") * EPOCHS) \
-        .groupBy("pos", F.pmod("rank", "blocks").alias("block")).agg(F.count("*").alias("times"))
+    due = plan.select("pos", F.round("target").cast("bigint").alias("due"))
+    due = due.withColumn("quota", F.ceil(F.col("due") / block_words))
+    ranked = t.withColumn("r", F.row_number().over(inside) - 1).join(upto, ["pos", "chunk"]).join(due, "pos") \
+        .select("pos", (F.col("before") + F.col("r")).alias("block"), "due", "quota", F.col("id").alias("slot")) \
+        .where("block < quota")
+    given = counts.groupBy("pos").agg(F.sum("n").alias("given"))
+    left = due.join(given, "pos", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < quota") \
+        .select("pos", F.explode(F.sequence("given", F.col("quota") - 1)).alias("block"), "due", "quota",
+                F.lit(slots).cast("bigint").alias("slot"))
+    return ranked.unionByName(left).select(
+        "pos", "block", F.least(F.lit(block_words), F.col("due") - F.col("block") * block_words).alias("words"), "slot")
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
@@ -94,8 +105,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataF
     source_size, target, taken.
 
     `taken` counts the words that the mix takes of a document, repeats included;
-    it never exceeds EPOCHS times its size, and the words taken of a source stay
-    within a few blocks of its target.  Null and empty texts have size 0 and
+    it never exceeds EPOCHS times its size, and the words taken of a source are
+    its target, rounded, whatever its size.  Null and empty texts have size 0 and
     taken 0; a null source is a source (the last one).  Repeated rows are
     documents of their own, told apart by their place in the shuffle.  An empty
     table gives no rows; other columns are not read."""
@@ -118,11 +129,16 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataF
         .withColumn("at", F.col("before") + F.col("r")).drop("r", "before", "bucket", "order")
     own = materialize(own)
     b = F.lit(block_words)
-    cut = own.where("size > 0").select("pos", "at", "size", F.explode(F.sequence(
-        F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b))).alias("block"))
-    cut = cut.join(schedule(plan, block_words), ["pos", "block"]).withColumn(
-        "words", (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * b)
-                  - F.greatest(F.col("at"), F.col("block") * b)) * F.col("times"))
+    # a document stands in the run once per epoch; only what the target reaches is cut into blocks
+    turns = F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("epoch")
+    cut = own.where("size > 0").select("pos", "at", "size", "source_size", "target", turns) \
+        .withColumn("lo", F.col("at") + F.col("epoch") * F.col("source_size")) \
+        .withColumn("hi", F.least(F.col("lo") + F.col("size"), F.round("target").cast("bigint"))).where("lo < hi") \
+        .select("pos", "at", "lo", "hi", F.explode(F.sequence(
+            F.floor(F.col("lo") / b), F.floor((F.col("hi") - 1) / b))).alias("block"))
+    first = F.col("block") * b
+    cut = cut.join(schedule(plan, block_words).withColumnRenamed("words", "held"), ["pos", "block"]).withColumn(
+        "words", F.least(F.col("hi"), first + F.col("held")) - F.greatest(F.col("lo"), first))
     taken = cut.groupBy("pos", "at").agg(F.sum("words").alias("got"))
     # (pos, at) names a document that has words: offsets of such rows differ
     left = own.join(taken, ["pos", "at"], "left")
@@ -133,7 +149,13 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataF
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
     """The documents of the mix, each as often as it is taken (0, 1 or 2 times,
     its taken words over its size, rounded; documents without words once).
-    Columns are those of `docs`."""
+    Columns are those of `docs`.
+
+    A source's run is taken from its start, so one document a source at most is
+    taken in part, and the mix of whole documents differs from the targets by
+    half of that document at most.  Rows alike in id, source and text are
+    interchangeable: the copies of all of them are dealt evenly, rounded.  Null
+    and empty texts stay once; an empty table gives no rows."""
     plan = mix(docs, block_words, seed).withColumn(
         "copies", F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int"))
     # rows alike in id, source and text are interchangeable: their copies add up
