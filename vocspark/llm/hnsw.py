@@ -3,11 +3,12 @@
 Vectors are dealt to shards by hash.  Each shard folds equal vectors into one
 node that counts as often as it has ids, builds its graph in one task, audits it
 and links its own vectors.  Every vector then queries every other shard, in
-blocks that meet each graph once and are audited too.  An audit scans vectors in
-an order by hash until a set number of them have links besides their copies, and
-widens the beam until it finds nearly all of these; if the vectors run out first
-they are all scanned.  A beam filled with links is widened until it holds a
-vector that is none; the widest beam is the shard itself, scanned.  Every link is
+blocks that meet each graph once and are audited too.  An audit asks a set number
+of probes, nodes turned away from themselves to a cosine just above the threshold,
+whose link is known without a scan whether or not the vectors have any, and scans
+a set number of the queries for links of their own; the beam widens until it finds
+nearly all of both.  A beam filled with links is widened until it holds a vector
+that is none; only beams beyond the widest scan the shard.  Every link is
 verified by cosine in double precision.  Pairs live as long as their block of
 queries; tasks return, per vector, the number of links and edges to the
 components it touches in a shard, never all pairs of a group."""
@@ -26,14 +27,16 @@ from .common import components, materialize, mix64
 THRESHOLD = 0.95
 #: Vectors in a shard at most (about), and shards at least.
 SHARD_VECTORS = 50_000
-LEAST_SHARDS = 4
+LEAST_SHARDS = 2
 DEGREE = 12
 BUILD_BEAM = 40
 BEAM = 24
 WIDEST_BEAM = 192
-#: Linked vectors that an audit needs, and their mean recall.
+#: Probes of an audit, as many queries that it scans, and the least mean recall.
 AUDIT = 200
 AUDIT_RECALL = 0.995
+#: How far a probe lies inside the threshold, as a share of what is left to 1.
+INSIDE = 0.02
 SCAN = 1 << 40
 #: Vectors of one block of queries, about.
 BLOCK = 8192
@@ -248,29 +251,38 @@ class Graph:
         return np.concatenate([np.zeros(0, int), *(
             np.bincount(x - at, minlength=end - at) for at, end, x, _ in self.links(raw, twin, threshold, beam))])
 
+    def probes(self, salt: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes in an order by hash, and for each a vector that links with it at
+        a cosine just above the threshold, in a direction given by its id."""
+        key = mix64(self.ids.view(np.uint64) ^ mix64(np.array([salt], np.int64).view(np.uint64)))
+        nodes = np.argsort(key, kind="stable")[:AUDIT]
+        dim = self.raw.shape[1]
+        cells = mix64(key[nodes, None] + np.arange(1, dim + 1, dtype=np.uint64)[None])
+        away = (cells >> np.uint64(11)).astype(float) / 2.0 ** 53 - 0.5
+        own = self.raw[nodes] / self.norm[nodes, None]
+        away -= (away * own).sum(1, keepdims=True) * own
+        size = np.sqrt((away * away).sum(1, keepdims=True))
+        cos = threshold + (1 - threshold) * INSIDE
+        return nodes, own * cos + np.where(size > 1e-9, away / np.maximum(size, 1e-9), 0.0) * np.sqrt(1 - cos * cos)
+
     def audit(self, ids: np.ndarray, raw: np.ndarray, twin: np.ndarray, threshold: float) -> tuple[float, int]:
-        """Widens the beam until queries find nearly all their links: the mean
-        recall of those with few links and of those in crowds, the lower one.
-        With too few linked queries to tell, the beam is the whole shard."""
-        order = np.argsort(mix64(ids.view(np.uint64)), kind="stable")
-        pick, want, few, side = [], [], 0, self._side()
-        for at in range(0, len(order), side):
-            part = order[at:at + side]
-            n = self.linked(raw[part], twin[part], threshold, SCAN)
-            pick.append(part[n > 0])
-            want.append(n[n > 0])
-            few += int(((n > 0) & (n <= WIDEST_BEAM // 2)).sum())
-            if few >= AUDIT:
-                break
-        else:
-            self.beam = max(len(self.ids), WIDEST_BEAM + 1)
+        """Widens the beam until the search finds nearly all links of the probes,
+        and of those queries, AUDIT in an order by hash, that have any: the lowest
+        mean recall among probes, queries with few links, and queries in crowds."""
+        if not len(ids) or not len(self.ids):
             return 1.0, self.beam
-        pick, want = np.concatenate(pick), np.concatenate(want)
+        nodes, turned = self.probes(int(ids.min()), threshold)
+        pick = np.argsort(mix64(ids.view(np.uint64)), kind="stable")[:AUDIT]
+        want = self.linked(raw[pick], twin[pick], threshold, SCAN)
+        pick, want = pick[want > 0], want[want > 0]
         crowd = want > WIDEST_BEAM // 2
-        strata = [np.flatnonzero(~crowd), np.flatnonzero(crowd)[:AUDIT]]
+        strata = [np.flatnonzero(~crowd), np.flatnonzero(crowd)]
         while True:
-            recall = min(float((self.linked(raw[pick[i]], twin[pick[i]], threshold) / want[i]).mean())
-                         for i in strata if len(i))
+            hit = sum(int((y == nodes[x]).sum())
+                      for _, _, x, y in self.links(turned, np.full(len(nodes), -1), threshold))
+            recall = min([hit / len(nodes)] + [
+                float((self.linked(raw[pick[i]], twin[pick[i]], threshold) / want[i]).mean())
+                for i in strata if len(i)])
             if recall >= AUDIT_RECALL or self.beam > WIDEST_BEAM or self.beam >= len(self.ids):
                 return recall, self.beam
             self.beam *= 2
