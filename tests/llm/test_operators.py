@@ -220,7 +220,7 @@ def test_warc_round_trip(spark, tmp_path):
     sums = []
     for run in range(2):
         folder = str(tmp_path / f"w{run}")
-        m = warc.write_warc(pages.repartition(1 + 3 * run), folder, shard_keys=4, roll_bytes=400).collect()
+        m = warc.write_warc(pages.repartition(1 + 3 * run), folder, shard_bytes=2500, roll_bytes=400).collect()
         sums.append(sorted((x.file, x.sha256) for x in m))
         got = warc.read_warc(spark, folder).collect()
         assert len(got) == len(rows) and all(x.sound for x in got)

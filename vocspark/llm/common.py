@@ -51,10 +51,66 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def spread(df: DataFrame, floor: int = 12) -> DataFrame:
-    """Deals rows out evenly before costly work; never below `floor` tasks."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(n, floor))
+#: Ranges at most, and sampled keys per range.
+MOST_RANGES, RANGE_SAMPLE = 50_000, 16
+
+
+def deal_ranges(weights: DataFrame, size: int, most: int = MOST_RANGES):
+    """Cuts keys into ranges of about equal weight: a function that adds the
+    column `range` (0 ... n - 1, ascending with k) to a frame with k bigint and
+    at double (0 to 1, evenly spread within a key), and n.
+
+    `weights`: (k, w), one row per key, k not null.  A range weighs about `size`,
+    or more where that would make over `most` ranges.  A key heavier than a range
+    has ranges of its own, dealt by `at`.  The cuts follow from the keys alone:
+    keys are sampled by their hash, and heavy ones are all known.  The driver sees
+    at most `most` heavy keys and about RANGE_SAMPLE keys a range."""
+    spark = weights.sparkSession
+    keys, total = weights.agg(F.count("*"), F.sum("w")).first()
+    total = total or 0
+    n = max(1, min(most, -(-total // size)))
+    size = max(1, -(-total // n))
+    heavy = {r.k: r.w for r in weights.where(F.col("w") > size).collect()}
+    rate = min(1.0, RANGE_SAMPLE * n / max(1, keys))
+    light = weights.where(F.col("w") <= size).where(
+        F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))).select("k", "w").collect()
+    scale = (total - sum(heavy.values())) / max(1, sum(r.w for r in light))
+    slots, fill = [[-np.inf, 1]], 0.0
+    for k, w in sorted([*heavy.items(), *((r.k, r.w) for r in light)]):
+        if k in heavy:
+            slots += [[float(k), -(-w // size)], [float(np.nextafter(float(k), np.inf)) if abs(k) >= 1 << 53 else float(k + 1), 1]]
+            fill = 0.0
+        elif fill and fill + w * scale > size:
+            slots.append([float(k), 1])
+            fill = w * scale
+        else:
+            fill += w * scale
+    cuts = []  # ids beyond 2**53 may meet in one double: such cuts are one
+    for low, parts in slots:
+        if cuts and low <= cuts[-1][0]:
+            cuts[-1][1] = max(parts, cuts[-1][1])
+        else:
+            cuts.append([low, parts])
+    n = sum(parts for _, parts in cuts)
+    firsts = np.cumsum([0, *[parts for _, parts in cuts]])
+    plan = spark.createDataFrame([(float(i), int(firsts[i]), int(parts)) for i, (_, parts) in enumerate(cuts)],
+                                 "_slot double, _first long, _parts long")
+
+    def add(df: DataFrame) -> DataFrame:
+        if n == 1:
+            return df.withColumn("range", F.lit(0))
+        from pyspark.ml.feature import Bucketizer
+
+        df = df.withColumn("_key", F.col("k").cast("double"))
+        if len(cuts) == 1:
+            df = df.withColumn("_slot", F.lit(0.0))
+        else:
+            df = Bucketizer(splits=[low for low, _ in cuts] + [np.inf], inputCol="_key", outputCol="_slot").transform(df)
+        part = F.least(F.floor(F.col("at") * F.col("_parts")), F.col("_parts") - 1)
+        return df.join(F.broadcast(plan), "_slot").withColumn("range", (F.col("_first") + part).cast("int")) \
+            .drop("_slot", "_first", "_parts", "_key")
+
+    return add, n
 
 
 def components(edges: DataFrame) -> DataFrame:

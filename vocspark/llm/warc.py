@@ -1,12 +1,13 @@
 """Deterministic sharded WARC writer, and a reader.
 
-Records go to shards by ranges of their key; a shard's records are sorted and
-rolled into files by compressed size, so the files do not depend on how Spark
-deals out the work.  Headers, ids and digests are derived from the content.  A
-task writes each file under a temporary name and reports it; the reports are
-written as the manifest, and only then are the files renamed, a step that may be
-repeated safely.  Of equal payloads, one record is a response and the others
-revisit it."""
+Records are sorted by (page_id, payload digest) over shards, ranges of that key
+of about equal bytes; a shard is one task, its files are rolled by compressed
+size.  The cuts follow from the table alone, so the files do not depend on how
+Spark deals out the work.  Headers, ids and digests are derived from the content.
+A task writes each file under a temporary name and reports it; the reports are
+written as the manifest, and only then are the files renamed.  `finish_warc`
+repeats that last step where it was broken off.  Of equal payloads, one record is
+a response and the others revisit it."""
 
 from __future__ import annotations
 
@@ -20,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import deal_ranges, materialize, release
 
 DATE = "2024-01-01T00:00:00Z"
-#: Width of a shard in ids: a 64th of the table, within these bounds.
-SHARD_KEYS = (256, 16384)
+#: Bytes of a shard: a 64th of the table, within these bounds.
+SHARD_BYTES = (1 << 18, 64 << 20)
+#: What a record takes besides its payload, about.
+RECORD_BYTES = 512
 ROLL_BYTES = 16 << 20
 LEAST_REVISIT = 100
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -78,7 +81,7 @@ MANIFEST = ("file string, temporary string, shard bigint, records bigint, bytes
 
 
 def _write(folder: str, roll_bytes: int):
-    """Rows sorted by (shard, page_id, digest, ...): the note (refers_to) of a page
+    """Rows of whole shards sorted by (page_id, digest, ...): the note (refers_to) of a page
     and digest comes before the rows that it is about.  Records are numbered
     within page and digest, so what is referred to has number 0."""
     def run(batches):
@@ -96,7 +99,8 @@ def _write(folder: str, roll_bytes: int):
 
         note, last, repeat, shard, roll = None, None, 0, None, 0
         for b in batches:
-            for r in b.to_pylist():
+            htmls = b.column(b.schema.get_field_index("html"))
+            for i, r in enumerate(b.drop_columns(["html"]).to_pylist()):
                 if r["note"]:
                     note = (r["page_id"], r["digest"], r["refers_to"])
                     continue
@@ -108,11 +112,11 @@ def _write(folder: str, roll_bytes: int):
                 if out is None:
                     roll = roll + 1 if r["shard"] == shard else 0
                     shard = r["shard"]
-                    name = f"part-{'null' if shard is None else format(shard, '012d')}-{roll:05d}.warc.gz"
+                    name = f"part-{shard:08d}-{roll:05d}.warc.gz"
                     tmp = f"_tmp-{uuid.uuid4().hex}-{name}"
                     out = {"file": name, "tmp": tmp, "shard": shard, "n": 0, "bytes": 0, "sha": hashlib.sha256(),
                            "first": page, "last": page, "stream": store.open_output_stream(f"{base}/{tmp}", compression=None)}
-                html = (r["html"] or "").encode()
+                html = htmls[i].as_buffer().to_pybytes() if htmls[i].is_valid else b""
                 digest = r["digest"].hex()
                 refers = note[2] if note is not None and note[:2] == key else None
                 if repeat and refers is None and len(html) >= LEAST_REVISIT:
@@ -144,43 +148,69 @@ def _commit(folder: str):
     return run
 
 
-def write_warc(pages: DataFrame, folder: str, shard_keys: int | None = None, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, shard_bytes: int | None = None, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes (page_id, url, html) as WARC files into `folder`; returns the
     manifest (one row per file), which is also kept there as Parquet.
 
     Of records with equal payloads of at least 100 bytes, the one with the
     smallest page_id is the response.  Null html is an empty payload, a null url
-    an empty target; null ids have a shard of their own and, if no id shares
-    their payload, are responses; repeated rows of one id and payload revisit
-    its first copy, rows of one id with other payloads do not.  An empty table gives no files.  Other columns are not read.
+    an empty target; null ids come first and, if no id shares their payload, are
+    responses; repeated rows of one id and payload revisit its first copy, rows of
+    one id with other payloads do not.  An id (or the null ids) that outweighs a
+    shard is cut by payload digest; rows alike in id and payload are one chain of
+    numbers and stay in one shard.  An empty table gives no files.  Other columns
+    are not read.  A folder with a whole manifest is not written again: FileExistsError.
 
     One exchange moves the pages; what a page refers to travels with it as a
     narrow note."""
+    from pyarrow import fs
+
+    store, base = _store(folder)
+    if store.get_file_info(f"{base}/_manifest/_SUCCESS").type == fs.FileType.File:
+        raise FileExistsError(f"{folder} holds an archive; finish_warc() ends a commit that was broken off")
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
                          F.col("html").cast("string").alias("html"))
-    if shard_keys is None:
-        shard_keys = max(SHARD_KEYS[0], min(SHARD_KEYS[1], pages.count() // 64))
     digest = F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256)).alias("digest")
-    narrow = pages.select("page_id", digest,
-                          F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).where(F.col("n") >= LEAST_REVISIT)
+    every = materialize(pages.select("page_id", digest, F.octet_length(F.coalesce("html", F.lit(""))).cast("bigint").alias("n")))
+    narrow = every.where(F.col("n") >= LEAST_REVISIT)
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("c")) \
         .where("c > 1").drop("c")
     notes = narrow.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))) \
         .select("page_id", "digest", "refers_to").distinct()
-    shard = F.floor(F.col("page_id") / shard_keys).alias("shard")
-    both = pages.select(shard, "page_id", digest, F.lit(False).alias("note"), F.lit(None).cast("bigint").alias("refers_to"),
+    key = F.coalesce("page_id", F.lit(-(1 << 63)))
+    weights = materialize(every.groupBy(key.alias("k")).agg(F.sum(F.col("n") + RECORD_BYTES).alias("w")))
+    if shard_bytes is None:
+        total = weights.agg(F.sum("w")).first()[0] or 0
+        shard_bytes = max(SHARD_BYTES[0], min(SHARD_BYTES[1], total // 64))
+    dealt, shards = deal_ranges(weights, shard_bytes)
+    nothing = F.lit(None).cast("string")
+    both = pages.select("page_id", digest, F.lit(False).alias("note"), F.lit(None).cast("bigint").alias("refers_to"),
                         "url", "html") \
-        .unionByName(notes.select(shard, "page_id", "digest", F.lit(True).alias("note"), "refers_to",
-                                  F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = both.repartition(n, "shard").sortWithinPartitions("shard", "page_id", "digest", F.desc("note"), "url")
-    store, base = _store(folder)
+        .unionByName(notes.select("page_id", "digest", F.lit(True).alias("note"), "refers_to",
+                                  nothing.alias("url"), nothing.alias("html")))
+    at = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("double") / float(1 << 32)
+    both = dealt(both.withColumns({"k": key, "at": at})).drop("k", "at").withColumnRenamed("range", "shard")
+    ordered = both.repartitionById(shards, "shard").sortWithinPartitions("page_id", "digest", F.desc("note"), "url")
     store.create_dir(base, recursive=True)
-    manifest = ordered.mapInArrow(_write(folder, roll_bytes), MANIFEST)
-    manifest.write.parquet(f"{folder}/_manifest")
+    ordered.mapInArrow(_write(folder, roll_bytes), MANIFEST).write.mode("overwrite").parquet(f"{folder}/_manifest")
+    release(every, weights)
+    return finish_warc(spark, folder)
+
+
+def finish_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Renames what the manifest of `folder` lists and is not yet renamed, then
+    deletes the temporary files that failed tasks left; returns the manifest.
+    May be called any number of times.  Without a whole manifest: an error, as
+    the files are to be written again."""
+    from pyarrow import fs
+
     manifest = spark.read.parquet(f"{folder}/_manifest")
     manifest.mapInArrow(_commit(folder), "file string").write.format("noop").mode("overwrite").save()
+    store, base = _store(folder)
+    for info in store.get_file_info(fs.FileSelector(base)):
+        if info.type == fs.FileType.File and info.base_name.startswith("_tmp-"):
+            store.delete_file(info.path)
     return manifest
 
 
@@ -234,10 +264,8 @@ def _read(batches):
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of a folder's committed files; `sound` says whether content,
-    lengths and digests agree."""
+    """The records of a folder's committed files, one row per record; `sound` says
+    whether content, lengths and digests agree.  An empty archive gives no rows."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(folder)
     return files.select("path", "content").mapInArrow(_read, READ)
 
-
-__all__ = ["write_warc", "read_warc", "materialize", "shared_dir"]
