@@ -1,4 +1,4 @@
-"""Fingerprints whatever the ids are: seams of ranges and shards, hot null ids,
+"""Fingerprints whatever the ids are: seams of ranges, hot null ids,
 rows alike; and no Python on the path of the native operators."""
 
 import hashlib
@@ -39,20 +39,20 @@ def _text(r):
     return " ".join(f"w{r.randrange(50)}" + r.choice(["", "", ".", "!"]) for _ in range(r.randrange(0, 60)))
 
 
-@pytest.mark.parametrize("shard_docs", [20, 700])
-def test_hashed_ids_and_a_third_of_null_ids(spark, shard_docs):
+@pytest.mark.parametrize("range_docs", [5, 128])
+def test_hashed_ids_and_a_third_of_null_ids(spark, range_docs):
     r = random.Random(11)
     rows = [(None if i % 3 == 0 else r.randrange(-(1 << 62), 1 << 62), _text(r)) for i in range(600)]
     rows += [(5, "one text. said again"), (5, "one text. said again"), (5, None), (6, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("range", F.lit("clash"))
-    assert _got(df, shard_docs=shard_docs) == _brute(spark, df)
+    assert _got(df, range_docs=range_docs) == _brute(spark, df)
 
 
-def test_rows_alike_outweigh_a_shard(spark):
+def test_rows_alike_outweigh_a_range(spark):
     r = random.Random(12)
     rows = [(i, _text(r)) for i in range(100)] + [(None, "the same row. again and again")] * 60 + [(200, "end. of all")] * 45
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert _got(df, shard_docs=20) == _brute(spark, df)
+    assert _got(df, range_docs=20) == _brute(spark, df)
 
 
 def test_no_catalog_table_is_left(spark):

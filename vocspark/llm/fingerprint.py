@@ -10,12 +10,11 @@ its counts estimate how much two versions differ, which sets the size of the
 sketch that is peeled.  Where peeling sticks, it is done again with tables of
 four times the size; the few that stick again are settled on the digests.
 
-All of it is DataFrame functions.  One exchange moves the texts: by shards, ranges
-of (doc_id, hash of the text) of about equal size whatever the ids are, each with
-a copy of the first document of the next, so that a document meets its successor
-there.  Shards are cut into ranges of 128 documents; the digests are written as a
-table bucketed by range in the shared folder, and all later grouping and joining
-is within a bucket, without an exchange."""
+All of it is DataFrame functions.  One exchange moves the texts: by ranges of
+(doc_id, hash of the text) of about equal size whatever the ids are, each with a
+copy of the first document of the next, so that a document meets its successor
+there.  The digests are written as a table bucketed by range in the shared folder;
+all later grouping and joining is within a bucket, without an exchange."""
 
 from __future__ import annotations
 
@@ -30,8 +29,8 @@ from .common import deal_ranges, materialize, release, shared_dir
 PARAGRAPH = r"[^.!?\n]{1,160}[.!?\n]*|[.!?\n]+"
 CELLS = 8
 STEPS = 15
-#: Documents of a shard (about; more where shards reach their bound), and of a range.
-SHARD_DOCS, RANGE_DOCS = 512, 128
+#: Documents of a range, about; more where the number of ranges reaches its bound.
+RANGE_DOCS = 128
 #: Documents of one bucket (about), and buckets at most.
 BUCKET_DOCS, MOST_BUCKETS = 2048, 50_000
 TABLES = 3
@@ -87,7 +86,7 @@ def _bits(a: Column, b: Column, na: Column, nb: Column, cells: int = CELLS) -> C
     return F.least(F.greatest(F.ceil(F.log2(F.greatest(most * 0.65, F.lit(1.0)))), F.lit(3)), F.lit(20)).cast("int")
 
 
-def _digests(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def _digests(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
     """The table of digests, bucketed by range: rows numbered by rid in order of
     id, each range ending with a copy of the first row of the next (the last
     with the first of all); bits_e and bits_n: table sizes to peel with, and
@@ -98,20 +97,20 @@ def _digests(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
     base = base.withColumn("k", F.coalesce("doc_id", F.lit(_LOWEST))).withColumn("h", F.xxhash64("text"))
     weights = materialize(base.groupBy("k").agg(F.count("*").alias("w")))
     total = weights.agg(F.sum("w")).first()[0] or 0
-    dealt, _ = deal_ranges(weights, shard_docs)
+    dealt, _ = deal_ranges(weights, range_docs)
     release(weights)
     at = (F.col("h").cast("double") + float(1 << 63)) / float(1 << 64)
-    base = dealt(base.withColumn("at", at)).drop("at").withColumn("shard", F.col("range").cast("bigint")).drop("range")
-    # one row per shard: their number is bounded
-    first = base.groupBy("shard").agg(F.min(F.struct("k", "h")).alias("f"))
-    before = F.coalesce(F.lag("shard").over(Window.orderBy("shard")), F.max("shard").over(Window.partitionBy()))
+    base = dealt(base.withColumn("at", at)).drop("at").withColumn("range", F.col("range").cast("bigint"))
+    # one row per range: their number is bounded
+    first = base.groupBy("range").agg(F.min(F.struct("k", "h")).alias("f"))
+    before = F.coalesce(F.lag("range").over(Window.orderBy("range")), F.max("range").over(Window.partitionBy()))
     first = materialize(first.select(F.col("f.k").alias("k"), F.col("f.h").alias("h"), before.alias("before")))
     rows = base.join(F.broadcast(first), ["k", "h"], "left").withColumn("keys", paragraph_digests(F.col("text")))
-    place = F.when(F.col("before").isNull(), F.array(F.struct(F.col("shard"), F.lit(False).alias("copy")))).otherwise(
-        F.array(F.struct(F.col("shard"), F.lit(False).alias("copy")),
-                F.struct(F.col("before").alias("shard"), F.lit(True).alias("copy"))))
+    place = F.when(F.col("before").isNull(), F.array(F.struct(F.col("range"), F.lit(False).alias("copy")))).otherwise(
+        F.array(F.struct(F.col("range"), F.lit(False).alias("copy")),
+                F.struct(F.col("before").alias("range"), F.lit(True).alias("copy"))))
     rows = rows.select("doc_id", "k", "h", "text", "keys", F.inline(place))
-    order = Window.partitionBy("shard").orderBy("copy", "k", "h")
+    order = Window.partitionBy("range").orderBy("copy", "k", "h")
     n, cut = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     rows = rows.withColumns({"next_text": F.lead("text").over(order), "rid": F.row_number().over(order),
                              "again": F.lag("copy").over(order) & F.col("copy")})
@@ -119,31 +118,19 @@ def _digests(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
     rows = rows.where(~F.coalesce("again", F.lit(False)))
     rows = rows.withColumn("edited", F.when(~F.col("copy"), F.concat(
         F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))))
-    rows = rows.select("shard", "rid", "copy", "doc_id", n.cast("bigint").alias("n_chars"), "keys",
+    rows = rows.select("range", "rid", "copy", "doc_id", n.cast("bigint").alias("n_chars"), "keys",
                        F.unhex(F.sha2("edited", 256)).alias("edited_sha"), F.xxhash64("text").alias("h"),
                        F.xxhash64("edited").alias("edit_h"), paragraph_digests(F.col("edited")).alias("edit_keys"))
     rows = rows.withColumn("a", sketch(F.col("keys"))).withColumn("b", sketch(F.col("edit_keys")))
-    step = Window.partitionBy("shard").orderBy("rid")
+    step = Window.partitionBy("range").orderBy("rid")
     size = {c: F.size(c).cast("bigint") for c in ("keys", "edit_keys")}
     rows = rows.withColumn("next_a", F.lead("a").over(step)).withColumn("next_n", F.lead(size["keys"]).over(step))
     rows = rows.withColumn("bits_e", _bits(F.col("a"), F.col("b"), size["keys"], size["edit_keys"])) \
         .withColumn("bits_n", _bits(F.col("a"), F.col("next_a"), size["keys"], F.col("next_n")))
     rows = rows.withColumn("before_n", F.lag("bits_n").over(step)).drop("a", "b", "next_a", "next_n")
-    # ranges: a row that begins one also ends the one before, as a copy
-    block = F.floor((F.col("rid") - 1) / RANGE_DOCS)
-    begins = F.pmod(F.col("rid") - 1, F.lit(RANGE_DOCS)) == 0
-
-    def put(block, copy, before_n):
-        return F.struct((F.shiftleft("shard", 40) + block).alias("range"), F.lit(copy).alias("copy"),
-                        before_n.cast("int").alias("before_n"))
-
-    own = put(block, False, F.when(~begins, F.col("before_n")))
-    end = put(F.floor((F.col("rid") - 2) / RANGE_DOCS), True, F.col("before_n"))
-    places = F.when(F.col("copy"), F.array(end)).when(begins & (F.col("rid") > 1), F.array(own, end)).otherwise(F.array(own))
-    rows = rows.select(*[c for c in rows.columns if c not in ("shard", "copy", "before_n")], F.inline(places))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, total // BUCKET_DOCS))
     name = f"digests_{uuid.uuid4().hex}"
-    rows.repartition(buckets, "range").write.bucketBy(buckets, "range").sortBy("range", "rid") \
+    rows.write.bucketBy(buckets, "range").sortBy("range", "rid") \
         .option("path", shared_dir(spark, "tables", name)).saveAsTable(name)
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # its files stay, and the frame reads them by their buckets
@@ -202,7 +189,7 @@ def _by_range(found: DataFrame, name: str) -> DataFrame:
         (F.col("rid") * 2 + F.col("kind")).cast("bigint").alias("at"), F.struct("differ", "stuck").alias("v")))).alias(name))
 
 
-def fingerprints(docs: DataFrame, steps: int = STEPS, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def fingerprints(docs: DataFrame, steps: int = STEPS, range_docs: int = RANGE_DOCS) -> DataFrame:
     """One row per row of (doc_id, text): doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next, differ_edited,
     differ_next (digests recovered) and attempts (the larger count of the two
@@ -214,11 +201,11 @@ def fingerprints(docs: DataFrame, steps: int = STEPS, shard_docs: int = SHARD_DO
     ones.  A null text is empty.  Repeated paragraphs count once in a set, while
     a fingerprint also holds a hash of the whole text.  Rows of one doc_id, and
     of a null doc_id (sorted first), follow each other by a hash of the text; where
-    they outweigh a shard they are cut by that hash, and only rows alike in id and
+    they outweigh a range they are cut by that hash, and only rows alike in id and
     text stay together.
     A single document is its own successor; an empty table gives no rows; other
     columns are not read."""
-    rows = _digests(docs, shard_docs)
+    rows = _digests(docs, range_docs)
     own = ~F.col("copy")
     sizes = ["bits_e", "bits_n", "before_n"]
     slim = rows.select("range", "rid", "keys", "edit_keys", *[
