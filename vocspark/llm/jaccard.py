@@ -201,14 +201,16 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
     A null doc_id stays null and is never a representative.  An empty table
     gives no rows.  Extra columns are not read."""
     docs = docs.select("doc_id", "text")
-    sig = materialize(docs.withColumn("h", F.xxhash64("text")).mapInArrow(
+    keyed = materialize(docs.withColumn("h", F.xxhash64("text")).mapInArrow(
         _with_hash(_signature(num, den, k)),
         "doc_id bigint, h bigint, n bigint, cls bigint, sketch array<bigint>, keys array<bigint>"))
+    sig = materialize(keyed.drop("keys"))
     some = sig.where("n > 0 and doc_id is not null")
     reps = materialize(some.groupBy("cls").agg(
         F.min(F.struct("doc_id", "h", "n", "sketch")).alias("r"))
         .select("cls", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_hash"), "r.n", "r.sketch"))
-    members = _members(some, passes)
+    members = _members(keyed.where("n > 0 and doc_id is not null"), passes)
+    release(keyed)  # the keys, by far the largest table, are dealt
     # a class meets one centre first, the smallest that it may link with
     star = _possible(members.where("cls != centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")),
                      reps, num, den).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
