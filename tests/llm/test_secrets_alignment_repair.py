@@ -176,6 +176,26 @@ def test_ids_by_words_are_those_of_whole_texts():
             assert got == (b"".join(i.to_bytes(4, "little") for i in ids) if whole else b"")
 
 
+def test_new_words_are_encoded_many_at_a_time():
+    sides = alignment.byte_level(A_PATH), alignment.sentence_pieces(B_PATH)
+    sent = [], []
+
+    def counted(side, seen):
+        return alignment.Side(lambda texts: seen.extend(texts) or side.encode(texts), side.pieces)
+
+    al = alignment.Aligner(*map(counted, sides, sent))
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choices("abcdeFGéßÜ12.,'$字", k=r.randrange(1, 14))) for _ in range(200)) for _ in range(20)]
+    texts += ["½ a▁b and ﬁ", " led by a space", "a\tb"]
+    by_words = al.tokens(texts)
+    assert all(len(x) < 120 < len(set(" ".join(texts).split())) // 10 for x in sent)
+    for s, side in enumerate(sides):
+        for t, ids, got in zip(texts, side.encode(texts), by_words[s], strict=True):
+            whole = all(b"".join(x.pieces[i] for i in x.encode([t])[0]) == (" " + t).encode() for x in sides)
+            assert got == (b"".join(i.to_bytes(4, "little") for i in ids) if whole else b"")
+    assert by_words[0][20] == b"" and all(by_words[0][:20])
+
+
 def test_links_are_expanded_in_bounded_parts(monkeypatch):
     al = alignment.Aligner(alignment.byte_level(A_PATH), alignment.sentence_pieces(B_PATH))
     whole = al.align(ALIGN_TEXTS)

@@ -33,6 +33,8 @@ BATCH_LINKS = 4_000_000
 HEAD = 1 << 20
 #: Words whose ids a worker keeps, and their longest form.
 CACHE_WORDS, CACHED_CHARS = 300_000, 40
+#: Words encoded as one text, and those of such a text that fails, in smaller ones.
+JOINED_WORDS, FEWER_WORDS = 256, 16
 #: Both tokenizers cut here whatever stands around, as no token of either holds a
 #: space after a character that is no white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -99,33 +101,57 @@ class Aligner:
         #: written[separator * rows + id]: the id and what follows it
         self.written = np.array([b"%d%b" % (i, s) for s in SEPARATORS for i in range(self.rows)], object)
 
-    def look_up(self, words: set[str]) -> list[dict[str, bytes | None]]:
-        """Per side the ids of each word with the space before it, as bytes;
-        None where the tokens' bytes don't join to it."""
-        if len(self.cache[0]) > CACHE_WORDS:
-            for c in self.cache:
-                c.clear()
-        new = [w for w in words if w not in self.cache[0]]
-        once: list[dict[str, bytes | None]] = [{}, {}]
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for side, kept, rest in zip(self.sides, self.cache, once, strict=True):
-                for w, ids in zip(part, side.encode(part), strict=True):
-                    same = b"".join(map(side.pieces.__getitem__, ids)) == b" " + w.encode()
-                    (kept if len(w) <= CACHED_CHARS else rest)[w] = np.array(ids, "<u4").tobytes() if same else None
-        return [{**kept, **rest} if rest else kept for kept, rest in zip(self.cache, once, strict=True)]
+    def encode_words(self, words: list[str], side: int) -> dict[str, bytes | None]:
+        """The ids of each distinct word with the space before it, as bytes;
+        None where the tokens' bytes don't join to it.  Words that both
+        tokenizers part at the space between them are encoded as one text; where
+        its tokens' bytes don't join to it, in smaller ones, then one by one."""
+        encode, pieces = self.sides[side]
+        out = {}
+        plain = [w for w in words if not (w[0].isspace() or w[-1].isspace())] if self.by_words else []
+        for most in (JOINED_WORDS, FEWER_WORDS):
+            joined = [plain[at:at + most] for at in range(0, len(plain), most)]
+            plain = []
+            for part, ids in zip(joined, encode([" ".join(p) for p in joined]), strict=True):
+                spaced = [b" " + w.encode() for w in part]
+                ends = np.cumsum(self.lengths[side][ids])
+                goal = np.cumsum([len(w) for w in spaced])
+                upto = np.searchsorted(ends, goal, "right")  # tokens so far
+                if len(ends) and upto.min() and (ends[upto - 1] == goal).all() \
+                        and b"".join(map(pieces.__getitem__, ids)) == b"".join(spaced):
+                    b, at = np.array(ids, "<u4").tobytes(), 0
+                    for w, to in zip(part, (upto * 4).tolist(), strict=True):
+                        out[w] = b[at:to]
+                        at = to
+                else:
+                    plain += part
+        rest = [w for w in words if w not in out]
+        for w, ids in zip(rest, encode(rest), strict=True):
+            same = b"".join(map(pieces.__getitem__, ids)) == b" " + w.encode()
+            out[w] = np.array(ids, "<u4").tobytes() if same else None
+        return out
 
     def tokens(self, texts: list[str | None]) -> list[list[bytes]]:
         """Per side the ids of each text, as bytes; none where a text is null,
         empty or not what its tokens' bytes join to."""
+        if len(self.cache[0]) > CACHE_WORDS:
+            for c in self.cache:
+                c.clear()
         words = [(CUT.split(t) if self.by_words else [t]) if t else [] for t in texts]
-        known = self.look_up(set().union(*words))
+        new = list(set().union(*words).difference(self.cache[0]))
+        for at in range(0, len(new), 4096):
+            for side, kept in enumerate(self.cache):
+                kept.update(self.encode_words(new[at:at + 4096], side))
         out = [[], []]
         for w in words:
-            ids = [list(map(k.__getitem__, w)) for k in known]
+            ids = [list(map(k.__getitem__, w)) for k in self.cache]
             whole = not any(None in x for x in ids)
             for x, o in zip(ids, out, strict=True):
                 o.append(b"".join(x) if whole else b"")
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                for c in self.cache:
+                    del c[w]
         return out
 
     def align(self, texts: list[str | None]) -> dict:
