@@ -200,6 +200,27 @@ def test_packing(docs, none):
         assert a.tolist() == b.ids
 
 
+def test_new_words_are_encoded_many_at_a_time(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    name = public_tokenizers.path("word_bpe_49k.json")
+    tok, *rest = packing._tokenizer(name)
+    sent = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(texts)
+            return tok.encode_batch_fast(texts, **kw)
+
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choices("abcdeFGéßÜ12.,'$", k=r.randrange(1, 14))) for _ in range(200)) for _ in range(20)]
+    texts += ["İstanbul e\u0301 \u1100\u1161 ½ x\x85y a\xa0b <|endoftext|> " + texts[0], "字 ſ ŉ Ⱥ"]
+    odd = {w for t in texts[20:] for w in t.split()}
+    monkeypatch.setitem(common.worker_state(), ("tokenizer", name), (Counted(), {}, *rest[1:]))
+    for a, b in zip(packing.encode(texts, name), tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert a.tolist() == b.ids
+    assert len(sent) < 30 + len(odd) < len(set(" ".join(texts[:20]).split())) // 10
+
+
 def test_place_fills_all_sequences_but_one():
     r = random.Random(4)
     for n in (1, 2, 9, 80):

@@ -31,7 +31,8 @@ CACHED_BYTES = 48
 
 
 def _tokenizer(name: str):
-    """The tokenizer and its cache of words, once per worker process."""
+    """The tokenizer, its cache of words and the bytes of each id, once per
+    worker process."""
     state = worker_state()
     if ("tokenizer", name) not in state:
         import os
@@ -39,13 +40,17 @@ def _tokenizer(name: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        state["tokenizer", name] = (Tokenizer.from_file(name), {})
+        tok = Tokenizer.from_file(name)
+        vocab = tok.get_vocab()
+        size = np.zeros(max(vocab.values()) + 1, np.int64)
+        size[list(vocab.values())] = [len(piece.removesuffix("</w>")) for piece in vocab]
+        state["tokenizer", name] = (tok, {}, size)
     return state["tokenizer", name]
 
 
 #: A comma or full stop between a letter or digit and white space: the
 #: tokenizer parts it from the word in any case.
-_STOP = re.compile(rb"(?<=[0-9A-Za-z])([.,])(?=[ \n])")
+_STOPS = ((re.compile(rb"\.(?<=[0-9A-Za-z]\.)(?=[ \n])"), b" ."), (re.compile(rb",(?<=[0-9A-Za-z],)(?=[ \n])"), b" ,"))
 #: Marks that compose with a letter before them; composing minds the case.
 _COMPOSES = re.compile(rb"\xcc|\xcd[\x80-\xaf]")
 
@@ -55,29 +60,59 @@ def words_of(text: str) -> list[bytes]:
     lower-cases and parts anyway is lower-cased and parted here."""
     b = text.encode()
     if b"<|" not in b and not _COMPOSES.search(b):
-        b = _STOP.sub(rb" \1", b).lower()
+        for stop, parted in _STOPS:
+            b = stop.sub(parted, b)
+        b = b.lower()
     return b.split()
 
 
+#: Words of these characters keep their bytes' number in the tokenizer's
+#: normal form: printable ASCII and U+00C0 to U+017F but U+0130.
+_PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+")
+#: Words encoded as one text.
+JOINED_WORDS = 256
+
+
+def encode_words(words: list[bytes], tok, size: np.ndarray) -> dict[bytes, bytes]:
+    """Ids of distinct words, as bytes.  Words whose bytes can be counted off in
+    the tokens are encoded as one text, as no token reaches over white space;
+    others, and those of a text that doesn't count up, one by one."""
+    plain = [w for w in words if _PLAIN.fullmatch(w) and b"<|" not in w]
+    joined = [plain[at:at + JOINED_WORDS] for at in range(0, len(plain), JOINED_WORDS)]
+    out = {}
+    for part, e in zip(joined, tok.encode_batch_fast([b" ".join(p).decode() for p in joined], add_special_tokens=False),
+                       strict=True):
+        ids = np.array(e.ids, "<u4")
+        ends, goal = np.cumsum(size[ids]), np.cumsum([len(w) for w in part])
+        upto = np.searchsorted(ends, goal, "right")  # tokens so far
+        if len(ends) and upto.min() and ends[-1] == goal[-1] and (ends[upto - 1] == goal).all():
+            b, at = ids.tobytes(), 0
+            for w, to in zip(part, (upto * 4).tolist(), strict=True):
+                out[w] = b[at:to]
+                at = to
+    rest = [w for w in words if w not in out]
+    for w, e in zip(rest, tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+        out[w] = np.array(e.ids, "<u4").tobytes()
+    return out
+
+
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of whole texts.  The tokenizer drops white space between words and
     never looks across it, so a text's ids are those of its words (split at
     ASCII white space); frequent words are looked up."""
-    tok, cache = _tokenizer(path)
+    tok, cache, size = _tokenizer(path)
     if len(cache) > CACHE_WORDS:
         cache.clear()
     split = [words_of(t) for t in texts]
-    seen = set()
-    for words in split:
-        seen.update(words)
-    new = [w for w in seen if w not in cache]
-    once = {}
+    new = list(set().union(*split).difference(cache))
     for at in range(0, len(new), 4096):
-        part = new[at:at + 4096]
-        for w, e in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            (cache if len(w) <= CACHED_BYTES else once)[w] = np.array(e.ids, "<u4").tobytes()
-    get = {**cache, **once}.__getitem__ if once else cache.__getitem__
-    return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+        cache.update(encode_words(new[at:at + 4096], tok, size))
+    get = cache.__getitem__
+    out = [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+    for w in new:
+        if len(w) > CACHED_BYTES:
+            del cache[w]
+    return out
 
 
 def crc(ids: np.ndarray) -> int:
