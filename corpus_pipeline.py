@@ -17,7 +17,8 @@ LEAST_LANGUAGE = 0.3
 SHINGLE, SIMILAR = 5, 80
 #: Passes over the bucket keys: more of them hold less on disk at a time.
 KEY_PASSES = 4
-
+#: Words that packing keeps per worker: its executors hold what four stages left.
+CACHE_WORDS = 200_000
 
 #: Spark's bound on the bytes of a batch that goes to a Python worker.
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
@@ -72,7 +73,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens; null texts are empty ones."""
     spark.conf.set(*BATCH_BYTES)
-    return packing.pack(docs, queries.tokenizer_path())
+    return packing.pack(docs, queries.tokenizer_path(), cache_words=CACHE_WORDS)
 
 
 STAGES = [

@@ -16,7 +16,8 @@ agrees on a part that isn't thin).
 Equal sets are folded into classes first.  In each bucket of equal parts, the
 members are verified against one centre, links are contracted, and only buckets
 that still span several components are compared further, under a second parity
-sketch of 512 bits whose Hamming distance bounds the difference from below."""
+sketch of 512 bits whose Hamming distance bounds the difference from below.
+Sets that share many buckets without a link are compared once, not per bucket."""
 
 from __future__ import annotations
 
@@ -146,10 +147,10 @@ def _verify(num: int, den: int):
 
 
 def _may_link(n, sketch, n2, sketch2, num: int, den: int):
-    """False where sizes or the sketches' Hamming distance rule a link out."""
+    """False where sizes or the sketches' Hamming distance rule a link out: two
+    sets with a link differ in (n + n2) * (den - num) / (den + num) at most."""
     apart = sum((F.bit_count(sketch[i].bitwiseXOR(sketch2[i])) for i in range(SKETCH // 64)), F.lit(0))
-    small = F.least(n, n2)
-    return (den * small >= num * F.greatest(n, n2)) & (apart * num <= small * (den - num))
+    return (den * F.least(n, n2) >= num * F.greatest(n, n2)) & (apart * (den + num) <= (n + n2) * (den - num))
 
 
 def _possible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -189,6 +190,26 @@ def _members(sets: DataFrame, passes: int) -> DataFrame:
     return reduce(DataFrame.unionByName, [one(i) for i in range(passes)])
 
 
+def _families(open_: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(key, cls, c) with fewer pairs a key, from open buckets (key, cls, c) and
+    their sizes (key, m classes, m2: squares of m by component, added up).
+
+    Versions of a text meet in many buckets.  Buckets that share classes, directly
+    or by others, are one family, and no pair reaches beyond it.  A family with
+    fewer pairs than its buckets have together becomes one bucket; others stay."""
+    family = components(open_.select(F.col("cls").alias("a"), F.col("key").alias("b"))) \
+        .select(F.col("vertex").alias("v"), F.col("component").alias("family"))
+    named = materialize(open_.select("key", "cls", "c").join(family.withColumnRenamed("v", "cls"), "cls"))
+    one = named.select("family", "cls", "c").distinct()
+    pairs = one.groupBy("family", "c").agg(F.count("*").alias("f")).groupBy("family").agg(
+        (F.sum("f") * F.sum("f") - F.sum(F.col("f") * F.col("f"))).alias("pairs"))
+    in_buckets = buckets.join(family.withColumnRenamed("v", "key"), "key").groupBy("family").agg(
+        F.sum(F.col("m") * F.col("m") - F.col("m2")).alias("in_buckets"))
+    fold = materialize(pairs.join(in_buckets, "family").where("pairs < in_buckets").select("family"))
+    return materialize(one.join(fold, "family").select(F.col("family").alias("key"), "cls", "c").unionByName(
+        named.join(fold, "family", "left_anti").select("key", "cls", "c")))
+
+
 def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int = 3,
                        passes: int = KEY_PASSES) -> DataFrame:
     """Near-duplicate groups of (doc_id, text): one row per input row with
@@ -233,10 +254,12 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
         cross, rows = one.agg(F.sum((F.col("m") * F.col("m") - F.col("m2")) / 2), F.sum("m")).first()
         if not rows:
             break
-        rich = open_.join(reps.select("cls", "n", "sketch"), "cls")
         # further centres are of use only while they join what is open
-        last = cross <= 64 * rows or star == STAR_ROUNDS or (before is not None and 4 * cross > 3 * before)
+        last = cross <= 2 * rows or star == STAR_ROUNDS or (before is not None and 4 * cross > 3 * before)
         before = cross
+        if last:
+            open_ = _families(open_, one)
+        rich = open_.join(reps.select("cls", "n", "sketch"), "cls")
         if last:
             other = rich
         else:  # one centre more per bucket, by another order each round

@@ -96,15 +96,22 @@ def encode_words(words: list[bytes], tok, size: np.ndarray) -> dict[bytes, bytes
     return out
 
 
-def encode(texts: list[str], path: str) -> list[np.ndarray]:
+def encode(texts: list[str], path: str, cache_words: int = CACHE_WORDS) -> list[np.ndarray]:
     """Ids of whole texts.  The tokenizer drops white space between words and
     never looks across it, so a text's ids are those of its words (split at
-    ASCII white space); frequent words are looked up."""
+    ASCII white space); frequent words are looked up.  The cache has two halves
+    of about cache_words / 2: when the younger is full it becomes the older, and
+    a word found there goes into the younger again."""
     tok, cache, size = _tokenizer(path)
-    if len(cache) > CACHE_WORDS:
+    state = worker_state()
+    if 2 * len(cache) > cache_words:
+        state["older words", path] = dict(cache)
         cache.clear()
+    older = state.get(("older words", path), {})
     split = [words_of(t) for t in texts]
-    new = list(set().union(*split).difference(cache))
+    missing = set().union(*split).difference(cache)
+    cache.update((w, older[w]) for w in missing if w in older)
+    new = list(missing.difference(older))
     for at in range(0, len(new), 4096):
         cache.update(encode_words(new[at:at + 4096], tok, size))
     get = cache.__getitem__
@@ -119,7 +126,7 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, capacity: int, end_id: int, cache_words: int = CACHE_WORDS):
     """One row per full window (no ids) and one for the rest (its ids)."""
     def run(batches):
         for b in batches:
@@ -131,7 +138,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                     size += len(texts[upto])
                     upto += 1
                 doc, start, length, crcs, total, ids = [], [], [], [], [], []
-                for i, e in enumerate(encode(texts[at:upto], path), at):
+                for i, e in enumerate(encode(texts[at:upto], path, cache_words), at):
                     e = np.append(e, np.uint32(end_id)).astype("<u4")
                     for s in range(0, len(e), capacity):
                         piece = e[s:s + capacity]
@@ -209,18 +216,18 @@ def _pack(capacity: int):
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-         shard_chars: int = SHARD_CHARS) -> DataFrame:
+         shard_chars: int = SHARD_CHARS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(doc_id, text) -> one row per piece: doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset.
 
     Null and empty texts are one id, the end id.  Repeated rows are packed as
     often as they come; a null doc_id stays null.  Equal lengths are placed in
     order of doc_id.  An empty table gives no rows; other columns are not read.
-    Rerun on the same rows, the result is the same."""
+    Rerun on the same rows, the result is the same, whatever cache_words is."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = 1 + chars // shard_chars
-    pieces = docs.mapInArrow(_pieces(tokenizer_path, capacity, end_id),
+    pieces = docs.mapInArrow(_pieces(tokenizer_path, capacity, end_id, cache_words),
                              "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, "
                              "doc_tokens bigint, ids binary")
     return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards))) \
