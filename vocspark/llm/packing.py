@@ -67,8 +67,15 @@ def words_of(text: str) -> list[bytes]:
 
 
 #: Words of these characters keep their bytes' number in the tokenizer's
-#: normal form: printable ASCII and U+00C0 to U+017F but U+0130.
-_PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+")
+#: normal form: printable ASCII and U+00C0 to U+017F but U+0130.  A text of
+#: such words, parted by spaces, is known as a whole.
+_PLAIN = re.compile(rb"[ -~\xc3-\xc5\x80-\xbf]+")
+
+
+def plain(b: bytes) -> bool:
+    return _PLAIN.fullmatch(b) is not None and b"\xc4\xb0" not in b and b"<|" not in b
+
+
 #: Words encoded as one text.
 JOINED_WORDS = 256
 
@@ -77,15 +84,19 @@ def encode_words(words: list[bytes], tok, size: np.ndarray) -> dict[bytes, bytes
     """Ids of distinct words, as bytes.  Words whose bytes can be counted off in
     the tokens are encoded as one text, as no token reaches over white space;
     others, and those of a text that doesn't count up, one by one."""
-    plain = [w for w in words if _PLAIN.fullmatch(w) and b"<|" not in w]
-    joined = [plain[at:at + JOINED_WORDS] for at in range(0, len(plain), JOINED_WORDS)]
+    parts = []
+    for at in range(0, len(words), JOINED_WORDS):
+        part = words[at:at + JOINED_WORDS]
+        if not plain(b := b" ".join(part)):
+            part = [w for w in part if plain(w)]
+            b = b" ".join(part)
+        parts.append((part, b.decode()))
     out = {}
-    for part, e in zip(joined, tok.encode_batch_fast([b" ".join(p).decode() for p in joined], add_special_tokens=False),
-                       strict=True):
+    for (part, _), e in zip(parts, tok.encode_batch_fast([t for _, t in parts], add_special_tokens=False), strict=True):
         ids = np.array(e.ids, "<u4")
-        ends, goal = np.cumsum(size[ids]), np.cumsum([len(w) for w in part])
+        ends, goal = np.cumsum(size[ids]), np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
         upto = np.searchsorted(ends, goal, "right")  # tokens so far
-        if len(ends) and upto.min() and ends[-1] == goal[-1] and (ends[upto - 1] == goal).all():
+        if len(ends) and len(goal) and upto.min() and ends[-1] == goal[-1] and (ends[upto - 1] == goal).all():
             b, at = ids.tobytes(), 0
             for w, to in zip(part, (upto * 4).tolist(), strict=True):
                 out[w] = b[at:to]
@@ -96,6 +107,15 @@ def encode_words(words: list[bytes], tok, size: np.ndarray) -> dict[bytes, bytes
     return out
 
 
+def gaps_of(ids: list) -> list[int]:
+    """Places of None."""
+    places, at = [], -1
+    for _ in range(ids.count(None)):
+        at = ids.index(None, at + 1)
+        places.append(at)
+    return places
+
+
 def encode(texts: list[str], path: str, cache_words: int = CACHE_WORDS) -> list[np.ndarray]:
     """Ids of whole texts.  The tokenizer drops white space between words and
     never looks across it, so a text's ids are those of its words (split at
@@ -109,13 +129,18 @@ def encode(texts: list[str], path: str, cache_words: int = CACHE_WORDS) -> list[
         cache.clear()
     older = state.get(("older words", path), {})
     split = [words_of(t) for t in texts]
-    missing = set().union(*split).difference(cache)
+    # one look-up a word; what the cache lacks is None, and its places are filled in later
+    found = [list(map(cache.get, words)) for words in split]
+    gaps = [gaps_of(ids) for ids in found]
+    missing = {words[at] for words, places in zip(split, gaps, strict=True) for at in places}
     cache.update((w, older[w]) for w in missing if w in older)
     new = list(missing.difference(older))
     for at in range(0, len(new), 4096):
         cache.update(encode_words(new[at:at + 4096], tok, size))
-    get = cache.__getitem__
-    out = [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+    for words, ids, places in zip(split, found, gaps, strict=True):
+        for at in places:
+            ids[at] = cache[words[at]]
+    out = [np.frombuffer(b"".join(ids), "<u4") for ids in found]
     for w in new:
         if len(w) > CACHED_BYTES:
             del cache[w]
@@ -128,9 +153,13 @@ def crc(ids: np.ndarray) -> int:
 
 def _pieces(path: str, capacity: int, end_id: int, cache_words: int = CACHE_WORDS):
     """One row per full window (no ids) and one for the rest (its ids)."""
+    end = np.uint32(end_id).astype("<u4").tobytes()
+
     def run(batches):
+        # in two bytes where all ids fit
+        width = 2 if max(len(_tokenizer(path)[2]) - 1, end_id) < 65536 else 4
         for b in batches:
-            at, docs = 0, b.column("doc_id")
+            at, docs = 0, b.column("doc_id").to_pylist()
             texts = [t or "" for t in b.column("text").to_pylist()]
             while at < len(texts):
                 upto, size = at, 0
@@ -139,17 +168,16 @@ def _pieces(path: str, capacity: int, end_id: int, cache_words: int = CACHE_WORD
                     upto += 1
                 doc, start, length, crcs, total, ids = [], [], [], [], [], []
                 for i, e in enumerate(encode(texts[at:upto], path, cache_words), at):
-                    e = np.append(e, np.uint32(end_id)).astype("<u4")
-                    for s in range(0, len(e), capacity):
-                        piece = e[s:s + capacity]
-                        doc.append(docs[i].as_py())
+                    every = e.tobytes() + end
+                    for s in range(0, len(e) + 1, capacity):
+                        piece = every[4 * s:4 * (s + capacity)]
+                        doc.append(docs[i])
                         start.append(s)
-                        length.append(len(piece))
-                        total.append(len(e))
-                        crcs.append(crc(piece))
-                        small = piece.astype("<u2") if piece.max() < 65536 else piece
-                        ids.append(None if len(piece) == capacity else
-                                   bytes([small.itemsize]) + small.tobytes())
+                        length.append(len(piece) // 4)
+                        total.append(len(e) + 1)
+                        crcs.append(zlib.crc32(piece))
+                        ids.append(None if len(piece) == 4 * capacity else
+                                   bytes([width]) + np.frombuffer(piece, "<u4").astype(f"<u{width}").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                      pa.array(crcs, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())],
