@@ -17,7 +17,10 @@ Equal sets are folded into classes first.  In each bucket of equal parts, the
 members are verified against one centre, links are contracted, and only buckets
 that still span several components are compared further, under a second parity
 sketch of 512 bits whose Hamming distance bounds the difference from below.
-Sets that share many buckets without a link are compared once, not per bucket."""
+Sets that share many buckets without a link are compared once, not per bucket.
+
+Wide buckets (crowds about one text, or all that hold one passage) are not
+compared in pairs but by what sets each class apart from a centre, see `_apart`."""
 
 from __future__ import annotations
 
@@ -34,6 +37,8 @@ from .common import MASK, components, materialize, mix64, release
 SKETCH = 512
 BAND_RATIO = 1.35
 STAR_ROUNDS = 3
+#: In buckets of up to so many classes the last round compares all pairs.
+WIDE = 256
 #: The keys are dealt in so many passes, so that one pass's share is on disk at a time.
 KEY_PASSES = 2
 
@@ -146,6 +151,40 @@ def _verify(num: int, den: int):
     return run
 
 
+def _apart(num: int, den: int):
+    """What sets the set x of a class apart from that of its centre z: n, the
+    size d of their symmetric difference, whether they link (exact), and the
+    first elements of the difference, those not in z before those in z.
+
+    Let T be the most that linked x and y differ in.  If they share nothing of
+    their differences, those have T elements at most together, and both link with
+    z.  Else, unless both link with z, they share (d + d2 - T) / 2 elements: d less
+    T at least, and more than d * num / (den + num) if x links with z.  So they
+    meet in an element when each gives as many first ones as are left, and one."""
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                n, d, near, heads, offsets = [], [], [], [np.zeros(0, np.uint64)], [0]
+                for x, z in zip(part.column(3), part.column(4), strict=True):
+                    p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, z))
+                    apart = np.concatenate([np.setdiff1d(p, q, assume_unique=True),
+                                            np.setdiff1d(q, p, assume_unique=True)])
+                    n.append(len(p))
+                    d.append(len(apart))
+                    near.append(len(apart) * (den + num) <= (len(p) + len(q)) * (den - num))
+                    least = max(1, len(apart) - len(p) * (den - num) // num)
+                    if near[-1]:
+                        least = max(least, len(apart) * num // (den + num) + 1)
+                    heads.append(apart[:max(0, len(apart) - least + 1)])
+                    offsets.append(offsets[-1] + len(heads[-1]))
+                yield pa.RecordBatch.from_arrays([
+                    *part.columns[:3], pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(near, pa.bool_()),
+                    pa.ListArray.from_arrays(np.array(offsets, np.int32), np.concatenate(heads).view(np.int64))],
+                    ["centre", "cls", "c", "n", "d", "near", "heads"])
+    return run
+
+
 def _may_link(n, sketch, n2, sketch2, num: int, den: int):
     """False where sizes or the sketches' Hamming distance rule a link out: two
     sets with a link differ in (n + n2) * (den - num) / (den + num) at most."""
@@ -161,14 +200,18 @@ def _possible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFram
         .where(_may_link(F.col("n1"), F.col("s1"), F.col("n2"), F.col("s2"), num, den)).select("a", "b")
 
 
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
-    """Verified links among possible class pairs (a, b), from whole texts."""
-    pairs = materialize(pairs)
-    need = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+def _sets_of(need: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(cls, shingles) of the classes in `need`, from whole texts."""
     texts = need.join(reps, "cls").select("cls", F.col("rep").alias("doc_id"), "rep_hash") \
         .join(docs.withColumn("rep_hash", F.xxhash64("text")), ["doc_id", "rep_hash"]) \
         .dropDuplicates(["doc_id", "rep_hash"]).select("cls", "text")  # as joined: no exchange
-    sets = materialize(texts.mapInArrow(_sets(k), "cls bigint, shingles binary"))
+    return materialize(texts.mapInArrow(_sets(k), "cls bigint, shingles binary"))
+
+
+def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """Verified links among possible class pairs (a, b), from whole texts."""
+    pairs = materialize(pairs)
+    sets = _sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), reps, docs, k)
     joined = pairs.join(sets.withColumnsRenamed({"cls": "a", "shingles": "sa"}), "a") \
         .join(sets.withColumnsRenamed({"cls": "b", "shingles": "sb"}), "b")
     links = materialize(joined.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a bigint, b bigint"))
@@ -210,6 +253,39 @@ def _families(open_: DataFrame, buckets: DataFrame) -> DataFrame:
         named.join(fold, "family", "left_anti").select("key", "cls", "c")))
 
 
+def _wide_pairs(wide: DataFrame, reps: DataFrame, docs: DataFrame, num: int, den: int,
+                k: int) -> tuple[DataFrame, DataFrame]:
+    """Links with centres, and further class pairs (a, b) that may link, which
+    together join what links in the buckets (key, cls, c).
+
+    A bucket's centre is the class in most of the buckets, so that those of one
+    crowd have few; buckets with one centre are one group.  A class gives the
+    group its first differences, and pairs that meet in one are kept where what
+    is left from there on, in both, is as much as they need to share."""
+    degree = wide.groupBy("cls").agg(F.count("*").alias("buckets"))
+    first = F.min(F.struct((-F.col("buckets")).alias("o"), F.xxhash64("cls").alias("h"), "cls")).alias("z")
+    centres = wide.join(degree, "cls").groupBy("key").agg(first).select("key", F.col("z.cls").alias("centre"))
+    groups = materialize(wide.join(centres, "key").select("centre", "cls", "c").distinct())
+    sets = _sets_of(groups.select("cls").distinct(), reps, docs, k)
+    apart = materialize(
+        groups.join(sets, "cls").join(sets.withColumnsRenamed({"cls": "centre", "shingles": "z"}), "centre")
+        .select("centre", "cls", "c", "shingles", "z").mapInArrow(
+            _apart(num, den),
+            "centre bigint, cls bigint, c bigint, n bigint, d bigint, near boolean, heads array<bigint>"))
+    release(groups, sets)
+    star = apart.where("near and cls != centre").select(
+        F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
+    heads = apart.repartition("centre", "cls").select("*", F.posexplode("heads").alias("at", "e")) \
+        .withColumn("left", F.col("d") - F.col("at")).drop("heads", "at")
+    other = heads.withColumnsRenamed({x: f"{x}2" for x in ("cls", "c", "n", "d", "near", "left")})
+    need = (F.col("d") + F.col("d2")) * (den + num) - (F.col("n") + F.col("n2")) * (den - num)
+    pairs = heads.join(other, ["centre", "e"]).where(
+        (F.col("cls") < F.col("cls2")) & (F.col("c") != F.col("c2")) & ~(F.col("near") & F.col("near2"))
+        & (den * F.least("n", "n2") >= num * F.greatest("n", "n2"))
+        & (need <= 2 * (den + num) * F.least("left", "left2")))
+    return star, _possible(pairs.select(F.col("cls").alias("a"), F.col("cls2").alias("b")), reps, num, den)
+
+
 def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int = 3,
                        passes: int = KEY_PASSES) -> DataFrame:
     """Near-duplicate groups of (doc_id, text): one row per input row with
@@ -257,8 +333,11 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
         # further centres are of use only while they join what is open
         last = cross <= 2 * rows or star == STAR_ROUNDS or (before is not None and 4 * cross > 3 * before)
         before = cross
+        found = []
         if last:
-            open_ = _families(open_, one)
+            if not one.where(F.col("m") > WIDE).isEmpty():
+                found = _wide_pairs(open_.where(F.col("m") > WIDE).select("key", "cls", "c"), reps, docs, num, den, k)
+            open_ = _families(open_.where(F.col("m") <= WIDE), one)
         rich = open_.join(reps.select("cls", "n", "sketch"), "cls")
         if last:
             other = rich
@@ -273,6 +352,8 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
             cond = cond & (F.col("cls") < F.col("cls2"))
         pairs = rich.alias("x").join(other, "key").where(cond).select(
             F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"))
+        if found:
+            pairs, links = pairs.union(found[1]), links.union(found[0])
         more = _links(pairs.distinct(), reps, docs, num, den, k)
         links = materialize(links.union(more).distinct())
         if last:
