@@ -19,6 +19,11 @@ that still span several components are compared further, under a second parity
 sketch of 512 bits whose Hamming distance bounds the difference from below.
 Sets that share many buckets without a link are compared once, not per bucket.
 
+Before the sets of a pair are brought together, a sketch as long as the larger
+set rules out what the 512 bits, soon full, don't; pairs and differences are then
+joined in passes, so that no more than about the sets of all classes, once more,
+is on disk at a time however many pairs there are.
+
 Wide buckets (crowds about one text, or all that hold one passage) are not
 compared in pairs but by what sets each class apart from a centre, see `_apart`."""
 
@@ -39,6 +44,8 @@ BAND_RATIO = 1.35
 STAR_ROUNDS = 3
 #: In buckets of up to so many classes the last round compares all pairs.
 WIDE = 256
+#: A pass carries so many shingles at least.
+PASS_SHINGLES = 1 << 24
 #: The keys are dealt in so many passes, so that one pass's share is on disk at a time.
 KEY_PASSES = 2
 
@@ -102,17 +109,38 @@ def sketch_of(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def long_sketch(s: np.ndarray) -> bytes:
+    """A parity sketch of two bits a shingle or more, a power of two: it folds to
+    any shorter one.  Empty where `sketch_of` is as long."""
+    bits = 1 << max(0, 2 * len(s) - 1).bit_length()
+    if bits <= SKETCH:
+        return b""
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1)
+                       .astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """Two sets of these long sketches differ in so many shingles at least."""
+    p, q = (np.frombuffer(v, np.uint64) for v in (x, y))
+    if len(p) > len(q):
+        p, q = q, p
+    if not len(p):
+        return 0
+    return int(np.bitwise_count(np.bitwise_xor.reduce(q.reshape(-1, len(p)), axis=0) ^ p).sum())
+
+
 def _signature(num: int, den: int, k: int):
     def run(batches):
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             for at in range(0, len(ids), 512):
-                n, cls, sk, keys, offsets = [], [], [], [], [0]
+                n, cls, sk, long, keys, offsets = [], [], [], [], [], [0]
                 for t in texts[at:at + 512]:
                     s = shingles(t.as_py(), k)
                     n.append(len(s))
                     cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0)
                     sk.append(sketch_of(s))
+                    long.append(long_sketch(s))
                     keys.append(part_keys(s, num, den))
                     offsets.append(offsets[-1] + len(keys[-1]))
                 yield pa.RecordBatch.from_arrays([
@@ -120,9 +148,10 @@ def _signature(num: int, den: int, k: int):
                     pa.array(np.array(cls, np.uint64).view(np.int64)),
                     pa.FixedSizeListArray.from_arrays(np.concatenate(sk), SKETCH // 64)
                     .cast(pa.list_(pa.int64())),
+                    pa.array(long, pa.binary()),
                     pa.ListArray.from_arrays(np.array(offsets, np.int32),
                                              np.concatenate(keys).view(np.int64))],
-                    ["doc_id", "n", "cls", "sketch", "keys"])
+                    ["doc_id", "n", "cls", "sketch", "long", "keys"])
     return run
 
 
@@ -151,6 +180,18 @@ def _verify(num: int, den: int):
     return run
 
 
+def _near(num: int, den: int):
+    """The pairs of (a, b, n, long, n2, long2) that the long sketches don't rule out."""
+    def run(batches):
+        for b in batches:
+            x, y = b.column(3), b.column(5)
+            apart = np.array([least_apart(p.as_py(), q.as_py()) for p, q in zip(x, y, strict=True)], np.int64)
+            both = b.column(2).to_numpy() + b.column(4).to_numpy()
+            keep = pa.array(apart * (den + num) <= both * (den - num), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in (0, 1, 2)], ["a", "b", "n"])
+    return run
+
+
 def _apart(num: int, den: int):
     """What sets the set x of a class apart from that of its centre z: n, the
     size d of their symmetric difference, whether they link (exact), and the
@@ -200,6 +241,19 @@ def _possible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFram
         .where(_may_link(F.col("n1"), F.col("s1"), F.col("n2"), F.col("s2"), num, den)).select("a", "b")
 
 
+def _passes(weights: DataFrame, reps: DataFrame, parts: int) -> int:
+    """Passes over rows of (n), the shingles that each carries, so that one pass
+    has no more of them than all classes have, divided by `parts`."""
+    carried, whole = weights.toDF("n").select("n", F.lit(0).alias("all")).union(reps.select(F.lit(0), "n")) \
+        .agg(F.sum("n"), F.sum("all")).first()
+    return max(1, -(-(carried or 0) // max(PASS_SHINGLES, (whole or 0) // parts)))
+
+
+def _share(rows: DataFrame, passes: int, i: int, *cols: str) -> DataFrame:
+    """The rows of pass i: each row is in one."""
+    return rows.where(F.pmod(F.xxhash64(*cols), F.lit(passes)) == i) if passes > 1 else rows
+
+
 def _sets_of(need: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(cls, shingles) of the classes in `need`, from whole texts."""
     texts = need.join(reps, "cls").select("cls", F.col("rep").alias("doc_id"), "rep_hash") \
@@ -209,13 +263,24 @@ def _sets_of(need: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataF
 
 
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
-    """Verified links among possible class pairs (a, b), from whole texts."""
-    pairs = materialize(pairs)
-    sets = _sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), reps, docs, k)
-    joined = pairs.join(sets.withColumnsRenamed({"cls": "a", "shingles": "sa"}), "a") \
-        .join(sets.withColumnsRenamed({"cls": "b", "shingles": "sb"}), "b")
-    links = materialize(joined.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a bigint, b bigint"))
-    release(pairs, sets)
+    """Verified links among possible class pairs (a, b), from whole texts: of those
+    that the long sketches don't rule out, in passes that each hold a bounded
+    share of the sets side by side."""
+    possible = materialize(pairs)
+    info = reps.select("cls", "n", "long")
+    near = materialize(possible.join(info.toDF("a", "n", "long"), "a").join(info.toDF("b", "n2", "long2"), "b")
+                       .select("a", "b", "n", "long", "n2", "long2")
+                       .mapInArrow(_near(num, den), "a bigint, b bigint, n bigint"))
+    passes = _passes(near.select("n"), reps, 2)
+    sets = _sets_of(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct(), reps, docs, k)
+
+    def one(i: int) -> DataFrame:
+        joined = _share(near, passes, i, "a", "b").join(sets.withColumnsRenamed({"cls": "a", "shingles": "sa"}), "a") \
+            .join(sets.withColumnsRenamed({"cls": "b", "shingles": "sb"}), "b")
+        return materialize(joined.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a bigint, b bigint"))
+
+    links = reduce(DataFrame.unionByName, [one(i) for i in range(passes)])
+    release(possible, near, sets)
     return links
 
 
@@ -267,23 +332,36 @@ def _wide_pairs(wide: DataFrame, reps: DataFrame, docs: DataFrame, num: int, den
     centres = wide.join(degree, "cls").groupBy("key").agg(first).select("key", F.col("z.cls").alias("centre"))
     groups = materialize(wide.join(centres, "key").select("centre", "cls", "c").distinct())
     sets = _sets_of(groups.select("cls").distinct(), reps, docs, k)
-    apart = materialize(
-        groups.join(sets, "cls").join(sets.withColumnsRenamed({"cls": "centre", "shingles": "z"}), "centre")
+    passes = _passes(groups.join(reps, "cls").select("n"), reps, 2)
+    apart = reduce(DataFrame.unionByName, [materialize(
+        _share(groups, passes, i, "centre", "cls").join(sets, "cls")
+        .join(sets.withColumnsRenamed({"cls": "centre", "shingles": "z"}), "centre")
         .select("centre", "cls", "c", "shingles", "z").mapInArrow(
             _apart(num, den),
             "centre bigint, cls bigint, c bigint, n bigint, d bigint, near boolean, heads array<bigint>"))
+        for i in range(passes)])
     release(groups, sets)
     star = apart.where("near and cls != centre").select(
         F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
-    heads = apart.repartition("centre", "cls").select("*", F.posexplode("heads").alias("at", "e")) \
-        .withColumn("left", F.col("d") - F.col("at")).drop("heads", "at")
-    other = heads.withColumnsRenamed({x: f"{x}2" for x in ("cls", "c", "n", "d", "near", "left")})
     need = (F.col("d") + F.col("d2")) * (den + num) - (F.col("n") + F.col("n2")) * (den - num)
-    pairs = heads.join(other, ["centre", "e"]).where(
-        (F.col("cls") < F.col("cls2")) & (F.col("c") != F.col("c2")) & ~(F.col("near") & F.col("near2"))
-        & (den * F.least("n", "n2") >= num * F.greatest("n", "n2"))
-        & (need <= 2 * (den + num) * F.least("left", "left2")))
-    return star, _possible(pairs.select(F.col("cls").alias("a"), F.col("cls2").alias("b")), reps, num, den)
+    passes = _passes(apart.select(F.size("heads") * 8), reps, 2)  # a row an element, of eight numbers
+
+    def one(i: int) -> DataFrame:
+        mine = F.filter(F.transform("heads", lambda e, at: F.struct(at.alias("at"), e.alias("e"))),
+                        lambda x: F.pmod(x["e"], F.lit(passes)) == i)
+        heads = apart.withColumn("heads", mine).repartition("centre", "cls") \
+            .select("*", F.explode("heads").alias("h")) \
+            .select("centre", "cls", "c", "n", "d", "near", "h.e", (F.col("d") - F.col("h.at")).alias("left"))
+        other = heads.withColumnsRenamed({x: f"{x}2" for x in ("cls", "c", "n", "d", "near", "left")})
+        pairs = heads.join(other, ["centre", "e"]).where(
+            (F.col("cls") < F.col("cls2")) & (F.col("c") != F.col("c2")) & ~(F.col("near") & F.col("near2"))
+            & (den * F.least("n", "n2") >= num * F.greatest("n", "n2"))
+            & (need <= 2 * (den + num) * F.least("left", "left2"))) \
+            .select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
+        return materialize(pairs.distinct()) if passes > 1 else pairs
+
+    pairs = reduce(DataFrame.unionByName, [one(i) for i in range(passes)])
+    return star, _possible(pairs, reps, num, den)
 
 
 def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int = 3,
@@ -300,12 +378,12 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, k: int =
     docs = docs.select("doc_id", "text")
     keyed = materialize(docs.withColumn("h", F.xxhash64("text")).mapInArrow(
         _with_hash(_signature(num, den, k)),
-        "doc_id bigint, h bigint, n bigint, cls bigint, sketch array<bigint>, keys array<bigint>"))
-    sig = materialize(keyed.drop("keys"))
+        "doc_id bigint, h bigint, n bigint, cls bigint, sketch array<bigint>, long binary, keys array<bigint>"))
+    sig = materialize(keyed.select("doc_id", "n", "cls"))
     some = sig.where("n > 0 and doc_id is not null")
-    reps = materialize(some.groupBy("cls").agg(
-        F.min(F.struct("doc_id", "h", "n", "sketch")).alias("r"))
-        .select("cls", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_hash"), "r.n", "r.sketch"))
+    reps = materialize(keyed.where("n > 0 and doc_id is not null").groupBy("cls").agg(
+        F.min(F.struct("doc_id", "h", "n", "sketch", "long")).alias("r"))
+        .select("cls", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_hash"), "r.n", "r.sketch", "r.long"))
     members = _members(keyed.where("n > 0 and doc_id is not null"), passes)
     release(keyed)  # the keys, by far the largest table, are dealt
     # a class meets one centre first, the smallest that it may link with
