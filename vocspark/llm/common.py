@@ -23,14 +23,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables that `materialize` wrote.  Only for those whose readers
     are all written themselves: a frame still to run must not read them."""
     for t in tables:
         for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
-            spark = t.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(t.sparkSession, folder)
 
 
 def worker_state() -> dict:

@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs.
 
 Vectors are dealt to shards by hash.  Each shard folds equal vectors into one
-node that counts as often as it has ids, builds its graph in one task, audits it
-and links its own vectors.  Every vector then queries every other shard, in
-blocks that meet each graph once and are audited too.  An audit asks a set number
+node that counts as often as it has ids, builds its graph in one task, audits it,
+links its own vectors and writes the graph to the shared folder, once.  Every vector
+then queries every other shard, in blocks that read one graph after the other and
+are audited too.  An audit asks a set number
 of probes, nodes turned away from themselves to a cosine just above the threshold,
 whose link is known without a scan whether or not the vectors have any, and scans
 a set number of the queries for links of their own; the beam widens until it finds
@@ -16,13 +17,15 @@ components it touches in a shard, never all pairs of a group."""
 from __future__ import annotations
 
 import io
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix64
+from .common import components, materialize, mix64, release, remove, shared_dir
+from .warc import _store
 
 THRESHOLD = 0.95
 #: Vectors in a shard at most (about), and shards at least.
@@ -40,6 +43,8 @@ INSIDE = 0.02
 SCAN = 1 << 40
 #: Vectors of one block of queries, about.
 BLOCK = 8192
+#: Pairs that a scan may find at a time, and that are verified at a time.
+SCAN_PAIRS, VERIFY_PAIRS = 1 << 20, 1 << 14
 
 
 class Layer:
@@ -214,20 +219,29 @@ class Graph:
         return np.concatenate(a or [np.zeros(0, int)]), np.concatenate(b or [np.zeros(0, int)])
 
     def links(self, raw: np.ndarray, twin: np.ndarray, threshold: float, beam: int | None = None):
-        """For each block of queries: its bounds and (query, node) of every link
-        found but the one with the query's equal, verified in double precision."""
+        """For blocks of queries: bounds and (query, node) of every link found but
+        the one with the query's equal, verified in double precision.  All of a
+        query's links come at once; scanned queries come apart, a few at a time."""
         norm = np.sqrt((raw * raw).sum(1))
         unit = (raw / norm[:, None]).astype(np.float32)
         floor, side = np.float32(threshold - 1e-4), self._side()
+        few = max(1, SCAN_PAIRS // max(len(self.ids), 1))
+
+        def verified(x, y):
+            other = y != twin[x]
+            x, y = x[other], y[other]
+            keep = np.zeros(len(x), bool)
+            for k in range(0, len(x), VERIFY_PAIRS):
+                s = slice(k, k + VERIFY_PAIRS)
+                cos = np.einsum("nd,nd->n", raw[x[s]], self.raw[y[s]]) / (norm[x[s]] * self.norm[y[s]])
+                keep[s] = cos >= threshold
+            return x[keep], y[keep]
+
         for at in range(0, len(raw), side):
             end = min(at + side, len(raw))
             todo, found = np.arange(at, end), []
             ef = beam or self.beam
-            while len(todo):
-                if ef > WIDEST_BEAM or ef >= len(self.ids):
-                    x, y = self.scan(unit[todo], floor)
-                    found.append((todo[x], y))
-                    break
+            while len(todo) and ef <= WIDEST_BEAM and ef < len(self.ids):
                 q = unit[todo]
                 got, sims = self.search(self.layers[0], q, self.descend(q, 0, ef), ef)
                 hit = sims >= floor
@@ -235,21 +249,18 @@ class Graph:
                 x, y = np.nonzero(hit & ~full[:, None])
                 found.append((todo[x], got[x, y]))
                 todo, ef = todo[full], ef * 4
-            x = np.concatenate([f[0] for f in found]).astype(int)
-            y = np.concatenate([f[1] for f in found]).astype(int)
-            other = y != twin[x]
-            x, y = x[other], y[other]
-            keep = np.zeros(len(x), bool)
-            for k in range(0, len(x), 1 << 17):
-                s = slice(k, k + (1 << 17))
-                cos = np.einsum("nd,nd->n", raw[x[s]], self.raw[y[s]]) / (norm[x[s]] * self.norm[y[s]])
-                keep[s] = cos >= threshold
-            yield at, end, x[keep], y[keep]
+            if found:
+                yield at, end, *verified(*(np.concatenate([f[i] for f in found]).astype(int) for i in (0, 1)))
+            for k in range(0, len(todo), few):
+                x, y = self.scan(unit[todo[k:k + few]], floor)
+                yield at, end, *verified(todo[k + x], y)
 
     def linked(self, raw: np.ndarray, twin: np.ndarray, threshold: float, beam: int | None = None) -> np.ndarray:
         """Number of nodes that each query links with, its equal left out."""
-        return np.concatenate([np.zeros(0, int), *(
-            np.bincount(x - at, minlength=end - at) for at, end, x, _ in self.links(raw, twin, threshold, beam))])
+        out = np.zeros(len(raw), int)
+        for at, end, x, _ in self.links(raw, twin, threshold, beam):
+            out[at:end] += np.bincount(x - at, minlength=end - at)
+        return out
 
     def probes(self, salt: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """Nodes in an order by hash, and for each a vector that links with it at
@@ -289,7 +300,8 @@ class Graph:
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        arrays = {"ids": self.ids, "raw": self.raw, "mult": self.mult, "beam": np.array(self.beam),
+        short = self.raw.astype(np.float32)
+        arrays = {"ids": self.ids, "raw": short if (short == self.raw).all() else self.raw, "mult": self.mult, "beam": np.array(self.beam),
                   "comp": self.comp}
         for k, x in enumerate(self.layers):
             arrays |= {f"nodes{k}": x.nodes, f"nbr{k}": x.nbr}
@@ -299,7 +311,7 @@ class Graph:
     @staticmethod
     def from_bytes(data: bytes) -> Graph:
         z = np.load(io.BytesIO(data))
-        g = Graph(z["ids"], z["raw"], z["mult"])
+        g = Graph(z["ids"], z["raw"].astype(float), z["mult"])
         for k, x in enumerate(g.layers):
             x.nbr = z[f"nbr{k}"]
         g.beam, g.comp = int(z["beam"]), z["comp"]
@@ -372,7 +384,7 @@ def _build(threshold: float):
                 hit = np.zeros((end - at, n), bool)
                 hit[x - at, y] = True
                 for r in own:
-                    lost[r] = hit[node[r] - at, node[low[r]:high[r]]].sum()
+                    lost[r] += hit[node[r] - at, node[low[r]:high[r]]].sum()
         g.comp = rep[label]
         return _report(key, {"graph": g.to_bytes(), "recall": recall, "beam": beam},
                        _found(ids, links[node] - lost, ids, g.comp[node]))
@@ -406,6 +418,39 @@ def _query(threshold: float):
     return run
 
 
+def _build_apart(threshold: float, folder: str):
+    """`_build`, with the graph in a file of its own and the file's name in its row."""
+    build = _build(threshold)
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        out = build(key, rows)
+        name = f"{folder}/{uuid.uuid4().hex}.npz"
+        store, path = _store(name)
+        with store.open_output_stream(path, compression=None) as f:
+            f.write(out["graph"].iloc[0])
+        out["graph"] = [name, *[None] * (len(out) - 1)]
+        return out
+    return run
+
+
+def _query_all(threshold: float):
+    """`_query` of one block of vectors on one graph after the other, but of no
+    vector on its own shard, from (shard, graph) with the graphs' file names."""
+    query = _query(threshold)
+
+    def run(key, rows: pd.DataFrame, graphs: pd.DataFrame) -> pd.DataFrame:
+        out = [query((key[0], -1, key[1]), rows[:0], graphs[:0])]
+        for shard, name in sorted(zip(graphs["shard"], graphs["graph"], strict=True)):
+            others = rows[rows["shard"] != shard]
+            if len(others):
+                store, path = _store(name)
+                with store.open_input_stream(path, compression=None) as f:
+                    graph = pd.DataFrame({"graph": [f.read()]})
+                out.append(query((key[0], shard, key[1]), others, graph))
+        return pd.concat(out[1:] or out, ignore_index=True)
+    return run
+
+
 def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD,
                     shard_vectors: int = SHARD_VECTORS) -> tuple[DataFrame, DataFrame]:
     """(result, audits) for (vec_id, embedding).  Result: one row per input row
@@ -427,22 +472,27 @@ def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD,
     good = good.withColumn("embedding", F.when((scale < 1e-100) | (scale > 1e100), F.transform(
         "embedding", lambda v: v / scale)).otherwise(F.col("embedding"))) \
         .groupBy("vec_id", F.xxhash64("embedding").alias("h")).agg(F.first("embedding").alias("embedding")).drop("h")
+    if vectors.schema["embedding"].dataType.simpleString() == "array<float>":  # as they came: none is scaled
+        good = good.withColumn("embedding", F.col("embedding").cast("array<float>"))
     good = materialize(good.withColumn("dim", F.size("embedding")))
     n = good.count()
     shards = max(LEAST_SHARDS, -(-n // shard_vectors))
     parts = max(2, -(-n // BLOCK))
     at = good.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    folder = shared_dir(vectors.sparkSession, "graphs", uuid.uuid4().hex)
+    store, path = _store(folder)
+    store.create_dir(path, recursive=True)
     built = materialize(at.groupBy("dim", "shard").applyInPandas(
-        _build(threshold), "dim int, shard int, graph binary, recall double, beam bigint, " + FOUND))
+        _build_apart(threshold, folder), "dim int, shard int, graph string, recall double, beam bigint, " + FOUND))
     graphs = built.where("graph is not null").select("dim", "shard", "graph") \
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    queries = at.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")) \
-        .withColumnRenamed("shard", "own").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))) \
-        .where("shard != own").drop("own")
-    keys = ["dim", "shard", "part"]
+    queries = at.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int"))
+    keys = ["dim", "part"]
     found = queries.groupBy(*keys).cogroup(graphs.groupBy(*keys)).applyInPandas(
-        _query(threshold), "dim int, shard int, recall double, beam bigint, " + FOUND)
+        _query_all(threshold), "dim int, shard int, recall double, beam bigint, " + FOUND)
     asked = materialize(found)
+    release(good)
+    remove(vectors.sparkSession, folder)
     found = asked.where("recall is null").select("vec_id", "n_links", "root") \
         .unionByName(built.where("graph is null").select("vec_id", "n_links", "root"))
     label = components(found.where("root is not null").select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
